@@ -1,0 +1,33 @@
+"""Query registry: name -> (spark builder, oracle SQL or None)."""
+
+from __future__ import annotations
+
+from . import lexicon_queries as lq
+from .oracle import SQL
+
+QUERIES = {
+    "tokens": lq.q_tokens,
+    "distinct_sentences": lq.q_distinct_sentences,
+    "ngrams": lq.q_ngrams,
+    "lu_names": lq.q_lu_names,
+    "lu_variants": lq.q_lu_variants,
+    "lu_patterns": lq.q_lu_patterns,
+    "lu_prefixes": lq.q_lu_prefixes,
+    "lu_exact_lookup": lq.q_lu_exact_lookup,
+    "candidates": lq.q_candidates,
+    "cand_unigram": lq.q_cand_unigram,
+    "cand_multiword": lq.q_cand_multiword,
+    "cand_wildcard": lq.q_cand_wildcard,
+    "cand_numbers": lq.q_cand_numbers,
+    "cand_views": lq.q_cand_views,
+    "cand_by_lu": lq.q_cand_by_lu,
+    "cand_subsumed": lq.q_cand_subsumed,
+}
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return {k: v for k, v in SQL.items() if k in QUERIES}
