@@ -106,12 +106,19 @@ def nodes(pats: DataFrame) -> DataFrame:
                     F.coalesce("frames", F.array().cast("array<string>")).alias("frames")))
 
 
-def compile_lexicon(lus: DataFrame, with_extras: bool = True):
-    """(variants, patterns, nodes) of an LU index ``(name, frame)``."""
+def compile_lexicon(lus: DataFrame, with_extras: bool = True, cache: bool = True):
+    """(variants, patterns, nodes) of an LU index ``(name, frame)``.
+
+    The pattern and node tables are read many times (size checks, one
+    lookup per walk level), so they are cached; the lexicon is bounded by
+    the LU index, not by the corpus."""
     spark = lus.sparkSession
     v = lu_variants(lus, extra_lus(spark) if with_extras else None)
     p = patterns(v)
-    return v, p, nodes(p)
+    n = nodes(p)
+    if cache:
+        p, n = p.cache(), n.cache()
+    return v, p, n
 
 
 def normalise_lu(name: Column) -> Column:

@@ -76,44 +76,41 @@ def walk(toks: DataFrame, pats: DataFrame, nds: DataFrame, lmax: int | None = No
          spell: DataFrame | None = None) -> DataFrame:
     """Pattern walk over an annotated token table.
 
-    Returns ``(sent_id, pass, view, start, end, lu, frames)``, one row per
-    emitted node (before dedupe)."""
+    Each level carries only the node key reached (``n1..nL``); frames are
+    attached once at the end by joining the visited keys to the terminal
+    patterns. Returns ``(sent_id, pass, view, start, end, lu, frames)``,
+    one row per emitted node (before dedupe)."""
     lmax = lmax or max_pattern_len(pats)
-    nds_b = size_checked(nds.select("key", "frames", "has_children"), row_bytes=96)
+    keys_b = size_checked(nds.select("key", "has_children"), row_bytes=64)
     if spell is None:
-        spell = lexicon.spelling_variants(pats)
+        spell = lexicon.spelling_variants(pats).cache()
     spell_b = size_checked(spell, row_bytes=48)
-    s = _starts(_with_leads(toks, lmax), nds_b, spell_b)
-    root = nds_b.select(F.col("key").alias("node"), F.col("frames").alias("nf"),
-                        F.col("has_children").alias("nc"))
-    cur = s.join(root, s["first"] == root["node"], "inner")
-    emit = F.when(F.size("nf") > 0, F.array(F.struct(F.col("start"), F.col("end"),
-                                                      F.col("node").alias("lu"), F.col("nf").alias("frames")))
-                  ).otherwise(F.array().cast(EMIT))
-    cur = cur.select("sent_id", "pass", "view", "start", "walk", "nx_pos", "nx_end",
-                     "node", "nc", emit.alias("emits"))
+    s = _starts(_with_leads(toks, lmax), keys_b, spell_b)
+    root = keys_b.select(F.col("key").alias("n1"), F.col("has_children").alias("c"))
+    cur = s.join(root, s["first"] == root["n1"], "inner").drop("first")
     for k in range(1, lmax):
-        nxt_w = F.element_at("walk", k)
-        nxt_p = F.element_at("nx_pos", k)
-        live = F.col("nc") & F.col("node").isNotNull() & nxt_w.isNotNull()
+        node, nxt_w, nxt_p = F.col(f"n{k}"), F.element_at("walk", k), F.element_at("nx_pos", k)
+        live = F.col("c") & node.isNotNull() & nxt_w.isNotNull()
         cur = cur.select("*",
-                         F.when(live, F.concat_ws(" ", "node", nxt_w)).alias("p_lit"),
-                         F.when(live, F.concat(F.col("node"), F.lit(" <"), F.upper(nxt_p), F.lit(">"))).alias("p_pos"))
-        lit = nds_b.select(F.col("key").alias("l_key"), F.col("frames").alias("l_f"), F.col("has_children").alias("l_c"))
-        wild = nds_b.select(F.col("key").alias("w_key"), F.col("frames").alias("w_f"), F.col("has_children").alias("w_c"))
-        cur = cur.join(lit, cur["p_lit"] == lit["l_key"], "left").join(wild, cur["p_pos"] == wild["w_key"], "left")
-        node = F.coalesce("l_key", "w_key")
-        nf = F.when(F.col("l_key").isNotNull(), F.col("l_f")).otherwise(F.col("w_f"))
-        nc = F.when(F.col("l_key").isNotNull(), F.col("l_c")).otherwise(F.col("w_c"))
-        end_k = F.element_at("nx_end", k)
-        add = F.when(node.isNotNull() & (F.size(nf) > 0),
-                     F.array(F.struct(F.col("start"), end_k.alias("end"), node.alias("lu"), nf.alias("frames")))
-                     ).otherwise(F.array().cast(EMIT))
-        cur = cur.select("sent_id", "pass", "view", "start", "walk", "nx_pos", "nx_end",
-                         node.alias("node"), F.coalesce(nc, F.lit(False)).alias("nc"),
-                         F.concat("emits", add).alias("emits"))
-    return (cur.select("sent_id", "pass", "view", F.explode("emits").alias("e"))
-            .select("sent_id", "pass", "view", "e.start", "e.end", "e.lu", "e.frames"))
+                         F.when(live, F.concat_ws(" ", node, nxt_w)).alias("p_lit"),
+                         F.when(live, F.concat(node, F.lit(" <"), F.upper(nxt_p), F.lit(">"))).alias("p_pos"))
+        lit = keys_b.select(F.col("key").alias("l_key"), F.col("has_children").alias("l_c"))
+        wild = keys_b.select(F.col("key").alias("w_key"), F.col("has_children").alias("w_c"))
+        cur = (cur.join(lit, cur["p_lit"] == lit["l_key"], "left")
+               .join(wild, cur["p_pos"] == wild["w_key"], "left"))
+        keep = [c for c in cur.columns if c not in ("p_lit", "p_pos", "l_key", "l_c", "w_key", "w_c", "c")]
+        cur = cur.select(*keep, F.coalesce("l_key", "w_key").alias(f"n{k + 1}"),
+                         F.coalesce(F.when(F.col("l_key").isNotNull(), F.col("l_c")).otherwise(F.col("w_c")),
+                                    F.lit(False)).alias("c"))
+    visited = F.array(F.struct(F.col("end").alias("end"), F.col("n1").alias("lu")),
+                      *[F.struct(F.element_at("nx_end", k).alias("end"), F.col(f"n{k + 1}").alias("lu"))
+                        for k in range(1, lmax)])
+    hits = (cur.select("sent_id", "pass", "view", "start", F.explode(visited).alias("v"))
+            .where(F.col("v.lu").isNotNull())
+            .select("sent_id", "pass", "view", "start", F.col("v.end").alias("end"), F.col("v.lu").alias("lu")))
+    term = size_checked(pats.select(F.col("key").alias("t_key"), F.col("frames")), row_bytes=96)
+    return (hits.join(term, hits["lu"] == term["t_key"], "inner")
+            .select("sent_id", "pass", "view", "start", "end", "lu", "frames"))
 
 
 def overrides(toks: DataFrame, nds: DataFrame) -> DataFrame:

@@ -237,3 +237,51 @@ per_lu AS (SELECT sent_id, start, "end", lu, list_sort(list_distinct(flatten(lis
 SELECT sent_id, start, "end", string_agg(lu || '=' || array_to_string(frames, '|'), ';' ORDER BY lu) AS lu_frames
 FROM per_lu GROUP BY sent_id, start, "end\"""",
 }
+
+LOGITS = """
+li AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+          l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS INTEGER) AS choice_idx,
+          count(*) OVER (PARTITION BY l_orderkey) AS n_choice FROM lineitem),
+lg AS (SELECT l_orderkey AS example_id, choice_idx, l_discount * 10 AS logit,
+          CAST(l_orderkey % n_choice AS INTEGER) AS label, CAST(n_choice AS INTEGER) AS n_choice FROM li),
+mx AS (SELECT example_id, max(logit) AS m FROM lg GROUP BY example_id),
+ex_loss AS (SELECT lg.example_id, ln(sum(exp(logit - m))) + any_value(m)
+              - max(CASE WHEN choice_idx = label THEN logit END) AS loss
+            FROM lg JOIN mx USING (example_id) GROUP BY lg.example_id),
+pred AS (SELECT example_id, CAST(arg_max(choice_idx, struct_pack(a := logit, b := -choice_idx)) AS INTEGER) AS pred
+         FROM lg GROUP BY example_id)"""
+
+SQL.update({
+    "choice_offsets": with_blocks(LOGITS) + """,
+n AS (SELECT example_id, count(*) AS n_choice FROM lg GROUP BY example_id),
+b AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY example_id) - 1) / 8) AS BIGINT) AS batch_id FROM n)
+SELECT example_id, n_choice, batch_id,
+       CAST(coalesce(sum(n_choice) OVER (PARTITION BY batch_id ORDER BY example_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM b""",
+    "choice_argmax": with_blocks(LOGITS) + "SELECT example_id, pred FROM pred",
+    "choice_accuracy": with_blocks(LOGITS) + """
+SELECT round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n
+FROM pred JOIN (SELECT DISTINCT example_id, label FROM lg) USING (example_id)""",
+    "choice_softmax": with_blocks(LOGITS) + """,
+s AS (SELECT example_id, sum(exp(logit - m)) AS s FROM lg JOIN mx USING (example_id) GROUP BY example_id)
+SELECT example_id, choice_idx, round(exp(logit - m) / s, 6) AS p FROM lg JOIN mx USING (example_id) JOIN s USING (example_id)""",
+    "choice_probs": with_blocks(LOGITS) + "SELECT example_id, choice_idx, round((1 + tanh(logit)) / 2, 6) AS p FROM lg",
+    "choice_loss": with_blocks(LOGITS) + "SELECT round(coalesce(avg(loss), 0.0), 6) AS loss FROM ex_loss",
+    "eval_loss_batched": with_blocks(LOGITS) + """,
+b AS (SELECT loss, floor((row_number() OVER (ORDER BY example_id) - 1) / 8) AS batch_id FROM ex_loss)
+SELECT round(coalesce(avg(bl), 0.0), 6) AS loss FROM (SELECT batch_id, avg(loss) AS bl FROM b GROUP BY batch_id)""",
+    "sink_pred_lines": with_blocks(LOGITS) + """,
+pr AS (SELECT example_id, string_agg(format('{:.6f}', (1 + tanh(logit)) / 2), ',' ORDER BY choice_idx) AS probs
+       FROM lg GROUP BY example_id)
+SELECT example_id, CAST(pred AS VARCHAR) || chr(9) || probs AS line FROM pred JOIN pr USING (example_id)""",
+    "train_batches": """
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('0|0|' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rn FROM labels)
+SELECT CAST(floor(rn / 36) AS BIGINT) AS batch_id, count(*) AS n,
+       md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rn)) AS ids_md5
+FROM r GROUP BY 1""",
+    "train_log_windows": """
+WITH g AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) AS step FROM events)
+SELECT CAST(floor((step - 1) / 50) AS BIGINT) AS "window", count(*) AS n, round(avg(value), 6) AS avg_loss,
+       arg_max(step, struct_pack(a := value, b := -step)) AS best_step
+FROM g GROUP BY 1""",
+})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import choice_queries as cq
 from . import lexicon_queries as lq
 from .oracle import SQL
 
@@ -22,6 +23,16 @@ QUERIES = {
     "cand_views": lq.q_cand_views,
     "cand_by_lu": lq.q_cand_by_lu,
     "cand_subsumed": lq.q_cand_subsumed,
+    "choice_offsets": cq.q_choice_offsets,
+    "choice_argmax": cq.q_choice_argmax,
+    "choice_accuracy": cq.q_choice_accuracy,
+    "choice_softmax": cq.q_choice_softmax,
+    "choice_probs": cq.q_choice_probs,
+    "choice_loss": cq.q_choice_loss,
+    "eval_loss_batched": cq.q_eval_loss_batched,
+    "sink_pred_lines": cq.q_sink_pred_lines,
+    "train_batches": cq.q_train_batches,
+    "train_log_windows": cq.q_train_log_windows,
 }
 
 
