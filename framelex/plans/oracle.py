@@ -285,3 +285,57 @@ SELECT CAST(floor((step - 1) / 50) AS BIGINT) AS "window", count(*) AS n, round(
        arg_max(step, struct_pack(a := value, b := -step)) AS best_step
 FROM g GROUP BY 1""",
 })
+
+GOLD = """
+one AS (SELECT key AS g_key, frames[1] AS g_frame FROM pats WHERE n = 1),
+gold AS (
+  SELECT sent_id, start, "end", CASE WHEN g_frame IS NOT NULL THEN g_frame
+                                     WHEN regexp_matches(text, '^[A-Z]') THEN 'Entity' END AS frame_name
+  FROM toks LEFT JOIN one ON toks.text = one.g_key WHERE pass = 0),
+cex AS (SELECT DISTINCT sent_id, start, "end", unnest(frames) AS frame_name FROM cands),
+gx AS (SELECT DISTINCT * FROM gold WHERE frame_name IS NOT NULL),
+lab AS (
+  SELECT coalesce(c.sent_id, g.sent_id) AS sent_id, coalesce(c.start, g.start) AS start,
+         coalesce(c."end", g."end") AS "end", coalesce(c.frame_name, g.frame_name) AS frame_name,
+         CASE WHEN g.sent_id IS NOT NULL THEN 1 ELSE 0 END AS label,
+         CASE WHEN c.sent_id IS NOT NULL AND g.sent_id IS NOT NULL THEN 'both'
+              WHEN c.sent_id IS NOT NULL THEN 'cand_only' ELSE 'gold_only' END AS side
+  FROM cex c FULL OUTER JOIN gx g ON c.sent_id = g.sent_id AND c.start = g.start AND c."end" = g."end"
+       AND c.frame_name = g.frame_name),
+lspan AS (SELECT DISTINCT sent_id, start, "end" FROM lab),
+t0 AS (SELECT sent_id, start AS t_start, "end" AS t_end, tok_idx FROM toks WHERE pass = 0),
+al2 AS (
+  SELECT s.sent_id, s.start, s."end",
+    (SELECT CAST(t.tok_idx AS INTEGER) FROM t0 t WHERE t.sent_id = s.sent_id AND t.t_start <= s.start AND s.start < t.t_end) AS first,
+    (SELECT CAST(t.tok_idx AS INTEGER) FROM t0 t WHERE t.sent_id = s.sent_id AND t.t_start <= s."end" - 1 AND s."end" - 1 < t.t_end) AS last_
+  FROM lspan s),
+aligned AS (SELECT sent_id, start, "end", first, coalesce(last_, first) AS last FROM al2)"""
+
+PREDS = """
+WITH j AS (SELECT l.doc_id, CASE WHEN ln(CAST(greatest(d.n_chars, 1) AS DOUBLE)) - 7.0 > 0 THEN 1 ELSE 0 END AS pred,
+                  l.quality AS label FROM labels l JOIN documents d USING (doc_id)),
+c AS (SELECT count(*) AS n, count_if(pred = 1 AND label = 1) AS tp, count_if(pred = 1 AND label = 0) AS fp,
+             count_if(pred = 0 AND label = 1) AS fn, count_if(pred = label) AS ok FROM j),
+m AS (SELECT CASE WHEN n = 0 THEN 0.0 ELSE ok / n END AS accuracy,
+             CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS "precision",
+             CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
+             CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM c)
+"""
+
+SQL.update({
+    "label_candidates": with_blocks(*CAND, GOLD, recursive=True) + """
+SELECT label, side, count(*) AS n, CAST(sum(start) AS BIGINT) AS sum_start, CAST(sum("end") AS BIGINT) AS sum_end
+FROM lab GROUP BY label, side""",
+    "align_span": with_blocks(*CAND, GOLD, recursive=True) + 'SELECT sent_id, start, "end", first, last FROM aligned',
+    "span_labels": with_blocks(*CAND, GOLD, recursive=True) + """
+SELECT a.sent_id, a.first, a.last, CAST(max(l.label) AS INTEGER) AS label
+FROM lab l JOIN aligned a ON l.sent_id = a.sent_id AND l.start = a.start AND l."end" = a."end"
+WHERE a.first IS NOT NULL GROUP BY a.sent_id, a.first, a.last""",
+    "binary_metrics": PREDS + """
+SELECT round(accuracy, 6) AS accuracy, round("precision", 6) AS "precision", round(recall, 6) AS recall,
+       round(f1, 6) AS f1 FROM m""",
+    "metrics_report": PREDS + """,
+kv AS (SELECT unnest(['accuracy', 'precision', 'recall', 'f1']) AS key,
+              unnest([accuracy, "precision", recall, f1]) AS v FROM m)
+SELECT key, rpad(key, 16, ' ') || '=' || CAST(round(v, 6) AS VARCHAR) AS line FROM kv""",
+})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import choice_queries as cq
+from . import label_queries as bq
 from . import lexicon_queries as lq
 from .oracle import SQL
 
@@ -33,6 +34,11 @@ QUERIES = {
     "sink_pred_lines": cq.q_sink_pred_lines,
     "train_batches": cq.q_train_batches,
     "train_log_windows": cq.q_train_log_windows,
+    "label_candidates": bq.q_label_candidates,
+    "align_span": bq.q_align_span,
+    "span_labels": bq.q_span_labels,
+    "binary_metrics": bq.q_binary_metrics,
+    "metrics_report": bq.q_metrics_report,
 }
 
 
