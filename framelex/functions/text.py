@@ -11,6 +11,9 @@ from . import fixed
 # the same strings in RE2). Pieces cover every character of the text.
 SENTENCE_SPLIT = r"[.!?\n]+"
 PIECE_PATTERN = r"\s+|[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+# The same pieces, each word/punctuation piece with the blanks before it:
+# one match per token, so the token index is the match index.
+TOKEN_PATTERN = r"\s*(?:[\p{L}\p{N}]+|[^\s\p{L}\p{N}])"
 STEM_PATTERN = r"^(.{3,}?)(ing|ed|ly|es|s)$"
 
 

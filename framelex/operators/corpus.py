@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
-from ..functions.text import PIECE_PATTERN, SENTENCE_SPLIT, number_words, stem, strip_ws
+from ..functions.text import SENTENCE_SPLIT, TOKEN_PATTERN, number_words, stem, strip_ws
 from ..plans.joins import fixed_small
 
 
@@ -40,17 +40,16 @@ def distinct_sentences(sents: DataFrame) -> DataFrame:
                                         F.count(F.lit(1)).alias("n_occ"))
 
 
-def _pieces(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PIECE_PATTERN), 0)
-
-
 def tokens(sents: DataFrame, passes: bool = True) -> DataFrame:
     """Token table ``(sent_id, pass, tok_idx, start, end, text)``.
 
     Pass 0 tokenizes the sentence; pass 1 tokenizes it with ``-`` replaced
     by a blank and lower-cases each token (offsets stay those of the
-    original characters). ``start`` is the running character offset, a
-    window over the sentence's pieces (partitioned like the input).
+    original characters). Each regex match is one token with the blanks
+    before it, so ``tok_idx`` is the match index and ``end`` is the
+    running sum of match lengths: one window, partitioned by sentence
+    (the input's partitioning) and ordered by ``tok_idx`` — the same spec
+    the pattern walk's look-ahead uses, so that reuses the sort.
     """
     variants = [F.struct(F.lit(0).alias("pass"), F.col("sentence").alias("txt"))]
     if passes:
@@ -58,17 +57,13 @@ def tokens(sents: DataFrame, passes: bool = True) -> DataFrame:
                                  F.translate(F.col("sentence"), "-", " ").alias("txt")))
     p = (sents.select("sent_id", F.explode(F.array(*variants)).alias("v"))
          .select("sent_id", F.col("v.pass").alias("pass"),
-                 F.posexplode(_pieces(F.col("v.txt"))).alias("piece_idx", "piece")))
-    w = (Window.partitionBy("sent_id", "pass").orderBy("piece_idx")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    is_word = ~F.col("piece").rlike(r"^\s")
-    p = (p.withColumn("is_word", is_word)
-         .withColumn("start", F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0)).cast("int"))
-         .withColumn("tok_idx", F.coalesce(F.sum(F.col("is_word").cast("int")).over(w), F.lit(0)).cast("int"))
-         .where("is_word"))
-    return p.select("sent_id", "pass", "tok_idx", "start",
-                    (F.col("start") + F.length("piece")).cast("int").alias("end"),
-                    F.when(F.col("pass") == 1, F.lower("piece")).otherwise(F.col("piece")).alias("text"))
+                 F.posexplode(F.regexp_extract_all(F.col("v.txt"), F.lit(TOKEN_PATTERN), 0)).alias("tok_idx", "m")))
+    w = Window.partitionBy("sent_id", "pass").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, 0)
+    piece = F.regexp_replace("m", r"^\s+", "")
+    p = p.select("sent_id", "pass", F.col("tok_idx").cast("int").alias("tok_idx"), piece.alias("piece"),
+                 F.sum(F.length("m")).over(w).cast("int").alias("end"))
+    return p.select("sent_id", "pass", "tok_idx", (F.col("end") - F.length("piece")).cast("int").alias("start"),
+                    "end", F.when(F.col("pass") == 1, F.lower("piece")).otherwise(F.col("piece")).alias("text"))
 
 
 def form_lexicon(spark) -> DataFrame:
@@ -76,18 +71,29 @@ def form_lexicon(spark) -> DataFrame:
     return spark.createDataFrame(fixed.FORMS, "form STRING, f_lemma STRING, f_pos STRING")
 
 
+def number_table(spark, upto: int = 1000) -> DataFrame:
+    """(digits, words) dimension for 0..upto-1, generated by the
+    ``number_words`` rule (L16)."""
+    d = spark.range(upto).select(F.col("id").cast("string").alias("n_digits"))
+    return d.select("n_digits", number_words(F.col("n_digits")).alias("n_words"))
+
+
 def annotate(toks: DataFrame, forms: DataFrame | None = None) -> DataFrame:
-    """Add ``lemma, stem, pos`` by a left join on a (form -> lemma, pos)
-    lexicon keyed by the lower-cased token. Default lemma = lower-cased
-    text, default POS ``X``; all-digit tokens are ``NUM`` and their lemma
-    and stem become number words."""
+    """Add ``lemma, stem, pos`` by left joins on a (form -> lemma, pos)
+    lexicon keyed by the lower-cased token and on the number dimension.
+    Default lemma = lower-cased text, default POS ``X``; all-digit tokens
+    are ``NUM`` and their lemma and stem become number words (1-3 digit
+    numbers; longer digit strings stay as they are)."""
     spark = toks.sparkSession
     forms = forms if forms is not None else form_lexicon(spark)
+    nums = number_table(spark)
     t = toks.withColumn("_form", F.lower("text"))
     t = t.join(fixed_small(forms), t["_form"] == forms["form"], "left")
+    t = t.join(fixed_small(nums), t["text"] == nums["n_digits"], "left")
     is_num = F.col("text").rlike(r"^[0-9]+$")
     pos = F.when(is_num, F.lit("NUM")).otherwise(F.coalesce(F.col("f_pos"), F.lit("X")))
-    lemma = F.when(is_num, number_words(F.col("text"))).otherwise(F.coalesce(F.col("f_lemma"), F.col("_form")))
-    stm = F.when(is_num, number_words(F.col("text"))).otherwise(stem(F.col("text")))
+    num = F.coalesce(F.col("n_words"), F.col("text"))
+    lemma = F.when(is_num, num).otherwise(F.coalesce(F.col("f_lemma"), F.col("_form")))
+    stm = F.when(is_num, num).otherwise(stem(F.col("text")))
     cols = [c for c in toks.columns]
     return t.select(*cols, lemma.alias("lemma"), stm.alias("stem"), pos.alias("pos"))

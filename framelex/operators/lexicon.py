@@ -8,6 +8,8 @@ The reference keeps a mutable trie; here the trie is two tables:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
@@ -106,19 +108,36 @@ def nodes(pats: DataFrame) -> DataFrame:
                     F.coalesce("frames", F.array().cast("array<string>")).alias("frames")))
 
 
-def compile_lexicon(lus: DataFrame, with_extras: bool = True, cache: bool = True):
-    """(variants, patterns, nodes) of an LU index ``(name, frame)``.
+@dataclass
+class Compiled:
+    """A compiled lexicon: tables plus the two scalars the walk needs."""
+    variants: DataFrame
+    patterns: DataFrame
+    nodes: DataFrame
+    spelling: DataFrame
+    n_nodes: int
+    lmax: int
+
+    def __iter__(self):  # (variants, patterns, nodes) unpacking
+        return iter((self.variants, self.patterns, self.nodes))
+
+
+def compile_lexicon(lus: DataFrame, with_extras: bool = True, cache: bool = True) -> Compiled:
+    """Compile an LU index ``(name, frame)``.
 
-    The pattern and node tables are read many times (size checks, one
-    lookup per walk level), so they are cached; the lexicon is bounded by
-    the LU index, not by the corpus."""
+    Pattern, node and spelling tables are read many times (one lookup per
+    walk level), so they are cached; their size is bounded by the LU
+    index, not by the corpus. One job computes the node count (the bound
+    used for every broadcast decision) and the longest pattern."""
     spark = lus.sparkSession
     v = lu_variants(lus, extra_lus(spark) if with_extras else None)
     p = patterns(v)
     n = nodes(p)
+    sp = spelling_variants(p)
     if cache:
-        p, n = p.cache(), n.cache()
-    return v, p, n
+        p, n, sp = p.cache(), n.cache(), sp.cache()
+    st = n.agg(F.count(F.lit(1)).alias("c"), F.max("depth").alias("d")).first()
+    return Compiled(v, p, n, sp, int(st["c"] or 0), int(st["d"] or 1))
 
 
 def normalise_lu(name: Column) -> Column:

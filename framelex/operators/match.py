@@ -21,18 +21,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed
-from ..plans.joins import fixed_small, size_checked
+from ..plans.joins import broadcast_within, fixed_small
 from . import lexicon
 
 EMIT = "array<struct<start:int,end:int,lu:string,frames:array<string>>>"
 
 
-def max_pattern_len(pats: DataFrame) -> int:
-    """Longest pattern (one scalar to the driver)."""
-    v = pats.agg(F.max("n")).first()[0]
-    return int(v or 1)
-
-
 def alias_table(spark) -> DataFrame:
     return spark.createDataFrame(fixed.ALIASES, "a_form STRING, a_word STRING")
 
@@ -49,43 +43,67 @@ def _with_leads(toks: DataFrame, lmax: int) -> DataFrame:
     return out
 
 
-def _starts(toks: DataFrame, nds_b: DataFrame, spell_b: DataFrame) -> DataFrame:
+def override_table(spark) -> DataFrame:
+    return spark.createDataFrame(fixed.OVERRIDES, "o_lemma STRING, o_pos STRING, o_lu STRING, o_extra INT")
+
+
+def _starts(toks: DataFrame, spell_b: DataFrame) -> DataFrame:
+    """One row per (token, view) whose start word is known; the override
+    view (L20) is a start that does not walk and ends ``extra`` chars
+    later (not on the first token of the first pass)."""
     spark = toks.sparkSession
     al = fixed_small(alias_table(spark))
+    ov = fixed_small(override_table(spark))
     t = toks.join(al, toks["text"] == al["a_form"], "left")
-    sp = spell_b
+    t = t.join(ov, (t["lemma"] == ov["o_lemma"]) & (t["pos"] == ov["o_pos"]) &
+               ~((t["pass"] == 0) & (t["tok_idx"] == 0)), "left")
     for src in ("text", "lemma", "stem"):
-        s = sp.select(F.col("variant").alias("sv_" + src), F.col("root").alias("sr_" + src))
+        s = spell_b.select(F.col("variant").alias("sv_" + src), F.col("root").alias("sr_" + src))
         t = t.join(s, t[src] == s["sv_" + src], "left")
     spelled = F.coalesce(F.col("sr_text"), F.col("sr_lemma"), F.col("sr_stem"))
+    none = F.lit(None).cast("array<string>")
+    text, lemma, stem = F.col("text"), F.col("lemma"), F.col("stem")
+    # A view that starts with the same word and walks the same words as an
+    # earlier one walks the same path: it is walked once, with both
+    # labels (plain comparisons, so the projection stays in codegen).
+    lem_is_surf = (lemma == text) & F.col("nx_lemma").eqNullSafe(F.col("nx_text"))
+    stem_is_surf = (stem == text) & F.col("nx_stem").eqNullSafe(F.col("nx_text"))
+    stem_is_lem = (stem == lemma) & F.col("nx_stem").eqNullSafe(F.col("nx_lemma"))
+
+    def view(labels, first, walk, end=F.col("end")):
+        return F.struct(labels.alias("views"), first.alias("first"), walk.alias("walk"), end.alias("end"))
+
+    def tag(name, cond):
+        return F.when(cond, F.lit(name))
+
     views = F.array(
-        F.struct(F.lit("surface").alias("view"), F.col("text").alias("first"), F.col("nx_text").alias("walk")),
-        F.struct(F.lit("lemma").alias("view"), F.col("lemma").alias("first"), F.col("nx_lemma").alias("walk")),
-        F.struct(F.lit("stem").alias("view"), F.col("stem").alias("first"), F.col("nx_stem").alias("walk")),
-        F.struct(F.lit("alias").alias("view"), F.col("a_word").alias("first"), F.col("nx_text").alias("walk")),
-        F.struct(F.lit("spelling").alias("view"), spelled.alias("first"), F.col("nx_stem").alias("walk")),
+        view(F.concat_ws(",", F.lit("surface"), tag("lemma", lem_is_surf), tag("stem", stem_is_surf)),
+             text, F.col("nx_text")),
+        view(F.concat_ws(",", F.lit("lemma"), tag("stem", stem_is_lem & ~stem_is_surf)),
+             F.when(~lem_is_surf, lemma), F.col("nx_lemma")),
+        view(F.lit("stem"), F.when(~stem_is_surf & ~stem_is_lem, stem), F.col("nx_stem")),
+        view(F.lit("alias"), F.col("a_word"), F.col("nx_text")),
+        view(F.lit("spelling"), spelled, F.col("nx_stem")),
+        view(F.lit("override"), F.col("o_lu"), none, (F.col("end") + F.col("o_extra")).cast("int")),
     )
-    return (t.select("sent_id", "pass", "tok_idx", "start", "end", "nx_pos", "nx_end",
-                     F.explode(views).alias("v"))
-            .select("sent_id", "pass", "tok_idx", "start", "end", "nx_pos", "nx_end",
-                    "v.view", "v.first", "v.walk")
+    return (t.select("sent_id", "pass", "start", "nx_pos", "nx_end", F.explode(views).alias("v"))
+            .select("sent_id", "pass", "start", "nx_pos", "nx_end", "v.views", "v.first", "v.walk", "v.end")
             .where(F.col("first").isNotNull()))
 
 
-def walk(toks: DataFrame, pats: DataFrame, nds: DataFrame, lmax: int | None = None,
-         spell: DataFrame | None = None) -> DataFrame:
+def walk(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
     """Pattern walk over an annotated token table.
 
     Each level carries only the node key reached (``n1..nL``); frames are
     attached once at the end by joining the visited keys to the terminal
     patterns. Returns ``(sent_id, pass, view, start, end, lu, frames)``,
     one row per emitted node (before dedupe)."""
-    lmax = lmax or max_pattern_len(pats)
-    keys_b = size_checked(nds.select("key", "has_children"), row_bytes=64)
-    if spell is None:
-        spell = lexicon.spelling_variants(pats).cache()
-    spell_b = size_checked(spell, row_bytes=48)
-    s = _starts(_with_leads(toks, lmax), keys_b, spell_b)
+    lmax, bound = lex.lmax, lex.n_nodes
+    keys_b = broadcast_within(lex.nodes.select("key", "has_children"), bound, row_bytes=64)
+    # spelling variants: at most 2 x rules per root, roots <= nodes
+    spell_b = broadcast_within(lex.spelling, bound * 18, row_bytes=48)
+    s = _starts(_with_leads(toks, lmax), spell_b)
+    # overrides carry no walk words, so they never go past level 1
     root = keys_b.select(F.col("key").alias("n1"), F.col("has_children").alias("c"))
     cur = s.join(root, s["first"] == root["n1"], "inner").drop("first")
     for k in range(1, lmax):
@@ -105,29 +123,15 @@ def walk(toks: DataFrame, pats: DataFrame, nds: DataFrame, lmax: int | None = No
     visited = F.array(F.struct(F.col("end").alias("end"), F.col("n1").alias("lu")),
                       *[F.struct(F.element_at("nx_end", k).alias("end"), F.col(f"n{k + 1}").alias("lu"))
                         for k in range(1, lmax)])
-    hits = (cur.select("sent_id", "pass", "view", "start", F.explode(visited).alias("v"))
+    hits = (cur.select("sent_id", "pass", "views", "start", F.explode(visited).alias("v"))
             .where(F.col("v.lu").isNotNull())
-            .select("sent_id", "pass", "view", "start", F.col("v.end").alias("end"), F.col("v.lu").alias("lu")))
-    term = size_checked(pats.select(F.col("key").alias("t_key"), F.col("frames")), row_bytes=96)
+            .select("sent_id", "pass", "views", "start", F.col("v.end").alias("end"), F.col("v.lu").alias("lu")))
+    term = broadcast_within(lex.patterns.select(F.col("key").alias("t_key"), F.col("frames")), bound, row_bytes=96)
     return (hits.join(term, hits["lu"] == term["t_key"], "inner")
-            .select("sent_id", "pass", "view", "start", "end", "lu", "frames"))
-
-
-def overrides(toks: DataFrame, nds: DataFrame) -> DataFrame:
-    """(lemma, POS) overrides add a candidate (not on the very first
-    token of the first pass)."""
-    spark = toks.sparkSession
-    ov = fixed_small(spark.createDataFrame(fixed.OVERRIDES, "o_lemma STRING, o_pos STRING, o_lu STRING, extra INT"))
-    t = toks.where(~((F.col("pass") == 0) & (F.col("tok_idx") == 0)))
-    j = t.join(ov, (t["lemma"] == ov["o_lemma"]) & (t["pos"] == ov["o_pos"]), "inner")
-    nk = size_checked(nds.select(F.col("key").alias("n_key"), F.col("frames").alias("n_f")), row_bytes=80)
-    j = j.join(nk, j["o_lu"] == nk["n_key"], "inner")
-    return j.select("sent_id", "pass", F.lit("override").alias("view"), "start",
-                    (F.col("end") + F.col("extra")).cast("int").alias("end"),
-                    F.col("o_lu").alias("lu"), F.col("n_f").alias("frames"))
+            .select("sent_id", "pass", F.explode(F.split("views", ",")).alias("view"), "start", "end", "lu", "frames"))
 
 
-def dependency_pairs(toks: DataFrame, nds: DataFrame) -> DataFrame:
+def dependency_pairs(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
     """Lemma is a root with children and a transitive ancestor's or a
     direct child's lemma is its second word. Needs ``head_idx`` (supplied
     by a user's parser); one group per (sentence, pass)."""
@@ -159,7 +163,8 @@ def dependency_pairs(toks: DataFrame, nds: DataFrame) -> DataFrame:
                          F.explode(F.transform("others", lambda j: F.element_at(F.col("t"), j + 1))).alias("ot"))
     pairs = pairs.where(F.col("me.tok_idx") != F.col("ot.tok_idx"))
     key = F.concat_ws(" ", "me.lemma", "ot.lemma")
-    nk = size_checked(nds.select(F.col("key").alias("n_key"), F.col("frames").alias("n_f"), "depth"), row_bytes=80)
+    nk = broadcast_within(lex.nodes.select(F.col("key").alias("n_key"), F.col("frames").alias("n_f"), "depth"),
+                          lex.n_nodes, row_bytes=80)
     roots = nk.where("depth = 1").select(F.col("n_key").alias("r_key"))
     pairs = pairs.join(roots, pairs["me.lemma"] == roots["r_key"], "left_semi")
     j = pairs.withColumn("_k", key).join(nk, F.col("_k") == nk["n_key"], "inner")
@@ -171,14 +176,12 @@ def dependency_pairs(toks: DataFrame, nds: DataFrame) -> DataFrame:
                     F.col("n_key").alias("lu"), F.col("n_f").alias("frames")))
 
 
-def candidate_rows(toks: DataFrame, pats: DataFrame, nds: DataFrame, lmax: int | None = None,
-                   with_overrides: bool = True, spell: DataFrame | None = None) -> DataFrame:
-    """All candidate rows of every view, ``end > start`` only."""
-    out = walk(toks, pats, nds, lmax, spell)
-    if with_overrides:
-        out = out.unionByName(overrides(toks, nds))
+def candidate_rows(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
+    """All candidate rows of every view (overrides included), ``end >
+    start`` only (L24)."""
+    out = walk(toks, lex)
     if "head_idx" in toks.columns:
-        out = out.unionByName(dependency_pairs(toks, nds))
+        out = out.unionByName(dependency_pairs(toks, lex))
     return out.where(F.col("end") > F.col("start"))
 
 

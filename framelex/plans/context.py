@@ -23,15 +23,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @dataclass
 class Lexicon:
     lus: DataFrame
-    variants: DataFrame
-    patterns: DataFrame
-    nodes: DataFrame
+    compiled: lexicon.Compiled
+
+    @property
+    def variants(self):
+        return self.compiled.variants
+
+    @property
+    def patterns(self):
+        return self.compiled.patterns
+
+    @property
+    def nodes(self):
+        return self.compiled.nodes
+
+
+_LEXICONS: dict = {}
 
 
 def corpus_lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
-    lus = lexicon.corpus_lus(spark, table(spark, sf_dir, "part"))
-    v, p, n = lexicon.compile_lexicon(lus)
-    return Lexicon(lus, v, p, n)
+    """Compiled once per (session, data folder) and reused by every query
+    (the reference loads its lexicon once for all jobs)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _LEXICONS:
+        lus = lexicon.corpus_lus(spark, table(spark, sf_dir, "part"))
+        _LEXICONS[key] = Lexicon(lus, lexicon.compile_lexicon(lus))
+    return _LEXICONS[key]
 
 
 def corpus_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

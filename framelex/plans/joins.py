@@ -39,3 +39,12 @@ def fixed_small(df: DataFrame) -> DataFrame:
     """Broadcast hint for a table whose size is fixed by the code (a
     literal list such as the alias or override table), not by data."""
     return F.broadcast(df)
+
+
+def broadcast_within(small: DataFrame, n_rows: int, row_bytes: int = 128,
+                     max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint when a known row bound (computed once, e.g. when the
+    lexicon is compiled) fits; no extra job."""
+    if n_rows <= max_rows and n_rows * row_bytes <= _threshold_bytes(small):
+        return F.broadcast(small)
+    return small

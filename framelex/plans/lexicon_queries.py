@@ -79,7 +79,7 @@ def q_lu_exact_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def _cand_rows(spark: SparkSession, sf: str) -> DataFrame:
     lx = corpus_lexicon(spark, sf)
     toks = corpus_tokens(spark, sf)
-    return match.candidate_rows(toks, lx.patterns, lx.nodes)
+    return match.candidate_rows(toks, lx.compiled)
 
 
 def q_candidates(spark: SparkSession, sf: str) -> DataFrame:

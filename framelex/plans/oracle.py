@@ -34,7 +34,7 @@ def lst(xs) -> str:
 
 def number_words_sql(x: str) -> str:
     ones, tens = lst(fixed.ONES), lst(fixed.TENS)
-    n = f"(CASE WHEN regexp_full_match({x}, '[0-9]{{1,3}}') THEN CAST({x} AS INTEGER) END)"
+    n = f"(CASE WHEN regexp_full_match({x}, '0|[1-9][0-9]{{0,2}}') THEN CAST({x} AS INTEGER) END)"
 
     def b100(v: str) -> str:
         return (f"(CASE WHEN {v} < 20 THEN {ones}[{v} + 1] ELSE {tens}[{v} // 10 + 1] || "
