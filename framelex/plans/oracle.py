@@ -339,3 +339,98 @@ kv AS (SELECT unnest(['accuracy', 'precision', 'recall', 'f1']) AS key,
               unnest([accuracy, "precision", recall, f1]) AS v FROM m)
 SELECT key, rpad(key, 16, ' ') || '=' || CAST(round(v, 6) AS VARCHAR) AS line FROM kv""",
 })
+
+PART_LUS = f"""
+plu AS (SELECT concat_ws('/', p_type, CAST(p_size AS VARCHAR)) AS frame_name,
+               concat_ws('.', p_name, {lst(fixed.PART_POS)}[p_partkey % 5 + 1]) AS lu, p_brand AS lu_def FROM part),
+fld AS (SELECT frame_name, lu, min(lu_def) AS lu_def, split_part(lu, '.', 1) AS lu_no_pos FROM plu GROUP BY frame_name, lu)"""
+
+CHOICE_ROWS = rf"""
+lines AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+         l_returnflag, l_linestatus, l_shipdate,
+         'Ship_' || l_returnflag || l_linestatus || '_' || CAST(l_linenumber AS VARCHAR) AS fn,
+         concat_ws(' ', 'Part', CAST(l_partkey AS VARCHAR), 'from supplier', CAST(l_suppkey AS VARCHAR),
+                   CASE WHEN l_linenumber = 3 THEN 'ships' || chr(10) || 'later' ELSE 'ships' END,
+                   trim(repeat('Word ', CAST(l_quantity * 3 AS INTEGER)))) AS fd,
+         'To place part ' || CAST(l_partkey AS VARCHAR) AS ld
+  FROM lineitem),
+per AS (
+  SELECT l_orderkey, count(*) AS n,
+    string_agg(fn, '~$~' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS frame_names,
+    string_agg(fd, '~$~' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS frame_defs,
+    string_agg(ld, '~$~' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS lu_defs
+  FROM lines GROUP BY l_orderkey),
+crows AS (
+  SELECT o_orderkey AS id,
+    concat_ws(' ', 'Customer', CAST(o_custkey AS VARCHAR), 'placed', 'an', lower(o_orderpriority), 'order') AS sentence,
+    'place.' || {lst(fixed.PART_POS)}[o_orderkey % 5 + 1] AS lu_name, 3 AS lu_head_position,
+    lu_defs, frame_names, frame_defs, CAST(o_orderkey % n AS INTEGER) AS label
+  FROM orders JOIN per ON o_orderkey = l_orderkey),
+cx AS (
+  SELECT id AS example_id, sentence AS text_a, lu_head_position - 1 AS predicate_position, label,
+         len(string_split(frame_defs, '~$~')) AS n_choice,
+         unnest(string_split(frame_defs, '~$~')) AS text_b, generate_subscripts(string_split(frame_defs, '~$~'), 1) - 1 AS choice_idx
+  FROM crows),
+ctext AS (
+  SELECT example_id, choice_idx, lower(text_a) AS text_a, predicate_position, n_choice, label,
+    array_to_string(CASE WHEN regexp_replace(lower(text_b), '^\s+|\s+$', '', 'g') = '' THEN []::VARCHAR[]
+         ELSE string_split_regex(regexp_replace(lower(text_b), '^\s+|\s+$', '', 'g'), '\s+') END[1:100], ' ') AS text_b
+  FROM cx),
+cw AS (
+  SELECT *, string_split_regex(regexp_replace(text_a, '^\s+|\s+$', '', 'g'), '\s+') AS a,
+            CASE WHEN regexp_replace(text_b, '^\s+|\s+$', '', 'g') = '' THEN []::VARCHAR[]
+                 ELSE string_split_regex(regexp_replace(text_b, '^\s+|\s+$', '', 'g'), '\s+') END AS b
+  FROM ctext),
+cf AS (
+  SELECT *, greatest(64 - 3 - len(a), 0) AS room FROM cw),
+cf2 AS (
+  SELECT example_id, choice_idx, n_choice, len(b) > room AS cropped,
+         ['[CLS]'] || a || ['[SEP]'] || b[1:room] || ['[SEP]'] AS inp, a[predicate_position + 1] AS pw
+  FROM cf),
+feats AS (
+  SELECT example_id, choice_idx, n_choice, cropped, CAST(len(inp) AS INTEGER) AS n_real,
+         CAST(CASE WHEN cropped THEN 0 ELSE coalesce(list_position(inp, pw), 0) - 1 END AS INTEGER) AS choice_position
+  FROM cf2)"""
+
+
+def _choice_rows_sql():
+    return CHOICE_ROWS.replace("{MAX_LEN}", "64")
+
+
+SQL.update({
+    "frame_lu_defs": with_blocks(PART_LUS) + "SELECT frame_name, lu, lu_def, lu_no_pos FROM fld",
+    "frame_info": with_blocks(PART_LUS) + """,
+fe AS (SELECT DISTINCT concat_ws('/', p_type, CAST(p_size AS VARCHAR)) AS name, 'FE_' || replace(p_brand, '#', '') AS fe FROM part),
+fes AS (SELECT name, CAST(count(*) AS INTEGER) AS num_elements, array_to_string(list_sort(list(fe)), '|') AS fe_names FROM fe GROUP BY name),
+nl AS (SELECT frame_name AS name, count(*) AS n_lus FROM fld GROUP BY frame_name)
+SELECT name, num_elements, n_lus, fe_names FROM fes JOIN nl USING (name)""",
+    "sample_negatives": with_blocks(PART_LUS) + """,
+ex AS (SELECT frame_name, lu, string_split(lu, '.')[-1] AS pos FROM fld),
+c AS (
+  SELECT e.frame_name, e.lu, d.frame_name AS neg_frame, d.lu AS neg_lu,
+         md5('0|' || d.frame_name || '|' || d.lu) AS rk,
+         CASE WHEN d.frame_name = e.frame_name AND ends_with(d.lu, e.pos) THEN 1
+              WHEN d.frame_name = e.frame_name THEN 2 WHEN ends_with(d.lu, e.pos) THEN 3 ELSE 4 END AS tier
+  FROM ex e JOIN fld d ON d.lu <> e.lu),
+r AS (SELECT *, row_number() OVER (PARTITION BY frame_name, lu ORDER BY tier, rk, neg_frame, neg_lu) - 1 AS rank FROM c)
+SELECT frame_name, lu, neg_frame, neg_lu, CAST(tier AS INTEGER) AS tier, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 4""",
+    "split_files": f"""
+SELECT source, CASE WHEN source IN ({", ".join(q(x) for x in fixed.DEV_SOURCES)}) THEN 'dev'
+                    WHEN source IN ({", ".join(q(x) for x in fixed.TEST_SOURCES)}) THEN 'test' ELSE 'train' END AS split,
+       count(*) AS n_docs
+FROM documents GROUP BY source""",
+    "choice_examples": with_blocks(_choice_rows_sql()) + """
+SELECT example_id, CAST(choice_idx AS INTEGER) AS choice_idx, md5(concat_ws('|', text_a, text_b)) AS text_md5,
+       CAST(n_choice AS INTEGER) AS n_choice, CAST(predicate_position AS INTEGER) AS position, label FROM cx""",
+    "choice_text": with_blocks(_choice_rows_sql()) + "SELECT example_id, CAST(choice_idx AS INTEGER) AS choice_idx, text_a, text_b FROM ctext",
+    "choice_features": with_blocks(_choice_rows_sql()) + """,
+ep AS (SELECT example_id, CASE WHEN min(choice_position) = max(choice_position) THEN min(choice_position) ELSE 0 END AS position,
+              least(any_value(n_choice), 15) AS n_kept FROM feats GROUP BY example_id)
+SELECT example_id, CAST(choice_idx AS INTEGER) AS choice_idx, n_real, cropped, choice_position,
+       CAST(position AS INTEGER) AS position, CAST(n_kept AS INTEGER) AS n_kept FROM feats JOIN ep USING (example_id)""",
+    "choice_crop_count": with_blocks(_choice_rows_sql()) + "SELECT count_if(cropped) AS n_cropped, count(*) AS n_pairs FROM feats",
+    "eval_single_choice": with_blocks(_choice_rows_sql()) + """
+SELECT id AS example_id, string_split(lu_name, '.')[-1] AS lu_pos FROM crows WHERE len(string_split(frame_names, '~$~')) = 1""",
+    "choice_csv": with_blocks(_choice_rows_sql()) + "SELECT id, CAST(len(string_split(frame_defs, '~$~')) AS INTEGER) AS n_choice, label FROM crows",
+})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import choice_queries as cq
+from . import frame_queries as fq
 from . import label_queries as bq
 from . import lexicon_queries as lq
 from .oracle import SQL
@@ -39,6 +40,16 @@ QUERIES = {
     "span_labels": bq.q_span_labels,
     "binary_metrics": bq.q_binary_metrics,
     "metrics_report": bq.q_metrics_report,
+    "frame_lu_defs": fq.q_frame_lu_defs,
+    "frame_info": fq.q_frame_info,
+    "sample_negatives": fq.q_sample_negatives,
+    "split_files": fq.q_split_files,
+    "choice_examples": fq.q_choice_examples,
+    "choice_text": fq.q_choice_text,
+    "choice_features": fq.q_choice_features,
+    "choice_crop_count": fq.q_choice_crop_count,
+    "eval_single_choice": fq.q_eval_single_choice,
+    "choice_csv": fq.q_choice_csv,
 }
 
 
