@@ -434,3 +434,63 @@ SELECT example_id, CAST(choice_idx AS INTEGER) AS choice_idx, n_real, cropped, c
 SELECT id AS example_id, string_split(lu_name, '.')[-1] AS lu_pos FROM crows WHERE len(string_split(frame_names, '~$~')) = 1""",
     "choice_csv": with_blocks(_choice_rows_sql()) + "SELECT id, CAST(len(string_split(frame_defs, '~$~')) AS INTEGER) AS n_choice, label FROM crows",
 })
+
+ANNS = """
+an0 AS (
+  SELECT t.*, lag(start) OVER w AS p_s, lag("end") OVER w AS p_e, lead(start) OVER w AS n_s, lead("end") OVER w AS n_e,
+         lead(text, 2) OVER w AS n2_t, lead(start, 2) OVER w AS n2_s, lead("end", 2) OVER w AS n2_e
+  FROM toks t WHERE pass = 0 WINDOW w AS (PARTITION BY sent_id, pass ORDER BY tok_idx)),
+one1 AS (SELECT key AS g_key, frames[1] AS g_frame FROM pats WHERE n = 1),
+vlu AS (SELECT variant AS v_key, frame AS v_frame, min(lu) AS v_lu FROM variants GROUP BY variant, frame),
+an1 AS (
+  SELECT md5(concat_ws(':', sent_id, CAST(tok_idx AS VARCHAR))) AS ann_id, sent_id, g_frame AS frame_name, v_lu AS lu_name,
+    CASE WHEN lower(n2_t) = lower(text) THEN [{'start': start, 'end': "end"}, {'start': n2_s, 'end': n2_e}]
+         ELSE [{'start': start, 'end': "end"}] END AS target_spans,
+    CASE WHEN n_s IS NOT NULL THEN [{'start': p_s, 'end': p_e, 'name': 'Agent'}, {'start': n_s, 'end': n_e, 'name': 'Theme'}]
+         ELSE [{'start': p_s, 'end': p_e, 'name': 'Agent'}] END AS fe_spans
+  FROM an0 JOIN one1 ON an0.text = one1.g_key
+  LEFT JOIN vlu ON an0.text = vlu.v_key AND one1.g_frame = vlu.v_frame),
+anns AS (
+  SELECT *, list_min(list_transform(target_spans, lambda s: s.start)) AS t_start,
+            list_max(list_transform(target_spans, lambda s: s."end")) AS t_end FROM an1),
+fer AS (
+  SELECT ann_id, sent_id, t_start, t_end, f.name AS fe_name, f.start AS start, f."end" AS "end"
+  FROM (SELECT ann_id, sent_id, t_start, t_end, unnest(fe_spans) AS f FROM anns)
+  WHERE f.start IS NOT NULL AND f."end" IS NOT NULL),
+t0a AS (SELECT sent_id, start AS ts, "end" AS te, tok_idx FROM toks WHERE pass = 0)"""
+
+
+def _align_sql(s: str, e: str, alias: str) -> str:
+    return (f"(SELECT CAST(t.tok_idx AS INTEGER) FROM t0a t WHERE t.sent_id = {alias}.sent_id AND t.ts <= {s} AND {s} < t.te)")
+
+
+ANN_BLOCKS = (SENTS, TOKS, LEX, ANNS)
+FIX_FRAMES = sorted({f for _, f in fixed.FIXTURE_LUS})
+
+SQL.update({
+    "target_spans": with_blocks(*ANN_BLOCKS) + """
+SELECT ann_id, len(target_spans) AS n_parts,
+       array_to_string(list_transform(target_spans, lambda s: concat_ws('-', CAST(s.start AS VARCHAR), CAST(s."end" AS VARCHAR))), ';') AS spans
+FROM anns""",
+    "target_merged": with_blocks(*ANN_BLOCKS) + 'SELECT ann_id, t_start AS start, t_end AS "end" FROM anns',
+    "fe_spans": with_blocks(*ANN_BLOCKS) + """
+SELECT ann_id, len(fe_spans) AS n_fes,
+       array_to_string(list_transform(fe_spans, lambda s: concat_ws(':', s.name, coalesce(CAST(s.start AS VARCHAR), 'none'),
+                                                                     coalesce(CAST(s."end" AS VARCHAR), 'none'))), ';') AS fes
+FROM anns""",
+    "fe_rows": with_blocks(*ANN_BLOCKS) + f""",
+al3 AS (SELECT r.*, {_align_sql('r.start', 'r."end"', 'r')} AS first,
+               {_align_sql('r."end" - 1', '', 'r')} AS last_,
+               {_align_sql('r.t_start', '', 'r')} AS t_first,
+               {_align_sql('r.t_end - 1', '', 'r')} AS t_last_ FROM fer r)
+SELECT ann_id, fe_name, start, "end", first, coalesce(last_, first) AS last, t_first, coalesce(t_last_, t_first) AS t_last FROM al3""",
+    "os_prepare": with_blocks(*ANN_BLOCKS) + f""",
+fr AS (SELECT * FROM {values([(f,) for f in FIX_FRAMES], 'f_name')}),
+dfs AS (SELECT d_lu, d_frame, 'Definition of ' || d_lu AS lu_definition FROM {values(fixed.FIXTURE_LUS, 'd_lu, d_frame')})
+SELECT ann_id, frame_name, lu_name, lu_definition, CASE WHEN f_name IS NOT NULL THEN 'Agent|Theme' END AS frame_fes
+FROM anns LEFT JOIN fr ON anns.frame_name = fr.f_name
+LEFT JOIN dfs ON anns.frame_name = dfs.d_frame AND anns.lu_name = dfs.d_lu""",
+})
+SQL["os_lookup_misses"] = SQL["os_prepare"].replace(
+    "SELECT ann_id, frame_name, lu_name, lu_definition, CASE WHEN f_name IS NOT NULL THEN 'Agent|Theme' END AS frame_fes",
+    "SELECT count_if(lu_definition IS NULL) AS n_missing, count(*) AS n")

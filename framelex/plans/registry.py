@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import annotation_queries as aq
 from . import choice_queries as cq
 from . import frame_queries as fq
 from . import label_queries as bq
@@ -50,6 +51,12 @@ QUERIES = {
     "choice_crop_count": fq.q_choice_crop_count,
     "eval_single_choice": fq.q_eval_single_choice,
     "choice_csv": fq.q_choice_csv,
+    "target_spans": aq.q_target_spans,
+    "target_merged": aq.q_target_merged,
+    "fe_spans": aq.q_fe_spans,
+    "fe_rows": aq.q_fe_rows,
+    "os_prepare": aq.q_os_prepare,
+    "os_lookup_misses": aq.q_os_lookup_misses,
 }
 
 
