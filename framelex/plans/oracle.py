@@ -494,3 +494,42 @@ LEFT JOIN dfs ON anns.frame_name = dfs.d_frame AND anns.lu_name = dfs.d_lu""",
 SQL["os_lookup_misses"] = SQL["os_prepare"].replace(
     "SELECT ann_id, frame_name, lu_name, lu_definition, CASE WHEN f_name IS NOT NULL THEN 'Agent|Theme' END AS frame_fes",
     "SELECT count_if(lu_definition IS NULL) AS n_missing, count(*) AS n")
+
+from ..functions.text import TOKEN_PATTERN  # noqa: E402
+
+SCORE = r"""
+items AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item_no FROM benchmark),
+ni AS (SELECT count(*) AS n FROM benchmark),
+pairs0 AS (SELECT doc_id, CAST(doc_id % 5 + 1 AS INTEGER) AS n_choice, unnest(range(0, CAST(doc_id % 5 + 1 AS INTEGER))) AS choice_idx FROM documents),
+pairs AS (SELECT p.doc_id AS example_id, p.choice_idx, i.item_id AS def_id, CAST(p.doc_id % p.n_choice AS INTEGER) AS label
+          FROM pairs0 p, ni JOIN items i ON i.item_no = (p.doc_id * 7 + p.choice_idx) % ni.n),
+dt AS (SELECT id, term, count(*) AS tf FROM (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark) GROUP BY id, term),
+idf AS (SELECT term, ln((SELECT n FROM ni) / count(*)) AS idf FROM dt GROUP BY term),
+dw AS (SELECT id AS def_id, term, tf * idf AS wd FROM dt JOIN idf USING (term)),
+dn AS (SELECT def_id, sqrt(sum(wd * wd)) AS nd FROM dw GROUP BY def_id),
+ct AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY id, term),
+cw AS (SELECT id AS example_id, term, tf * idf AS wc FROM ct JOIN idf USING (term)),
+cn AS (SELECT example_id, sqrt(sum(wc * wc)) AS nc FROM cw GROUP BY example_id),
+dot AS (SELECT p.example_id, p.choice_idx, sum(wc * wd) AS dot FROM pairs p JOIN cw USING (example_id)
+        JOIN dw ON dw.def_id = p.def_id AND dw.term = cw.term GROUP BY p.example_id, p.choice_idx),
+sc AS (SELECT p.example_id, p.choice_idx, p.def_id, p.label,
+         CASE WHEN coalesce(nc, 0) = 0 OR coalesce(nd, 0) = 0 THEN 0.0 ELSE coalesce(dot, 0.0) / (nc * nd) END AS logit
+       FROM pairs p LEFT JOIN dot USING (example_id, choice_idx) LEFT JOIN cn USING (example_id) LEFT JOIN dn USING (def_id))"""
+
+SQL.update({
+    "choice_tfidf": with_blocks(SCORE) + """
+SELECT example_id AS doc_id, CAST(choice_idx AS INTEGER) AS choice_idx, def_id AS item_id, round(logit, 6) AS score FROM sc""",
+    "frame_identify": with_blocks(SCORE) + """,
+s2 AS (SELECT example_id, choice_idx, label, round(logit, 9) AS logit FROM sc),
+pr AS (SELECT example_id, arg_max(choice_idx, struct_pack(a := logit, b := -choice_idx)) AS pred, any_value(label) AS label
+       FROM s2 GROUP BY example_id)
+SELECT round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM pr""",
+    "pad_global": f"""
+WITH per AS (SELECT item_id, CAST(len(regexp_extract_all(text, '{TOKEN_PATTERN}')) AS BIGINT) AS n_real FROM benchmark
+             WHERE len(regexp_extract_all(text, '{TOKEN_PATTERN}')) > 0)
+SELECT item_id, n_real, (SELECT max(n_real) FROM per) AS n_total, (SELECT max(n_real) FROM per) - n_real AS n_pad FROM per""",
+    "stage_roundtrip": with_blocks(SENTS, TOKS) + """
+SELECT sent_id, start, "end" FROM toks WHERE pass = 0 AND regexp_matches(text, '^[A-Z]')""",
+    "feature_cache": with_blocks(SENTS, TOKS) + """
+SELECT sent_id, count(*) AS n_tokens, TRUE AS reused FROM toks WHERE pass = 0 GROUP BY sent_id""",
+})

@@ -7,6 +7,7 @@ from . import choice_queries as cq
 from . import frame_queries as fq
 from . import label_queries as bq
 from . import lexicon_queries as lq
+from . import score_queries as sq
 from .oracle import SQL
 
 QUERIES = {
@@ -57,6 +58,11 @@ QUERIES = {
     "fe_rows": aq.q_fe_rows,
     "os_prepare": aq.q_os_prepare,
     "os_lookup_misses": aq.q_os_lookup_misses,
+    "choice_tfidf": sq.q_choice_tfidf,
+    "frame_identify": sq.q_frame_identify,
+    "pad_global": sq.q_pad_global,
+    "stage_roundtrip": sq.q_stage_roundtrip,
+    "feature_cache": sq.q_feature_cache,
 }
 
 
