@@ -533,3 +533,6 @@ SELECT sent_id, start, "end" FROM toks WHERE pass = 0 AND regexp_matches(text, '
     "feature_cache": with_blocks(SENTS, TOKS) + """
 SELECT sent_id, count(*) AS n_tokens, TRUE AS reused FROM toks WHERE pass = 0 GROUP BY sent_id""",
 })
+
+SQL["stream_tagger"] = with_blocks(*CAND, recursive=True) + """
+SELECT lu, count(*) AS n_hits FROM lu_hits JOIN sents USING (sent_id) GROUP BY lu"""

@@ -63,6 +63,7 @@ QUERIES = {
     "pad_global": sq.q_pad_global,
     "stage_roundtrip": sq.q_stage_roundtrip,
     "feature_cache": sq.q_feature_cache,
+    "stream_tagger": sq.q_stream_tagger,
 }
 
 
