@@ -536,3 +536,20 @@ SELECT sent_id, count(*) AS n_tokens, TRUE AS reused FROM toks WHERE pass = 0 GR
 
 SQL["stream_tagger"] = with_blocks(*CAND, recursive=True) + """
 SELECT lu, count(*) AS n_hits FROM lu_hits JOIN sents USING (sent_id) GROUP BY lu"""
+
+SQL.update({
+    "src_frame_xml": with_blocks(PART_LUS) + """,
+fe AS (SELECT DISTINCT concat_ws('/', p_type, CAST(p_size AS VARCHAR)) AS name, 'FE_' || replace(p_brand, '#', '') AS fe,
+              'Brand ' || p_brand AS fe_def FROM part),
+fes AS (SELECT name, CAST(count(*) AS INTEGER) AS num_elements, array_to_string(list_sort(list(fe)), '|') AS fe_names,
+               array_to_string(list_sort(list(fe_def)), '|') AS fe_defs FROM fe GROUP BY name),
+nl AS (SELECT frame_name AS name, CAST(count(*) AS INTEGER) AS n_lus FROM fld GROUP BY frame_name)
+SELECT name, 'Frame ' || name || ' moves.' AS definition, num_elements, coalesce(n_lus, 0) AS n_lus, fe_names, fe_defs
+FROM fes LEFT JOIN nl USING (name)""",
+    "src_lu_index": with_blocks(LEX) + "SELECT name, frame FROM lus",
+    "src_fulltext_xml": with_blocks(*ANN_BLOCKS) + """
+SELECT ann_id, sent_id, frame_name, lu_name,
+       array_to_string(list_transform(target_spans, lambda s: concat_ws('-', CAST(s.start AS VARCHAR), CAST(s."end" AS VARCHAR))), ';') AS targets,
+       t_start AS start, t_end AS "end", len(fe_spans) AS n_fes
+FROM anns""",
+})

@@ -8,6 +8,7 @@ from . import frame_queries as fq
 from . import label_queries as bq
 from . import lexicon_queries as lq
 from . import score_queries as sq
+from . import source_queries as xq
 from .oracle import SQL
 
 QUERIES = {
@@ -64,6 +65,9 @@ QUERIES = {
     "stage_roundtrip": sq.q_stage_roundtrip,
     "feature_cache": sq.q_feature_cache,
     "stream_tagger": sq.q_stream_tagger,
+    "src_frame_xml": xq.q_src_frame_xml,
+    "src_lu_index": xq.q_src_lu_index,
+    "src_fulltext_xml": xq.q_src_fulltext_xml,
 }
 
 
