@@ -68,6 +68,7 @@ QUERIES = {
     "src_frame_xml": xq.q_src_frame_xml,
     "src_lu_index": xq.q_src_lu_index,
     "src_fulltext_xml": xq.q_src_fulltext_xml,
+    "filter_predictions": bq.q_filter_predictions,
 }
 
 
