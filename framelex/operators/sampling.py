@@ -64,13 +64,18 @@ def sample_negatives(examples: DataFrame, defs: DataFrame, k: int = 4, seed: int
     t2 = top_k_per_group(d, ["c_frame"], order, keep)
     t3 = top_k_per_group(sfx, ["sfx"], order, keep)
     # global first rows: per-partition top-k then a merge (no single-task window)
-    t4 = d.orderBy(*order).limit(keep).withColumn("_all", F.lit(0))
+    t4 = d.orderBy(*order).limit(keep)
+    # replicate the bounded list over a few hash buckets of the examples:
+    # an equi-join on the bucket (a constant key would be folded into a
+    # nested-loop join)
+    t4 = t4.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))).alias("_b"))
     c1 = ex.join(t1, (ex["frame_name"] == t1["c_frame"]) & (ex["pos"] == t1["sfx"])).withColumn("tier", F.lit(1))
     c2 = ex.join(t2, ex["frame_name"] == t2["c_frame"]).withColumn("tier", F.lit(2))
     # t3 has at most keep rows per POS string and t4 keep rows: both are
     # bounded lists, broadcast and equi-joined (t4 on a constant key)
     c3 = ex.join(broadcast_within(t3, n_pos * keep), ex["pos"] == t3["sfx"]).withColumn("tier", F.lit(3))
-    c4 = ex.withColumn("_all", F.lit(0)).join(F.broadcast(t4), "_all").withColumn("tier", F.lit(4))
+    c4 = (ex.withColumn("_b", F.pmod(F.xxhash64("frame_name", "lu"), F.lit(SALT_BUCKETS)).cast("int"))
+          .join(broadcast_within(t4, keep * SALT_BUCKETS), "_b").withColumn("tier", F.lit(4)))
     cols = ["frame_name", "lu", "c_frame", "c_lu", "rk", "tier"]
     allc = (c1.select(*cols).unionByName(c2.select(*cols)).unionByName(c3.select(*cols))
             .unionByName(c4.select(*cols)).where(F.col("c_lu") != F.col("lu")))
