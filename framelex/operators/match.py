@@ -32,15 +32,19 @@ def alias_table(spark) -> DataFrame:
 
 
 def _with_leads(toks: DataFrame, lmax: int) -> DataFrame:
-    """Next ``lmax-1`` tokens' text, lemma, stem, POS and end as arrays."""
+    """Next ``lmax-1`` tokens' text, lemma, stem, POS and end as arrays:
+    one struct-valued ``lead`` per offset (same window spec as the token
+    offsets, so the sort is shared), unpacked by plain field access."""
     w = Window.partitionBy("sent_id", "pass").orderBy("tok_idx")
-    out = toks
-    ks = range(1, max(lmax, 1))
+    ks = list(range(1, max(lmax, 1)))
+    nxt = F.struct("text", "lemma", "stem", "pos", "end")
+    out = toks.select("*", *[F.lead(nxt, k).over(w).alias(f"_n{k}") for k in ks])
+    cols = {}
     for name in ("text", "lemma", "stem", "pos", "end"):
-        cols = [F.lead(name, k).over(w) for k in ks]
-        out = out.withColumn("nx_" + name, F.array(*cols) if cols else F.array().cast(
-            "array<int>" if name == "end" else "array<string>"))
-    return out
+        items = [F.col(f"_n{k}")[name] for k in ks]
+        cols["nx_" + name] = F.array(*items) if items else F.array().cast(
+            "array<int>" if name == "end" else "array<string>")
+    return out.withColumns(cols).drop(*[f"_n{k}" for k in ks])
 
 
 def override_table(spark) -> DataFrame:
@@ -51,12 +55,18 @@ def _starts(toks: DataFrame, spell_b: DataFrame) -> DataFrame:
     """One row per (token, view) whose start word is known; the override
     view (L20) is a start that does not walk and ends ``extra`` chars
     later (not on the first token of the first pass)."""
-    spark = toks.sparkSession
-    al = fixed_small(alias_table(spark))
-    ov = fixed_small(override_table(spark))
-    t = toks.join(al, toks["text"] == al["a_form"], "left")
-    t = t.join(ov, (t["lemma"] == ov["o_lemma"]) & (t["pos"] == ov["o_pos"]) &
-               ~((t["pass"] == 0) & (t["tok_idx"] == 0)), "left")
+    # the alias and override tables are fixed lists of a few entries:
+    # CASE expressions, not joins
+    a_word = F.lit(None).cast("string")
+    for form, word in reversed(fixed.ALIASES):
+        a_word = F.when(F.col("text") == form, F.lit(word)).otherwise(a_word)
+    o_lu, o_extra = F.lit(None).cast("string"), F.lit(None).cast("int")
+    not_first = ~((F.col("pass") == 0) & (F.col("tok_idx") == 0))
+    for lem, pos, lu, extra in reversed(fixed.OVERRIDES):
+        hit = (F.col("lemma") == lem) & (F.col("pos") == pos) & not_first
+        o_lu = F.when(hit, F.lit(lu)).otherwise(o_lu)
+        o_extra = F.when(hit, F.lit(extra)).otherwise(o_extra)
+    t = toks.select("*", a_word.alias("a_word"), o_lu.alias("o_lu"), o_extra.alias("o_extra"))
     for src in ("text", "lemma", "stem"):
         s = spell_b.select(F.col("variant").alias("sv_" + src), F.col("root").alias("sr_" + src))
         t = t.join(s, t[src] == s["sv_" + src], "left")
