@@ -218,18 +218,30 @@ def subsumed(spans: DataFrame) -> DataFrame:
     """L25 (defined but never called in the reference): per sentence, the
     greedy sweep over spans sorted by (start, end) that keeps a span when
     it starts after the last kept end; a longer span with the same start
-    replaces it. Sequential, so grouped pandas per sentence."""
+    replaces it — so per start only the longest span competes.
+
+    The sweep is sequential, so it runs in ``mapInPandas`` over spans
+    clustered by sentence and sorted by start inside each partition; the
+    state (current sentence, last kept end) carries across Arrow batches.
+    No group is materialised."""
     import pandas as pd
 
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = pdf.groupby("start", as_index=False)["end"].max().sort_values("start")
-        keep_s, keep_e, last_end = [], [], -1
-        for s, e in zip(best["start"].tolist(), best["end"].tolist()):
-            if s > last_end:
-                keep_s.append(s)
-                keep_e.append(e)
-                last_end = e
-        return pd.DataFrame({"sent_id": pdf["sent_id"].iloc[0], "start": keep_s, "end": keep_e})
-
-    return (spans.select("sent_id", "start", "end").groupBy("sent_id")
-            .applyInPandas(sweep, "sent_id string, start int, end int"))
+    longest = spans.groupBy("sent_id", "start").agg(F.max("end").alias("end"))
+    ordered = longest.repartition("sent_id").sortWithinPartitions("sent_id", "start")
+
+    def sweep(batches):
+        cur, last_end = None, -1
+        for pdf in batches:
+            ks, kst, ken = [], [], []
+            for a, st, en in zip(pdf["sent_id"].tolist(), pdf["start"].tolist(), pdf["end"].tolist()):
+                if a != cur:
+                    cur, last_end = a, -1
+                if st > last_end:
+                    ks.append(a)
+                    kst.append(st)
+                    ken.append(en)
+                    last_end = en
+            yield pd.DataFrame({"sent_id": pd.Series(ks, dtype="object"), "start": pd.Series(kst, dtype="int32"),
+                                "end": pd.Series(ken, dtype="int32")})
+
+    return ordered.mapInPandas(sweep, "sent_id string, start int, end int")
