@@ -38,3 +38,13 @@ def tfidf_scores(pairs: DataFrame, contexts: DataFrame, defs: DataFrame, n_defs:
     score = F.when((F.coalesce("nc", F.lit(0.0)) == 0) | (F.coalesce("nd", F.lit(0.0)) == 0), F.lit(0.0)).otherwise(
         F.coalesce("dot", F.lit(0.0)) / (F.col("nc") * F.col("nd")))
     return s.select("example_id", "choice_idx", "def_id", score.alias("logit"))
+
+
+# scorers by name; a scorer maps (pairs, contexts, defs, n_defs) to logits
+SCORERS = {"tfidf": tfidf_scores}
+
+
+def scorer(name: str):
+    if name not in SCORERS:
+        raise ValueError(f"unknown scorer {name!r}")
+    return SCORERS[name]

@@ -163,3 +163,24 @@ def check_header(spark, path: str, mode: str = "train") -> None:
     header = spark.read.option("header", True).csv(path).columns
     if mode == "train" and (not header or header[-1] != "label"):
         raise ValueError("For training, the input file must contain a label column.")
+
+
+def q_choice_split_read(spark, sf):
+    """Choice rows as one CSV table partitioned by split (order status
+    F -> train, O -> dev, P -> test); the dev split is read by partition
+    pruning."""
+    from ..sources import files
+    st = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "dev")
+                                            .when(F.col("o_orderstatus") == "P", "test").otherwise("train").alias("split"))
+    rows = choice_rows(spark, sf).join(st, "id")
+    path = scratch_path(spark, f"choice_splits/{uuid.uuid4().hex}")
+    files.write_choice_splits(rows, path)
+    dev = files.read_choice_csv(spark, path, CHOICE_SCHEMA, "dev")
+    return dev.select("id", "split", F.size(choices.split_choices(F.col("frame_defs"))).alias("n_choice"), "label")
+
+
+def q_choice_nested(spark, sf):
+    """Per-example nested choices."""
+    n = choices.nest(_features(spark, sf))
+    return n.select("example_id", F.size("choices").alias("n"),
+                    F.array_join(F.transform("n_real_per_choice", lambda x: x.cast("string")), ",").alias("n_real"))

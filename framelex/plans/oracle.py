@@ -553,3 +553,12 @@ SELECT ann_id, sent_id, frame_name, lu_name,
        t_start AS start, t_end AS "end", len(fe_spans) AS n_fes
 FROM anns""",
 })
+
+SQL.update({
+    "choice_split_read": with_blocks(_choice_rows_sql()) + """
+SELECT c.id, 'dev' AS split, CAST(len(string_split(frame_defs, '~$~')) AS INTEGER) AS n_choice, label
+FROM crows c JOIN orders o ON c.id = o.o_orderkey WHERE o.o_orderstatus = 'O'""",
+    "choice_nested": with_blocks(_choice_rows_sql()) + """
+SELECT example_id, count(*) AS n, string_agg(CAST(n_real AS VARCHAR), ',' ORDER BY choice_idx) AS n_real
+FROM feats GROUP BY example_id""",
+})

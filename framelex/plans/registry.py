@@ -69,6 +69,8 @@ QUERIES = {
     "src_lu_index": xq.q_src_lu_index,
     "src_fulltext_xml": xq.q_src_fulltext_xml,
     "filter_predictions": bq.q_filter_predictions,
+    "choice_split_read": fq.q_choice_split_read,
+    "choice_nested": fq.q_choice_nested,
 }
 
 

@@ -48,3 +48,24 @@ def test_header_check(spark, tmp_path):
     spark.createDataFrame([(1, "a")], "id INT, sentence STRING").write.option("header", True).csv(p)
     with pytest.raises(ValueError):
         frame_queries.check_header(spark, p)
+
+
+def test_registries():
+    from framelex.operators import scoring
+    assert choices.processor("fn1.7") == "frame"
+    with pytest.raises(ValueError):
+        choices.processor("swag")
+    assert scoring.scorer("tfidf") is scoring.tfidf_scores
+    with pytest.raises(ValueError):
+        scoring.scorer("bert")
+
+
+def test_sinks(spark, tmp_path):
+    from framelex.sources import files
+    df = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "k INT, line STRING")
+    p = str(tmp_path / "lines")
+    files.write_lines(df, ["k"], "line", p)
+    got = [r.value for r in spark.read.text(p).collect()]
+    assert sorted(got) == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        files.read_choice_csv(spark, p, frame_queries.CHOICE_SCHEMA, "holdout")
