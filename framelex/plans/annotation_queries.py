@@ -17,6 +17,9 @@ from ..operators import spans
 from ..plans.joins import broadcast_within
 from .context import corpus_lexicon, corpus_tokens
 
+OS_SCHEMA = ("text STRING, frame STRING, lu STRING, target STRUCT<start: INT, end: INT>, "
+             "fe ARRAY<STRUCT<start: INT, end: INT, name: STRING>>, ann_id STRING")
+
 # --- fixed values: frame elements of the fixture frames ---
 FIXTURE_FES = [("Agent", "The one acting"), ("Theme", "The thing acted on")]
 
@@ -99,6 +102,13 @@ def q_os_prepare(spark, sf):
     a = annotations(spark, sf)
     os_in = a.select(F.col("sent_id").alias("text"), F.col("frame_name").alias("frame"), F.col("lu_name").alias("lu"),
                      F.col("target_merged").alias("target"), F.col("fe_spans").alias("fe"), "ann_id")
+    # The OS table is a Parquet stage (the reference pickles it), read
+    # back with an explicit schema
+    import uuid
+    from ..session import scratch_path
+    path = scratch_path(spark, f"os/{uuid.uuid4().hex}")
+    os_in.write.mode("overwrite").parquet(path)
+    os_in = spark.read.schema(OS_SCHEMA).parquet(path)
     os_t = (os_in.where(F.col("frame") != "Time_vector")
             .withColumnsRenamed({"text": "sentence", "frame": "frame_name", "lu": "lu_name",
                                  "target": "target_span", "fe": "fe_spans"}))

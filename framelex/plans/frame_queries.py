@@ -58,7 +58,8 @@ def frame_records(spark, sf) -> DataFrame:
 
 
 def q_frame_info(spark, sf):
-    r = frame_records(spark, sf)
+    """Frame records, sorted by name as the reference's sink."""
+    r = frame_records(spark, sf).orderBy("name")
     return r.select("name", F.col("num_elements").cast("int").alias("num_elements"), "n_lus",
                     F.array_join(F.sort_array(F.map_keys("fes")), "|").alias("fe_names"))
 

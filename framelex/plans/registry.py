@@ -74,8 +74,23 @@ QUERIES = {
 }
 
 
+def _configured(fn):
+    """Apply the library's session settings before building the query, so
+    a caller's own session behaves the same (map-key policy, AQE, ...)."""
+    from functools import wraps
+
+    from ..session import configure
+
+    @wraps(fn)
+    def run(spark, sf_dir):
+        configure(spark)
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def queries():
-    return dict(QUERIES)
+    return {k: _configured(v) for k, v in QUERIES.items()}
 
 
 def oracle_sql():
