@@ -21,7 +21,7 @@ def _threshold_bytes(df: DataFrame) -> int:
 
 
 def size_checked(small: DataFrame, row_bytes: int = 128,
-                 max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                 max_rows: int | None = None) -> DataFrame:
     """Return ``small`` with a broadcast hint if it is provably small.
 
     The check is a ``count()`` (one cheap job on a small dimension table),
@@ -29,6 +29,7 @@ def size_checked(small: DataFrame, row_bytes: int = 128,
     returned unhinted: Spark then plans a shuffle join and AQE can split
     skewed partitions.
     """
+    max_rows = DEFAULT_MAX_BROADCAST_ROWS if max_rows is None else max_rows
     n = small.count()
     if n <= max_rows and n * row_bytes <= _threshold_bytes(small):
         return F.broadcast(small)
@@ -42,9 +43,11 @@ def fixed_small(df: DataFrame) -> DataFrame:
 
 
 def broadcast_within(small: DataFrame, n_rows: int, row_bytes: int = 128,
-                     max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                     max_rows: int | None = None) -> DataFrame:
     """Broadcast hint when a known row bound (computed once, e.g. when the
-    lexicon is compiled) fits; no extra job."""
+    lexicon is compiled) fits; no extra job. Beyond it the side is left to
+    Spark's own choice (shuffle join under AQE)."""
+    max_rows = DEFAULT_MAX_BROADCAST_ROWS if max_rows is None else max_rows
     if n_rows <= max_rows and n_rows * row_bytes <= _threshold_bytes(small):
         return F.broadcast(small)
     return small
