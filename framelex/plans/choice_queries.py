@@ -23,9 +23,7 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 
 def lineitem_logits(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    r = rank_in_group(li, ["l_orderkey"], LINE_ORDER, "choice_idx")
-    n = r.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_choice"))
-    r = r.join(n, "l_orderkey")
+    r = rank_in_group(li, ["l_orderkey"], LINE_ORDER, "choice_idx", size_name="n_choice")
     return r.select(F.col("l_orderkey").alias("example_id"), "choice_idx",
                     (F.col("l_discount") * 10).alias("logit"),
                     (F.col("l_orderkey") % F.col("n_choice")).cast("int").alias("label"),
