@@ -562,3 +562,14 @@ FROM crows c JOIN orders o ON c.id = o.o_orderkey WHERE o.o_orderstatus = 'O'"""
 SELECT example_id, count(*) AS n, string_agg(CAST(n_real AS VARCHAR), ',' ORDER BY choice_idx) AS n_real
 FROM feats GROUP BY example_id""",
 })
+
+SQL["cand_subsumed"] = with_blocks(*CAND, recursive=True) + """,
+longest AS (SELECT sent_id, start, max("end") AS "end" FROM cands GROUP BY sent_id, start),
+ord AS (SELECT sent_id, start, "end", row_number() OVER (PARTITION BY sent_id ORDER BY start) AS rn FROM longest),
+sweep AS (
+  SELECT sent_id, rn, "end" AS last_end, start AS k_start, "end" AS k_end FROM ord WHERE rn = 1
+  UNION ALL
+  SELECT o.sent_id, o.rn, CASE WHEN o.start > s.last_end THEN o."end" ELSE s.last_end END,
+         CASE WHEN o.start > s.last_end THEN o.start END, CASE WHEN o.start > s.last_end THEN o."end" END
+  FROM sweep s JOIN ord o ON o.sent_id = s.sent_id AND o.rn = s.rn + 1)
+SELECT sent_id, k_start AS start, k_end AS "end" FROM sweep WHERE k_start IS NOT NULL"""
