@@ -20,22 +20,6 @@ def _threshold_bytes(df: DataFrame) -> int:
     return max(n, 64 * 1024 * 1024) if n > 0 else 64 * 1024 * 1024
 
 
-def size_checked(small: DataFrame, row_bytes: int = 128,
-                 max_rows: int | None = None) -> DataFrame:
-    """Return ``small`` with a broadcast hint if it is provably small.
-
-    The check is a ``count()`` (one cheap job on a small dimension table),
-    multiplied by a per-row byte estimate. Beyond the bound the side is
-    returned unhinted: Spark then plans a shuffle join and AQE can split
-    skewed partitions.
-    """
-    max_rows = DEFAULT_MAX_BROADCAST_ROWS if max_rows is None else max_rows
-    n = small.count()
-    if n <= max_rows and n * row_bytes <= _threshold_bytes(small):
-        return F.broadcast(small)
-    return small
-
-
 def fixed_small(df: DataFrame) -> DataFrame:
     """Broadcast hint for a table whose size is fixed by the code (a
     literal list such as the alias or override table), not by data."""
