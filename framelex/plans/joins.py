@@ -15,9 +15,12 @@ def _threshold_bytes(df: DataFrame) -> int:
         n = int(str(v).lower().replace("b", ""))
     except ValueError:
         n = 10 * 1024 * 1024
-    # small dimension tables of this library are allowed up to 64 MB even
-    # when the session threshold is lower; never more.
-    return max(n, 64 * 1024 * 1024) if n > 0 else 64 * 1024 * 1024
+    # broadcasting disabled by the session (-1): respect it. Otherwise the
+    # library's bounded dimension tables may use up to 64 MB even when the
+    # session threshold is lower (Spark's own default is 10 MB).
+    if n <= 0:
+        return 0
+    return max(n, 64 * 1024 * 1024)
 
 
 def fixed_small(df: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from test_golden import GOLDEN, adjust, run
 
 
 def test_walk_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(joins, "DEFAULT_MAX_BROADCAST_ROWS", 0)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
