@@ -92,9 +92,9 @@ def choice_rows(spark: SparkSession, sf: str) -> DataFrame:
     per = (li.select("l_orderkey", F.struct(*LINE_ORDER, name.alias("fn"), defn.alias("fd"), ludef.alias("ld")).alias("c"))
            .groupBy("l_orderkey").agg(F.sort_array(F.collect_list("c")).alias("cs")))
     per = per.select("l_orderkey", F.size("cs").alias("n"),
-                     F.array_join(F.transform("cs", lambda c: c["fn"]), fixed.CHOICE_SEP).alias("frame_names"),
-                     F.array_join(F.transform("cs", lambda c: c["fd"]), fixed.CHOICE_SEP).alias("frame_defs"),
-                     F.array_join(F.transform("cs", lambda c: c["ld"]), fixed.CHOICE_SEP).alias("lu_defs"))
+                     F.array_join(F.col("cs")["fn"], fixed.CHOICE_SEP).alias("frame_names"),
+                     F.array_join(F.col("cs")["fd"], fixed.CHOICE_SEP).alias("frame_defs"),
+                     F.array_join(F.col("cs")["ld"], fixed.CHOICE_SEP).alias("lu_defs"))
     j = o.join(per, o["o_orderkey"] == per["l_orderkey"])
     return j.select(F.col("o_orderkey").alias("id"),
                     F.concat_ws(" ", F.lit("Customer"), F.col("o_custkey").cast("string"), F.lit("placed"),

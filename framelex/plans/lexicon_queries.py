@@ -16,8 +16,8 @@ def q_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return (t.groupBy("sent_id", "pass")
             .agg(F.count(F.lit(1)).alias("n_tokens"),
                  F.sum("start").alias("sum_start"), F.sum("end").alias("sum_end"),
-                 F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tok_idx", "text"))),
-                                                lambda x: x["text"]), " ")).alias("tokens_md5")))
+                 F.md5(F.array_join(F.sort_array(F.collect_list(F.struct("tok_idx", "text")))["text"],
+                                    " ")).alias("tokens_md5")))
 
 
 def q_distinct_sentences(spark: SparkSession, sf: str) -> DataFrame:
