@@ -14,6 +14,9 @@ PIECE_PATTERN = r"\s+|[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 # The same pieces, each word/punctuation piece with the blanks before it:
 # one match per token, so the token index is the match index.
 TOKEN_PATTERN = r"\s*(?:[\p{L}\p{N}]+|[^\s\p{L}\p{N}])"
+# The same for Java with possessive quantifiers (no backtracking; matches
+# are identical because the blanks and the letter run cannot give back).
+TOKEN_PATTERN_JAVA = r"\s*+(?:[\p{L}\p{N}]++|[^\s\p{L}\p{N}])"
 STEM_PATTERN = r"^(.{3,}?)(ing|ed|ly|es|s)$"
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
-from ..functions.text import SENTENCE_SPLIT, TOKEN_PATTERN, number_words, stem, strip_ws
+from ..functions.text import SENTENCE_SPLIT, TOKEN_PATTERN_JAVA, number_words, stem, strip_ws
 from ..plans.joins import fixed_small
 
 
@@ -57,7 +57,7 @@ def tokens(sents: DataFrame, passes: bool = True) -> DataFrame:
                                  F.translate(F.col("sentence"), "-", " ").alias("txt")))
     p = (sents.select("sent_id", F.explode(F.array(*variants)).alias("v"))
          .select("sent_id", F.col("v.pass").alias("pass"),
-                 F.posexplode(F.regexp_extract_all(F.col("v.txt"), F.lit(TOKEN_PATTERN), 0)).alias("tok_idx", "m")))
+                 F.posexplode(F.regexp_extract_all(F.col("v.txt"), F.lit(TOKEN_PATTERN_JAVA), 0)).alias("tok_idx", "m")))
     w = Window.partitionBy("sent_id", "pass").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, 0)
     piece = F.regexp_replace("m", r"^\s+", "")
     p = p.select("sent_id", "pass", F.col("tok_idx").cast("int").alias("tok_idx"), piece.alias("piece"),
