@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 # Settings every job relies on: ANSI semantics (casts and divisions fail
 # loudly), adaptive execution (coalescing, skew-join splitting), last-wins
-# map keys (the reference's dict semantics) and UTC.
+# map keys and UTC.
 BASE_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
@@ -54,18 +54,19 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and stage outputs.
 
-    Read from ``spark.checkpoint.dir`` (the cluster's shared folder). Only
-    when it is unset (local tests) a scratch folder is made and registered.
+    Read from ``spark.checkpoint.dir`` (the cluster's shared folder), or the
+    folder set on the context. Where both are unset, a local session (tests)
+    gets a scratch folder; on a cluster that is an error, because a folder of
+    the driver's own disk would be invisible to the executors.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="framelex-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 

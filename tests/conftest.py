@@ -15,7 +15,5 @@ def spark():
     from framelex.session import get_spark
     s = get_spark("local[4]", shuffle_partitions=8, app="framelex-tests")
     if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="framelex-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framelex-test-ckpt-"))
     yield s
