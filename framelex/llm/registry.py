@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import sharding, url_filter
+from . import packing, sharding, url_filter
 from .common import table
 
 #: Rules of op1 (host, path, verdict).
@@ -26,9 +26,20 @@ def op8_sharding(spark, sf_dir):
     return t.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+#: Tokenizer of op10, a file of the public_tokenizers package.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op10_packing(spark, sf_dir):
+    pieces = packing.pieces(table(spark, sf_dir, "documents"), TOKENIZER, capacity=4096, end_id=1)
+    return packing.pack(pieces, capacity=4096).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op8_sharding": op8_sharding,
+    "op10_packing": op10_packing,
 }
 
 SQL = {
