@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, sharding, url_filter
+from . import packing, sharding, simhash_dedup, url_filter
 from .common import table
 
 #: Rules of op1 (host, path, verdict).
@@ -36,8 +36,14 @@ def op10_packing(spark, sf_dir):
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_simhash_dedup(spark, sf_dir):
+    groups = simhash_dedup.cluster(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op5_simhash_dedup": op5_simhash_dedup,
     "op8_sharding": op8_sharding,
     "op10_packing": op10_packing,
 }
