@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash_dedup, url_filter
+from . import packing, sharding, simhash_dedup, substring_dedup, url_filter
 from .common import table
 
 #: Rules of op1 (host, path, verdict).
@@ -36,6 +36,11 @@ def op10_packing(spark, sf_dir):
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_substring_dedup(spark, sf_dir):
+    out = substring_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_simhash_dedup(spark, sf_dir):
     groups = simhash_dedup.cluster(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -43,6 +48,7 @@ def op5_simhash_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op8_sharding": op8_sharding,
     "op10_packing": op10_packing,
