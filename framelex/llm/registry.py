@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash_dedup, substring_dedup, url_filter
+from . import mixing, packing, sharding, simhash_dedup, substring_dedup, url_filter
 from .common import table
 
 #: Rules of op1 (host, path, verdict).
@@ -36,6 +36,12 @@ def op10_packing(spark, sf_dir):
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    return mixing.plan(docs, weights=(5, 2, 1), share=1.5, cap=2.0).select(
+        "doc_id", "size", "source_size", "target", mixing.taken().alias("taken"))
+
+
 def op3_substring_dedup(spark, sf_dir):
     out = substring_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -48,6 +54,7 @@ def op5_simhash_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op8_sharding": op8_sharding,
@@ -55,6 +62,23 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_mixing": r"""
+        WITH d AS (
+          SELECT doc_id, source, md5('0|' || coalesce(doc_id::VARCHAR, '')) AS spot,
+                 coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
+                     2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS everything FROM s),
+        l AS (SELECT *, (everything - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                        / sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, cap / weight) FROM l WHERE level <= cap / weight) * weight, cap)) AS target FROM l),
+        p AS (SELECT doc_id, size, source_size, target, round(target)::BIGINT AS quota,
+                     (sum(size) OVER (PARTITION BY d.source ORDER BY spot, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS place
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               CASE WHEN source_size = 0 THEN 0 ELSE (quota // source_size) * size
+                    + greatest(0, least(size, quota % source_size - place)) END::BIGINT AS taken
+        FROM p""",
     "op1_url_filter": r"""
         WITH cut AS (
           SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
