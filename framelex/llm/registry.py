@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, simhash_dedup, substring_dedup, url_filter
+from . import mixing, packing, sharding, simhash_dedup, substring_dedup, toxicity, url_filter
 from .common import table
 
 #: Rules of op1 (host, path, verdict).
@@ -18,6 +18,14 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels"), learn=~held))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("bigint").alias("size"),
@@ -57,6 +65,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
     "op10_packing": op10_packing,
 }
