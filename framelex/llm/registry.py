@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, simhash_dedup, substring_dedup, toxicity, url_filter
+from . import fingerprint, mixing, packing, sharding, simhash_dedup, substring_dedup, toxicity, url_filter
 from .common import table
 
 #: Rules of op1 (host, path, verdict).
@@ -34,6 +34,20 @@ def op8_sharding(spark, sf_dir):
     return t.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_fingerprint(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("n_chars", F.length("text").cast("bigint"))
+    t = fingerprint.with_next(docs, ["doc_id", "text"], ["text"])
+    edited = F.concat(F.expr("substring(text, 1, int(n_chars) - int(n_chars div 2))"), F.expr("substring(next_text, 1, int(n_chars div 2))"))
+    t = t.withColumn("edited", edited).select("doc_id", "n_chars", "text", "edited", F.xxhash64("text").alias("h"), F.unhex(F.sha2("edited", 256)).alias("sha"))
+    keys = ["doc_id", "n_chars", "h", "sha"]
+    prints = fingerprint.fingerprints(t, keys, {"fp": "text", "ed": "edited"})
+    prints = fingerprint.with_next(prints, ["doc_id", "h"], ["fp_0", "fp_1"])
+    return prints.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
+                         fingerprint.as_string("fp").alias("fingerprint"), fingerprint.as_string("ed").alias("edited_fingerprint"),
+                         fingerprint.likeness("fp", "ed").alias("near_edited"), fingerprint.likeness("fp", "next_fp").alias("near_next"))
+
+
 #: Tokenizer of op10, a file of the public_tokenizers package.
 TOKENIZER = "word_bpe_49k.json"
 
@@ -67,6 +81,7 @@ QUERIES = {
     "op5_simhash_dedup": op5_simhash_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
+    "op9_fingerprint": op9_fingerprint,
     "op10_packing": op10_packing,
 }
 
