@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, packing, sharding, simhash_dedup, substring_dedup, toxicity, url_filter
+from . import ann, fingerprint, mixing, packing, sharding, simhash_dedup, substring_dedup, toxicity, url_filter
 from .common import table
 
 #: Rules of op1 (host, path, verdict).
@@ -69,6 +69,10 @@ def op3_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_ann(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_simhash_dedup(spark, sf_dir):
     groups = simhash_dedup.cluster(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -78,6 +82,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_ann": op4_ann,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
