@@ -1,10 +1,63 @@
-"""Corpus pipeline (filled stage by stage)."""
-STAGES = []
+"""Corpus pipeline: filter, deduplicate, mix and pack ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of ``documents``. ``run`` writes each stage's rows to
+the shared folder before the next one reads them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from framelex.llm import mixing, packing, simhash_dedup, substring_dedup, toxicity
+from framelex.llm.common import cut, table
+from framelex.llm.registry import TOKENIZER
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5; the fit learns from labels outside op7's
+    held-out rows."""
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.fit(*toxicity.sample(docs, labels, learn=~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each SimHash group (4-word shingles, 4 bits)."""
+    return simhash_dedup.deduplicate(docs, shingle=4, radius=4)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of 20-word windows that start earlier
+    elsewhere; n_chars follows the text where it changes."""
+    old = docs.withColumn("_old", F.col("text"))
+    new = substring_dedup.deduplicate(old, window=20)
+    n_chars = F.when(F.col("text").eqNullSafe(F.col("_old")), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
+    return new.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights take them, shard by shard."""
+    return mixing.mix(docs, weights=(5, 2, 1), share=1.5, cap=2.0).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 4096 tokens."""
+    pieces = packing.pieces(docs, TOKENIZER, capacity=4096, end_id=1)
+    return packing.pack(pieces, capacity=4096)
+
+
+STAGES = [("toxicity", drop_toxic), ("simhash_dedup", drop_near_copies), ("substring_dedup", cut_repeats),
+          ("mixing", mix_sources), ("packing", pack_sequences)]
+#: SQL can express neither the fit nor the fingerprints; tests hold the stages
+#: against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut(docs, f"stage-{name}")
     return docs

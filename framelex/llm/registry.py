@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, fingerprint, mixing, packing, sharding, simhash_dedup, substring_dedup, toxicity, url_filter
+from . import ann, fingerprint, mixing, packing, sharding, simhash_dedup, substring_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 #: Rules of op1 (host, path, verdict).
@@ -18,6 +18,11 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, "piece_bpe_32k.model").select("doc_id", "n_words", "n_tokens")
+
+
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = toxicity.held_out(F.col("doc_id"))
@@ -84,6 +89,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_ann": op4_ann,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
     "op9_fingerprint": op9_fingerprint,
