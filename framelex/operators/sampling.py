@@ -47,9 +47,10 @@ def sample_negatives(examples: DataFrame, defs: DataFrame, k: int = 4, seed: int
     ex = examples.select("frame_name", "lu").distinct().withColumn("pos", lu_pos(F.col("lu")))
     d = defs.select(F.col("frame_name").alias("c_frame"), F.col("lu").alias("c_lu"))
     d = d.withColumn("rk", F.md5(F.concat_ws("|", F.lit(str(seed)), "c_frame", "c_lu")))
-    # rows sharing one LU text: own-LU exclusion can drop that many
-    dup = int(d.groupBy("c_lu").count().agg(F.max("count")).first()[0] or 1)
-    keep = 2 * k + dup
+    # A list of 3k rows with at most k rows per LU text is enough at any size:
+    # leaving out the example's own LU removes at most k of them, and rows
+    # that earlier tiers already drew at most k more.
+    keep = 3 * k
     # POS strings that occur, and for each the LUs ending with it (equi-join
     # on every short suffix of the LU text)
     pos_set = ex.select("pos").distinct()
@@ -60,11 +61,12 @@ def sample_negatives(examples: DataFrame, defs: DataFrame, k: int = 4, seed: int
     sfx = sfx.join(F.broadcast(pos_set), sfx["sfx"] == pos_set["pos"], "left_semi")
 
     order = ["rk", "c_frame", "c_lu"]
+    # t1, t2: an LU text occurs once in a frame, so the per-LU cap is met
     t1 = top_k_per_group(sfx, ["c_frame", "sfx"], order, keep)
     t2 = top_k_per_group(d, ["c_frame"], order, keep)
-    t3 = top_k_per_group(sfx, ["sfx"], order, keep)
+    t3 = top_k_per_group(top_k_per_group(sfx, ["sfx", "c_lu"], order, k), ["sfx"], order, keep)
     # global first rows: per-partition top-k then a merge (no single-task window)
-    t4 = d.orderBy(*order).limit(keep)
+    t4 = top_k_per_group(d, ["c_lu"], order, k).orderBy(*order).limit(keep)
     # replicate the bounded list over a few hash buckets of the examples:
     # an equi-join on the bucket (a constant key would be folded into a
     # nested-loop join)
