@@ -44,28 +44,12 @@ def global_index(df: DataFrame, order: list[Column | str], name: str = "gidx",
             .drop("_mid", "_pid", "_loc", "_off"))
 
 
-# Largest group a per-group window may hold in one task.
-WINDOW_GROUP_LIMIT = 1_000_000
-
-
 def rank_in_group(df: DataFrame, group: list[str], order: list[Column | str],
-                  name: str = "rank", size_name: str | None = None,
-                  window_limit: int | None = None) -> DataFrame:
+                  name: str = "rank", size_name: str | None = None) -> DataFrame:
     """0-based rank of each row inside its group, ordered by ``order``;
-    optionally the group's size.
-
-    One partial aggregate measures the largest group. When it is within
-    ``window_limit`` a per-group window is safe (one hash shuffle and a
-    sort); beyond it the range-partitioned global index splits the hot
-    group across tasks."""
-    limit = WINDOW_GROUP_LIMIT if window_limit is None else window_limit
-    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if largest <= limit:
-        w = Window.partitionBy(*group).orderBy(*order)
-        out = df.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
-        if size_name:
-            out = out.withColumn(size_name, F.count(F.lit(1)).over(Window.partitionBy(*group)))
-        return out
+    optionally the group's size. One path at every size: the
+    range-partitioned global index splits a hot group across tasks, and the
+    group's first number (a partial aggregate, joined back) is subtracted."""
     g = global_index(df, [*group, *order], "_g")
     aggs = [F.min("_g").alias("_g0")] + ([F.count(F.lit(1)).alias(size_name)] if size_name else [])
     first = g.groupBy(*group).agg(*aggs)
