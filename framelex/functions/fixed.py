@@ -48,27 +48,39 @@ EXTRA_NAMED = [
 ]
 
 # --- fixed values: spelling suffix rules (American ending, British ending) ---
-# The reference ships an 805-pair word list; we generate the pairs from
-# these ending rules over the lexicon's own words (words of 5+ letters).
+# Default variant pairs come from these ending rules over the lexicon's own
+# words; a list of pairs can be passed instead.
 SPELLING_SUFFIXES = [
     ("or", "our"),
+    ("ors", "ours"),
+    ("ored", "oured"),
+    ("oring", "ouring"),
     ("ize", "ise"),
+    ("izes", "ises"),
+    ("ized", "ised"),
+    ("izing", "ising"),
+    ("izer", "iser"),
     ("yze", "yse"),
     ("ization", "isation"),
     ("er", "re"),
+    ("ers", "res"),
     ("og", "ogue"),
     ("ense", "ence"),
+    ("eler", "eller"),
     ("eled", "elled"),
     ("eling", "elling"),
 ]
-SPELLING_MIN_LEN = 5
+# letters before the ending (so that "for" and "four" are no pair)
+SPELLING_MIN_STEM = 2
 
-# --- fixed values: number words for the NUM rule (0..999) ---
+# --- fixed values: number words for the NUM rule ---
 ONES = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight",
         "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen",
         "sixteen", "seventeen", "eighteen", "nineteen"]
 TENS = ["", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy",
         "eighty", "ninety"]
+SCALES = ["", " thousand", " million", " billion", " trillion", " quadrillion", " quintillion",
+          " sextillion", " septillion", " octillion", " nonillion", " decillion"]
 
 # --- fixed values: the default annotator's form lexicon (form -> lemma, POS) ---
 FORMS = [

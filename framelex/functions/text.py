@@ -48,18 +48,35 @@ def stem(word: Column) -> Column:
 
 
 def number_words(digits: Column) -> Column:
-    """English words of a 1-3 digit number (``21`` -> ``twenty-one``,
-    ``101`` -> ``one hundred and one``); other input is returned as is."""
+    """English words of a whole number of any length that has a name:
+    ``21`` -> ``twenty-one``, ``101`` -> ``one hundred and one``, ``1234`` ->
+    ``one thousand, two hundred and thirty-four``. Groups of three digits are
+    read from the left; numbers beyond the named scales and other input are
+    returned as they are."""
     ones = F.array(*[F.lit(x) for x in fixed.ONES])
     tens = F.array(*[F.lit(x) for x in fixed.TENS])
-    n = F.when(digits.rlike(r"^[0-9]{1,3}$"), digits.cast("int"))
+    scales = F.array(*[F.lit(x) for x in fixed.SCALES])
 
     def below_100(v: Column) -> Column:
-        return F.when(v < 20, F.element_at(ones, v + 1)).otherwise(
-            F.concat(F.element_at(tens, F.floor(v / 10).cast("int") + 1),
-                     F.when(v % 10 > 0, F.concat(F.lit("-"), F.element_at(ones, v % 10 + 1))).otherwise(F.lit(""))))
-
-    words = F.when(n < 100, below_100(n)).otherwise(
-        F.concat(F.element_at(ones, F.floor(n / 100).cast("int") + 1), F.lit(" hundred"),
-                 F.when(n % 100 > 0, F.concat(F.lit(" and "), below_100(n % 100))).otherwise(F.lit(""))))
-    return F.when(n.isNull(), digits).otherwise(words)
+        return F.when(v < 20, F.get(ones, v)).otherwise(
+            F.concat(F.get(tens, F.floor(v / 10).cast("int")),
+                     F.when(v % 10 > 0, F.concat(F.lit("-"), F.get(ones, v % 10))).otherwise(F.lit(""))))
+
+    def below_1000(v: Column) -> Column:
+        rest = v % 100
+        return F.when(v < 100, below_100(v)).otherwise(
+            F.concat(F.get(ones, F.floor(v / 100).cast("int")), F.lit(" hundred"),
+                     F.when(rest > 0, F.concat(F.lit(" and "), below_100(rest))).otherwise(F.lit(""))))
+
+    s = F.regexp_replace(digits, "^0+(?=.)", "")
+    n = F.ceil(F.length(s) / 3).cast("int")
+    padded = F.lpad(s, n * 3, "0")
+    groups = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(padded, i * 3 + 1, F.lit(3)).cast("int"))
+    named = F.transform(groups, lambda v, i: F.when(v > 0, F.concat(below_1000(v), F.get(scales, n - 1 - i))))
+    last = F.get(groups, n - 1)
+    joined = F.array_join(F.filter(F.slice(named, 1, n - 1), lambda w: w.isNotNull()), ", ")
+    words = (F.when(last == 0, joined)
+             .when(last < 100, F.concat(joined, F.lit(" and "), below_100(last)))
+             .otherwise(F.concat(joined, F.lit(", "), below_1000(last))))
+    return (F.when(~digits.rlike("^[0-9]+$") | (n > len(fixed.SCALES)), digits)
+            .when(n == 1, below_1000(F.coalesce(s.try_cast("int"), F.lit(0)))).otherwise(words))

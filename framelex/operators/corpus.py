@@ -71,28 +71,18 @@ def form_lexicon(spark) -> DataFrame:
     return spark.createDataFrame(fixed.FORMS, "form STRING, f_lemma STRING, f_pos STRING")
 
 
-def number_table(spark, upto: int = 1000) -> DataFrame:
-    """(digits, words) dimension for 0..upto-1, generated by the
-    ``number_words`` rule (L16)."""
-    d = spark.range(upto).select(F.col("id").cast("string").alias("n_digits"))
-    return d.select("n_digits", number_words(F.col("n_digits")).alias("n_words"))
-
-
 def annotate(toks: DataFrame, forms: DataFrame | None = None) -> DataFrame:
     """Add ``lemma, stem, pos`` by left joins on a (form -> lemma, pos)
-    lexicon keyed by the lower-cased token and on the number dimension.
-    Default lemma = lower-cased text, default POS ``X``; all-digit tokens
-    are ``NUM`` and their lemma and stem become number words (1-3 digit
-    numbers; longer digit strings stay as they are)."""
+    lexicon keyed by the lower-cased token. Default lemma = lower-cased
+    text, default POS ``X``; all-digit tokens are ``NUM`` and their lemma
+    and stem become number words (evaluated for number tokens only)."""
     spark = toks.sparkSession
     forms = forms if forms is not None else form_lexicon(spark)
-    nums = number_table(spark)
     t = toks.withColumn("_form", F.lower("text"))
     t = t.join(fixed_small(forms), t["_form"] == forms["form"], "left")
-    t = t.join(fixed_small(nums), t["text"] == nums["n_digits"], "left")
     is_num = F.col("text").rlike(r"^[0-9]+$")
     pos = F.when(is_num, F.lit("NUM")).otherwise(F.coalesce(F.col("f_pos"), F.lit("X")))
-    num = F.coalesce(F.col("n_words"), F.col("text"))
+    num = number_words(F.col("text"))
     lemma = F.when(is_num, num).otherwise(F.coalesce(F.col("f_lemma"), F.col("_form")))
     stm = F.when(is_num, num).otherwise(stem(F.col("text")))
     cols = [c for c in toks.columns]

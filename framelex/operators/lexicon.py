@@ -117,12 +117,14 @@ class Compiled:
     spelling: DataFrame
     n_nodes: int
     lmax: int
+    n_spelling: int = 0
 
     def __iter__(self):  # (variants, patterns, nodes) unpacking
         return iter((self.variants, self.patterns, self.nodes))
 
 
-def compile_lexicon(lus: DataFrame, with_extras: bool = True, cache: bool = True) -> Compiled:
+def compile_lexicon(lus: DataFrame, with_extras: bool = True, cache: bool = True,
+                    pairs: DataFrame | None = None) -> Compiled:
     """Compile an LU index ``(name, frame)``.
 
     Pattern, node and spelling tables are read many times (one lookup per
@@ -133,11 +135,11 @@ def compile_lexicon(lus: DataFrame, with_extras: bool = True, cache: bool = True
     v = lu_variants(lus, extra_lus(spark) if with_extras else None)
     p = patterns(v)
     n = nodes(p)
-    sp = spelling_variants(p)
+    sp = spelling_variants(p, pairs)
     if cache:
         p, n, sp = p.cache(), n.cache(), sp.cache()
     st = n.agg(F.count(F.lit(1)).alias("c"), F.max("depth").alias("d")).first()
-    return Compiled(v, p, n, sp, int(st["c"] or 0), int(st["d"] or 1))
+    return Compiled(v, p, n, sp, int(st["c"] or 0), int(st["d"] or 1), sp.count())
 
 
 def normalise_lu(name: Column) -> Column:
@@ -157,19 +159,31 @@ def exact_lookup(names: DataFrame, nds: DataFrame, name_col: str = "lu") -> Data
     return j.select(*names.columns, F.coalesce("frames", F.array().cast("array<string>")).alias("frames"))
 
 
-def spelling_variants(pats: DataFrame) -> DataFrame:
-    """(variant, root): British/American spellings of the lexicon's root
-    words, generated by the ending rules in ``fixed.SPELLING_SUFFIXES``
-    in both directions (a symmetric variant table)."""
+def spelling_pairs(pats: DataFrame) -> DataFrame:
+    """Default (us, gb) pairs: the lexicon's root words by the ending rules
+    of ``fixed.SPELLING_SUFFIXES``, in both directions."""
     roots = pats.select(F.element_at("words", 1).alias("root")).distinct()
-    rules = []
+    pairs = []
     for us, gb in fixed.SPELLING_SUFFIXES:
-        rules.append((us, gb))
-        rules.append((gb, us))
-    cols = []
-    for a, b in rules:
-        cols.append(F.when(F.col("root").endswith(a) & (F.length("root") >= fixed.SPELLING_MIN_LEN),
-                           F.concat(F.expr(f"substring(root, 1, length(root) - {len(a)})"), F.lit(b))))
-    v = roots.select("root", F.explode(F.array(*cols)).alias("variant")).where(F.col("variant").isNotNull())
-    v = v.join(roots.select(F.col("root").alias("r2")), F.col("variant") == F.col("r2"), "left_anti")
-    return v.groupBy("variant").agg(F.min("root").alias("root"))
+        for a, b in ((us, gb), (gb, us)):
+            other = F.concat(F.expr(f"substring(root, 1, length(root) - {len(a)})"), F.lit(b))
+            us_word, gb_word = (F.col("root"), other) if a == us else (other, F.col("root"))
+            pair = F.struct(us_word.alias("us"), gb_word.alias("gb"))
+            pairs.append(F.when(F.col("root").endswith(a) & (F.length("root") >= len(a) + fixed.SPELLING_MIN_STEM), pair))
+    p = roots.select(F.explode(F.array(*pairs)).alias("p")).where(F.col("p").isNotNull())
+    return p.select("p.us", "p.gb")
+
+
+def spelling_variants(pats: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(variant, us_roots, gb_roots): for a British spelling the American
+    roots, for an American spelling the British roots, null where there are
+    none. Every root of a variant counts, also if the variant is a root
+    itself. ``pairs``: a user's (us, gb) table, else the ending rules."""
+    roots = pats.select(F.element_at("words", 1).alias("root")).distinct()
+    pairs = spelling_pairs(pats) if pairs is None else pairs.select("us", "gb")
+    both = (pairs.select(F.col("gb").alias("variant"), F.col("us").alias("root"), F.lit(True).alias("to_us"))
+            .unionByName(pairs.select(F.col("us").alias("variant"), F.col("gb").alias("root"), F.lit(False).alias("to_us"))))
+    known = both.join(roots, "root", "left_semi").where("variant != root")
+    sets = known.groupBy("variant").agg(F.sort_array(F.collect_set(F.when(F.col("to_us"), F.col("root")))).alias("us_roots"),
+                                        F.sort_array(F.collect_set(F.when(~F.col("to_us"), F.col("root")))).alias("gb_roots"))
+    return sets.select("variant", *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ("us_roots", "gb_roots")])

@@ -13,7 +13,8 @@ Views (reference order of lookups per token):
   lemma    start = lemma,                        walk = lemma
   stem     start = stem,                         walk = stem
   alias    start = alias(text),                  walk = text
-  spelling start = variant(text|lemma|stem),     walk = stem
+  spelling start = each root of the other spelling of text|lemma|stem
+           (American and British direction apart), walk = stem
 """
 
 from __future__ import annotations
@@ -59,9 +60,14 @@ def _starts(toks: DataFrame, spell_b: DataFrame) -> DataFrame:
         o_extra = F.when(hit, F.lit(extra)).otherwise(o_extra)
     t = toks.select("*", a_word.alias("a_word"), o_lu.alias("o_lu"), o_extra.alias("o_extra"))
     for src in ("text", "lemma", "stem"):
-        s = spell_b.select(F.col("variant").alias("sv_" + src), F.col("root").alias("sr_" + src))
+        s = spell_b.select(F.col("variant").alias("sv_" + src), F.col("us_roots").alias("su_" + src), F.col("gb_roots").alias("sg_" + src))
         t = t.join(s, t[src] == s["sv_" + src], "left")
-    spelled = F.coalesce(F.col("sr_text"), F.col("sr_lemma"), F.col("sr_stem"))
+    # in each direction the first of text, lemma and stem that has roots
+    to_us = F.coalesce("su_text", "su_lemma", "su_stem")
+    to_gb = F.coalesce("sg_text", "sg_lemma", "sg_stem")
+    no_root = F.array().cast("array<string>")
+    spelled = F.when(to_us.isNotNull() | to_gb.isNotNull(),
+                     F.array_union(F.coalesce(to_us, no_root), F.coalesce(to_gb, no_root)))
     none = F.lit(None).cast("array<string>")
     text, lemma, stem = F.col("text"), F.col("lemma"), F.col("stem")
     # A view that starts with the same word and walks the same words as an
@@ -84,9 +90,14 @@ def _starts(toks: DataFrame, spell_b: DataFrame) -> DataFrame:
              F.when(~lem_is_surf, lemma), F.col("nx_lemma")),
         view(F.lit("stem"), F.when(~stem_is_surf & ~stem_is_lem, stem), F.col("nx_stem")),
         view(F.lit("alias"), F.col("a_word"), F.col("nx_text")),
-        view(F.lit("spelling"), spelled, F.col("nx_stem")),
         view(F.lit("override"), F.col("o_lu"), none, (F.col("end") + F.col("o_extra")).cast("int")),
     )
+    # any number of spelled roots (no lambda, so the projection stays in codegen)
+    n = F.coalesce(F.size(spelled), F.lit(0))
+    views = F.concat(views, F.when(spelled.isNotNull(), F.arrays_zip(
+        F.array_repeat(F.lit("spelling"), n).alias("views"), spelled.alias("first"),
+        F.array_repeat(F.col("nx_stem"), n).alias("walk"), F.array_repeat(F.col("end"), n).alias("end")))
+        .otherwise(F.slice(views, 1, 0)))
     return (t.select("sent_id", "pass", "start", "nx_pos", "nx_end", F.explode(views).alias("v"))
             .select("sent_id", "pass", "start", "nx_pos", "nx_end", "v.views", "v.first", "v.walk", "v.end")
             .where(F.col("first").isNotNull()))
@@ -100,13 +111,14 @@ def walk(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
     patterns. Returns ``(sent_id, pass, view, start, end, lu, frames)``,
     one row per emitted node (before dedupe)."""
     lmax, bound = lex.lmax, lex.n_nodes
-    keys_b = broadcast_within(lex.nodes.select("key", "has_children"), bound, row_bytes=64)
-    # spelling variants: at most 2 x rules per root, roots <= nodes
-    spell_b = broadcast_within(lex.spelling, bound * 18, row_bytes=48)
+    keys_b = broadcast_within(lex.nodes.select("key", "has_children", "depth"), bound, row_bytes=72)
+    spell_b = broadcast_within(lex.spelling, lex.n_spelling, row_bytes=160)
     s = _starts(_with_leads(toks, lmax), spell_b)
     # overrides carry no walk words, so they never go past level 1
-    root = keys_b.select(F.col("key").alias("n1"), F.col("has_children").alias("c"))
-    cur = s.join(root, s["first"] == root["n1"], "inner").drop("first")
+    # a walk starts at a one-word root; only an override names a whole LU
+    root = keys_b.select(F.col("key").alias("n1"), F.col("has_children").alias("c"), F.col("depth").alias("_depth"))
+    cur = (s.join(root, s["first"] == root["n1"], "inner")
+           .where((F.col("_depth") == 1) | (F.col("views") == "override")).drop("first", "_depth"))
     for k in range(1, lmax):
         node, nxt_w, nxt_p = F.col(f"n{k}"), F.element_at("walk", k), F.element_at("nx_pos", k)
         live = F.col("c") & node.isNotNull() & nxt_w.isNotNull()

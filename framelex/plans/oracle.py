@@ -33,16 +33,28 @@ def lst(xs) -> str:
 
 
 def number_words_sql(x: str) -> str:
-    ones, tens = lst(fixed.ONES), lst(fixed.TENS)
-    n = f"(CASE WHEN regexp_full_match({x}, '0|[1-9][0-9]{{0,2}}') THEN CAST({x} AS INTEGER) END)"
+    """Whole numbers in words: groups of three digits with their scales."""
+    ones, tens, scales = lst(fixed.ONES), lst(fixed.TENS), lst(fixed.SCALES)
+    s = f"regexp_replace({x}, '^0+(.)', '\\1')"
+    n = f"((length({s}) + 2) // 3)"
 
     def b100(v: str) -> str:
         return (f"(CASE WHEN {v} < 20 THEN {ones}[{v} + 1] ELSE {tens}[{v} // 10 + 1] || "
                 f"(CASE WHEN {v} % 10 > 0 THEN '-' || {ones}[{v} % 10 + 1] ELSE '' END) END)")
 
-    words = (f"(CASE WHEN {n} < 100 THEN {b100(n)} ELSE {ones}[{n} // 100 + 1] || ' hundred' || "
-             f"(CASE WHEN {n} % 100 > 0 THEN ' and ' || {b100(f'({n} % 100)')} ELSE '' END) END)")
-    return f"(CASE WHEN {n} IS NULL THEN {x} ELSE {words} END)"
+    def b1000(v: str) -> str:
+        return (f"(CASE WHEN {v} < 100 THEN {b100(v)} ELSE {ones}[{v} // 100 + 1] || ' hundred' || "
+                f"(CASE WHEN {v} % 100 > 0 THEN ' and ' || {b100(f'({v} % 100)')} ELSE '' END) END)")
+
+    def group(i: str) -> str:
+        return f"CAST(substr(lpad({s}, CAST({n} * 3 AS INTEGER), '0'), CAST({i} * 3 + 1 AS INTEGER), 3) AS INTEGER)"
+
+    head = (f"array_to_string(list_transform(list_filter(range(0, {n} - 1), lambda i: {group('i')} > 0), "
+            f"lambda i: {b1000(group('i'))} || {scales}[{n} - i]), ', ')")
+    last = group(f"({n} - 1)")
+    return (f"(CASE WHEN NOT regexp_full_match({x}, '[0-9]+') OR {n} > {len(fixed.SCALES)} THEN {x} "
+            f"WHEN {n} = 1 THEN {b1000(last)} WHEN {last} = 0 THEN {head} "
+            f"WHEN {last} < 100 THEN {head} || ' and ' || {b100(last)} ELSE {head} || ', ' || {b1000(last)} END)")
 
 
 SENTS = rf"""
@@ -89,11 +101,12 @@ def _extras_rows():
 
 
 def _spell_cases() -> str:
-    rules = []
+    """Structs (variant, root, to_us) of a root word under the ending rules."""
+    parts = []
     for us, gb in fixed.SPELLING_SUFFIXES:
-        rules += [(us, gb), (gb, us)]
-    parts = [f"CASE WHEN ends_with(root, {q(a)}) AND length(root) >= {fixed.SPELLING_MIN_LEN} "
-             f"THEN substr(root, 1, length(root) - {len(a)}) || {q(b)} END" for a, b in rules]
+        for a, b, to_us in ((us, gb, "TRUE"), (gb, us, "FALSE")):
+            parts.append(f"CASE WHEN ends_with(root, {q(a)}) AND length(root) >= {len(a) + fixed.SPELLING_MIN_STEM} THEN "
+                         f"{{'variant': substr(root, 1, length(root) - {len(a)}) || {q(b)}, 'root': root, 'to_us': {to_us}}} END")
     return "[" + ", ".join(parts) + "]"
 
 
@@ -139,9 +152,8 @@ nodes AS (
   FROM pre p LEFT JOIN pats t ON p.key = t.key GROUP BY p.key),
 roots AS (SELECT DISTINCT words[1] AS root FROM pats),
 spell AS (
-  SELECT variant, min(root) AS root FROM (
-    SELECT root, unnest({_spell_cases()}) AS variant FROM roots)
-  WHERE variant IS NOT NULL AND variant NOT IN (SELECT root FROM roots) GROUP BY variant)"""
+  SELECT DISTINCT v.variant AS variant, v.root AS root, v.to_us AS to_us
+  FROM (SELECT unnest({_spell_cases()}) AS v FROM roots) WHERE v IS NOT NULL)"""
 
 WALK = rf"""
 al AS (SELECT * FROM {values(fixed.ALIASES, 'a_form, a_word')}),
@@ -150,12 +162,15 @@ starts AS (
   UNION ALL SELECT sent_id, pass, tok_idx, start, "end", 'lemma', lemma FROM ann
   UNION ALL SELECT sent_id, pass, tok_idx, start, "end", 'stem', stem FROM ann
   UNION ALL SELECT a.sent_id, a.pass, a.tok_idx, a.start, a."end", 'alias', al.a_word FROM ann a JOIN al ON a.text = al.a_form
-  UNION ALL SELECT a.sent_id, a.pass, a.tok_idx, a.start, a."end", 'spelling', coalesce(s1.root, s2.root, s3.root)
-    FROM ann a LEFT JOIN spell s1 ON a.text = s1.variant LEFT JOIN spell s2 ON a.lemma = s2.variant
-    LEFT JOIN spell s3 ON a.stem = s3.variant WHERE coalesce(s1.root, s2.root, s3.root) IS NOT NULL),
+  UNION ALL SELECT * FROM (
+    SELECT DISTINCT a.sent_id, a.pass, a.tok_idx, a.start, a."end", 'spelling', s.root
+    FROM ann a JOIN spell s ON s.variant = CASE
+      WHEN EXISTS (SELECT 1 FROM spell x WHERE x.variant = a.text AND x.to_us = s.to_us) THEN a.text
+      WHEN EXISTS (SELECT 1 FROM spell x WHERE x.variant = a.lemma AND x.to_us = s.to_us) THEN a.lemma
+      ELSE a.stem END)),
 walk AS (
   SELECT s.sent_id, s.pass, s.view, s.tok_idx, s.start, s."end", 1 AS depth, n.key
-  FROM starts s JOIN nodes n ON n.key = s.first
+  FROM starts s JOIN nodes n ON n.key = s.first AND n.depth = 1
   UNION ALL
   SELECT w.sent_id, w.pass, w.view, w.tok_idx, w.start, x."end", w.depth + 1, coalesce(nl.key, np.key)
   FROM walk w JOIN nodes c ON c.key = w.key AND c.has_children
