@@ -77,9 +77,10 @@ def annotate(toks: DataFrame, forms: DataFrame | None = None) -> DataFrame:
     text, default POS ``X``; all-digit tokens are ``NUM`` and their lemma
     and stem become number words (evaluated for number tokens only)."""
     spark = toks.sparkSession
-    forms = forms if forms is not None else form_lexicon(spark)
+    # the default list is fixed by code; a user's is left to Spark's own choice
+    forms = fixed_small(form_lexicon(spark)) if forms is None else forms
     t = toks.withColumn("_form", F.lower("text"))
-    t = t.join(fixed_small(forms), t["_form"] == forms["form"], "left")
+    t = t.join(forms, t["_form"] == forms["form"], "left")
     is_num = F.col("text").rlike(r"^[0-9]+$")
     pos = F.when(is_num, F.lit("NUM")).otherwise(F.coalesce(F.col("f_pos"), F.lit("X")))
     num = number_words(F.col("text"))

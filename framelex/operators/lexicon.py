@@ -117,20 +117,31 @@ class Compiled:
     spelling: DataFrame
     n_nodes: int
     lmax: int
-    n_spelling: int = 0
+    sizes: dict  # measured bytes of each table
 
     def __iter__(self):  # (variants, patterns, nodes) unpacking
         return iter((self.variants, self.patterns, self.nodes))
 
 
+def _bytes(t: DataFrame, *cols: str) -> int:
+    """Bytes of the columns (strings or string arrays) and a row's overhead."""
+    kinds = dict(t.dtypes)
+    total = F.lit(64)
+    for c in cols:
+        text = F.array_join(c, "") if kinds[c].startswith("array") else F.col(c)
+        extra = 16 * F.greatest(F.size(c), F.lit(0)) if kinds[c].startswith("array") else F.lit(0)
+        total = total + F.coalesce(F.octet_length(text) + extra, F.lit(0))
+    return int(t.agg(F.sum(total)).first()[0] or 0)
+
+
 def compile_lexicon(lus: DataFrame, with_extras: bool = True, cache: bool = True,
                     pairs: DataFrame | None = None) -> Compiled:
     """Compile an LU index ``(name, frame)``.
 
     Pattern, node and spelling tables are read many times (one lookup per
     walk level), so they are cached; their size is bounded by the LU
-    index, not by the corpus. One job computes the node count (the bound
-    used for every broadcast decision) and the longest pattern."""
+    index, not by the corpus. Their bytes are measured here, once, for
+    every broadcast decision."""
     spark = lus.sparkSession
     v = lu_variants(lus, extra_lus(spark) if with_extras else None)
     p = patterns(v)
@@ -139,7 +150,10 @@ def compile_lexicon(lus: DataFrame, with_extras: bool = True, cache: bool = True
     if cache:
         p, n, sp = p.cache(), n.cache(), sp.cache()
     st = n.agg(F.count(F.lit(1)).alias("c"), F.max("depth").alias("d")).first()
-    return Compiled(v, p, n, sp, int(st["c"] or 0), int(st["d"] or 1), sp.count())
+    sizes = {"variants": _bytes(v, "variant", "frame", "lu"), "patterns": _bytes(p, "key", "frames"),
+             "nodes": _bytes(n, "key"), "node_frames": _bytes(n, "key", "frames"),
+             "spelling": _bytes(sp, "variant", "us_roots", "gb_roots")}
+    return Compiled(v, p, n, sp, int(st["c"] or 0), int(st["d"] or 1), sizes)
 
 
 def normalise_lu(name: Column) -> Column:

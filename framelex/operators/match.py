@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed
-from ..plans.joins import broadcast_within
+from ..plans.joins import broadcast_measured
 from . import lexicon
 
 
@@ -110,9 +110,9 @@ def walk(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
     attached once at the end by joining the visited keys to the terminal
     patterns. Returns ``(sent_id, pass, view, start, end, lu, frames)``,
     one row per emitted node (before dedupe)."""
-    lmax, bound = lex.lmax, lex.n_nodes
-    keys_b = broadcast_within(lex.nodes.select("key", "has_children", "depth"), bound, row_bytes=72)
-    spell_b = broadcast_within(lex.spelling, lex.n_spelling, row_bytes=160)
+    lmax = lex.lmax
+    keys_b = broadcast_measured(lex.nodes.select("key", "has_children", "depth"), lex.sizes["nodes"])
+    spell_b = broadcast_measured(lex.spelling, lex.sizes["spelling"])
     s = _starts(_with_leads(toks, lmax), spell_b)
     # overrides carry no walk words, so they never go past level 1
     # a walk starts at a one-word root; only an override names a whole LU
@@ -139,7 +139,7 @@ def walk(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
     hits = (cur.select("sent_id", "pass", "views", "start", F.explode(visited).alias("v"))
             .where(F.col("v.lu").isNotNull())
             .select("sent_id", "pass", "views", "start", F.col("v.end").alias("end"), F.col("v.lu").alias("lu")))
-    term = broadcast_within(lex.patterns.select(F.col("key").alias("t_key"), F.col("frames")), bound, row_bytes=96)
+    term = broadcast_measured(lex.patterns.select(F.col("key").alias("t_key"), F.col("frames")), lex.sizes["patterns"])
     return (hits.join(term, hits["lu"] == term["t_key"], "inner")
             .select("sent_id", "pass", F.explode(F.split("views", ",")).alias("view"), "start", "end", "lu", "frames"))
 
@@ -176,8 +176,8 @@ def dependency_pairs(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
                          F.explode(F.transform("others", lambda j: F.element_at(F.col("t"), j + 1))).alias("ot"))
     pairs = pairs.where(F.col("me.tok_idx") != F.col("ot.tok_idx"))
     key = F.concat_ws(" ", "me.lemma", "ot.lemma")
-    nk = broadcast_within(lex.nodes.select(F.col("key").alias("n_key"), F.col("frames").alias("n_f"), "depth"),
-                          lex.n_nodes, row_bytes=80)
+    nk = broadcast_measured(lex.nodes.select(F.col("key").alias("n_key"), F.col("frames").alias("n_f"), "depth"),
+                            lex.sizes["node_frames"])
     roots = nk.where("depth = 1").select(F.col("n_key").alias("r_key"))
     pairs = pairs.join(roots, pairs["me.lemma"] == roots["r_key"], "left_semi")
     j = pairs.withColumn("_k", key).join(nk, F.col("_k") == nk["n_key"], "inner")
@@ -218,7 +218,7 @@ def explode_frames(spans: DataFrame) -> DataFrame:
 
 
 def subsumed(spans: DataFrame) -> DataFrame:
-    """L25 (defined but never called in the reference): per sentence, the
+    """Per sentence, the
     greedy sweep over spans sorted by (start, end) that keeps a span when
     it starts after the last kept end; a longer span with the same start
     replaces it — so per start only the longest span competes.

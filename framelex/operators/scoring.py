@@ -26,12 +26,11 @@ def tfidf_scores(pairs: DataFrame, contexts: DataFrame, defs: DataFrame, n_defs:
     idf = dt.groupBy("term").agg(F.log(F.lit(float(n_defs)) / F.count(F.lit(1))).alias("idf"))
     dw = dt.join(idf, "term").select(F.col("id").alias("def_id"), "term", (F.col("tf") * F.col("idf")).alias("wd"))
     dnorm = dw.groupBy("def_id").agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"))
-    vocab_bound = 64 * max(n_defs, 1) * 32
-    cw = term_counts(contexts, "id", "text").join(broadcast_within(idf, vocab_bound, row_bytes=48), "term")
+    cw = term_counts(contexts, "id", "text").join(idf, "term")
     cw = cw.select(F.col("id").alias("example_id"), "term", (F.col("tf") * F.col("idf")).alias("wc"))
     cnorm = cw.groupBy("example_id").agg(F.sqrt(F.sum(F.col("wc") * F.col("wc"))).alias("nc"))
     dot = (pairs.join(cw, "example_id")
-           .join(broadcast_within(dw, vocab_bound, row_bytes=48), ["def_id", "term"])
+           .join(dw, ["def_id", "term"])
            .groupBy("example_id", "choice_idx").agg(F.sum(F.col("wc") * F.col("wd")).alias("dot")))
     s = (pairs.join(dot, ["example_id", "choice_idx"], "left")
          .join(cnorm, "example_id", "left").join(broadcast_within(dnorm, n_defs, row_bytes=24), "def_id", "left"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed
 from ..operators import spans
-from ..plans.joins import broadcast_within
+from ..plans.joins import broadcast_measured
 from .context import corpus_lexicon, corpus_tokens
 
 OS_SCHEMA = ("text STRING, frame STRING, lu STRING, target STRUCT<start: INT, end: INT>, "
@@ -35,8 +35,8 @@ def annotations(spark: SparkSession, sf: str) -> DataFrame:
     one = lx.patterns.where("n = 1").select(F.col("key").alias("g_key"), F.element_at("frames", 1).alias("g_frame"))
     lus = (lx.variants.groupBy(F.col("variant").alias("v_key"), F.col("frame").alias("v_frame"))
            .agg(F.min("lu").alias("v_lu")))
-    bound = lx.compiled.n_nodes
-    one, lus = broadcast_within(one, bound), broadcast_within(lus, 4 * bound)
+    sizes = lx.compiled.sizes
+    one, lus = broadcast_measured(one, sizes["patterns"]), broadcast_measured(lus, sizes["variants"])
     t = t.join(one, t["text"] == one["g_key"])
     t = t.join(lus, (t["text"] == lus["v_key"]) & (t["g_frame"] == lus["v_frame"]), "left")
     first = F.struct(F.col("start").alias("start"), F.col("end").alias("end"))
@@ -102,7 +102,7 @@ def q_os_prepare(spark, sf):
     a = annotations(spark, sf)
     os_in = a.select(F.col("sent_id").alias("text"), F.col("frame_name").alias("frame"), F.col("lu_name").alias("lu"),
                      F.col("target_merged").alias("target"), F.col("fe_spans").alias("fe"), "ann_id")
-    # The OS table is a Parquet stage (the reference pickles it), read
+    # The OS table is a Parquet stage, read
     # back with an explicit schema
     import uuid
     from ..session import scratch_path
@@ -124,6 +124,6 @@ def q_os_prepare(spark, sf):
 
 
 def q_os_lookup_misses(spark, sf):
-    """LU definition lookups that miss (the reference raises)."""
+    """LU definition lookups that miss, counted."""
     o = q_os_prepare(spark, sf)
     return o.agg(F.count_if(F.col("lu_definition").isNull()).alias("n_missing"), F.count(F.lit(1)).alias("n"))

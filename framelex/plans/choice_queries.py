@@ -14,7 +14,7 @@ from ..operators import ranking
 from ..plans.rownum import global_index, rank_in_group
 from .context import table
 
-EVAL_BATCH = 8          # CLI default batch size of the reference
+EVAL_BATCH = 8          # default evaluation batch size
 LOG_WINDOW = 50         # steps per logging window
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",

@@ -1,7 +1,7 @@
 """Inputs of the registered queries, derived from the given tables.
 
 Every builder is lazy (returns DataFrames); a query pays only for what it
-uses. Mapping of the reference's shapes onto the tables:
+uses. Mapping of the input shapes onto the tables:
   sentences       documents.text split on [.!?\\n]+
   lexicon         inline fixture LUs + LUs derived from ``part``
   frames x LUs    ``part`` (frame = p_type/p_size, lu = p_name.pos)
@@ -43,7 +43,7 @@ _LEXICONS: dict = {}
 
 def corpus_lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
     """Compiled once per (session, data folder) and reused by every query
-    (the reference loads its lexicon once for all jobs)."""
+    (the lexicon is loaded once for all jobs)."""
     key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _LEXICONS:
         lus = lexicon.corpus_lus(spark, table(spark, sf_dir, "part"))

@@ -1,7 +1,7 @@
 """Registered queries: frames x LUs from ``part``, negative sampling,
 splits, and multiple-choice examples from ``orders`` + ``lineitem``.
 
-Choice rows (the reference's CSV shape): id = o_orderkey; sentence names
+Choice rows (the CSV shape): id = o_orderkey; sentence names
 the order; the predicate word ``placed`` is word 3; the choices are the
 order's lines in line order: frame name ``Ship_<flag><status>_<n>``,
 definition = a sentence about the line, ``l_quantity * 3`` words long
@@ -58,7 +58,7 @@ def frame_records(spark, sf) -> DataFrame:
 
 
 def q_frame_info(spark, sf):
-    """Frame records, sorted by name as the reference's sink."""
+    """Frame records, sorted by name."""
     r = frame_records(spark, sf).orderBy("name")
     return r.select("name", F.col("num_elements").cast("int").alias("num_elements"), "n_lus",
                     F.array_join(F.sort_array(F.map_keys("fes")), "|").alias("fe_names"))
@@ -79,7 +79,7 @@ def q_split_files(spark, sf):
 
 
 def choice_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Choice rows in the reference's CSV shape (one per order)."""
+    """Choice rows in the CSV shape (one per order)."""
     o = table(spark, sf, "orders")
     li = table(spark, sf, "lineitem")
     name = F.concat(F.lit("Ship_"), F.col("l_returnflag"), F.col("l_linestatus"), F.lit("_"),
@@ -163,7 +163,7 @@ def check_header(spark, path: str, mode: str = "train") -> None:
     """A training file's header must end in ``label``."""
     header = spark.read.option("header", True).csv(path).columns
     if mode == "train" and (not header or header[-1] != "label"):
-        raise ValueError("For training, the input file must contain a label column.")
+        raise ValueError(f"{path}: the last column of training rows has to be label")
 
 
 def q_choice_split_read(spark, sf):

@@ -1,5 +1,5 @@
 """Registered queries for the XML sources, on XML that Spark writes from
-the given tables into the shared stage folder (the reference's XML files
+the given tables into the shared stage folder (the XML files
 are not shipped):
 
   frames    one ``frame`` per part frame (p_type/p_size): definition with

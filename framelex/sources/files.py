@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-CHOICE_COLUMNS = ["id", "sentence", "lu_name", "lu_head_position", "lu_defs", "frame_names", "frame_defs", "label"]
 SPLITS = ("train", "dev", "test")
 
 
@@ -24,7 +23,7 @@ def read_choice_csv(spark: SparkSession, path: str, schema: str, split: str | No
 
 def write_choice_splits(rows: DataFrame, path: str) -> None:
     """One CSV table partitioned by ``split`` (the test split carries no
-    label, as in the reference's test.csv)."""
+    label)."""
     rows = rows.withColumn("label", F.when(F.col("split") == "test", F.lit(None)).otherwise(F.col("label")))
     (rows.write.mode("overwrite").partitionBy("split").option("header", True).option("quote", '"')
      .option("escape", '"').csv(path))

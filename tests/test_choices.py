@@ -52,9 +52,6 @@ def test_header_check(spark, tmp_path):
 
 def test_registries():
     from framelex.operators import scoring
-    assert choices.processor("fn1.7") == "frame"
-    with pytest.raises(ValueError):
-        choices.processor("swag")
     assert scoring.scorer("tfidf") is scoring.tfidf_scores
     with pytest.raises(ValueError):
         scoring.scorer("bert")

@@ -50,3 +50,15 @@ def test_spelling_pairs_of_the_user_replace_the_rules(spark):
 def test_numbers_start_at_one_word_roots(spark, sentence, expected):
     lus = [("one hundred.num", "Hundred"), ("one thousand.num", "Thousand"), ("seven.num", "Seven")]
     assert hits(spark, lus, [sentence])[sentence] == expected
+
+
+def test_wide_frames_are_not_broadcast(spark):
+    """Broadcasts go by measured bytes, not by row counts."""
+    from framelex.plans.joins import threshold_bytes
+    lus = spark.range(40_000).select(F.lit("wide.n").alias("name"), F.concat(F.lit("F" * 300), F.col("id").cast("string")).alias("frame"))
+    lex = lexicon.compile_lexicon(lus, with_extras=False)
+    assert lex.n_nodes == 1 and lex.sizes["patterns"] > threshold_bytes(spark) > lex.sizes["nodes"]
+    toks = corpus.annotate(corpus.tokens(spark.createDataFrame([("s", "wide")], "sent_id STRING, sentence STRING")))
+    plan = match.walk(toks, lex)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "t_key" in line and "Join" in line]
+    assert joins and not any("broadcast" in line for line in joins)
