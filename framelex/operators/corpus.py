@@ -1,7 +1,8 @@
 """Sentences, tokens and the built-in annotator (token-table contract).
 
-Shuffle plan: ``distinct_sentences`` is the only exchange of the corpus (a
-hash aggregate on the content id ``sent_id`` with map-side combine, so a
+Shuffle plan: ``distinct_sentences`` is the only exchange of the corpus (an
+aggregate on the content id ``sent_id`` with map-side combine, sorted because
+it keeps the text; a
 line repeated across a third of the corpus is collapsed before the
 shuffle). Token windows, the pattern walk and span aggregates are keyed by
 ``sent_id`` and reuse that partitioning.

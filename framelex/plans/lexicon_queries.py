@@ -133,6 +133,19 @@ def q_cand_views(spark: SparkSession, sf: str) -> DataFrame:
                                             F.sum("start").alias("sum_start"), F.sum("end").alias("sum_end"))
 
 
+def q_cand_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits through a spelling table and a lexicon derived from the
+    corpus: where a word and the word with ``ing`` both occur, they are a
+    (us, gb) pair and the shorter one is an LU, so both grow with the data."""
+    toks = corpus_tokens(spark, sf)
+    words = toks.where((F.col("pass") == 1) & F.col("text").rlike("^[a-z]{3,}$")).select("text").distinct()
+    longer = words.select(F.col("text").alias("gb"))
+    pairs = words.join(longer, F.concat("text", F.lit("ing")) == F.col("gb")).select(F.col("text").alias("us"), "gb")
+    lus = pairs.select(F.concat("us", F.lit(".n")).alias("name"), F.concat(F.lit("Word_"), F.col("us")).alias("frame"))
+    lex = lexicon.compile_lexicon(lus, with_extras=False, pairs=pairs)
+    return _hit_stats(_lu_hits(match.candidate_rows(toks, lex).where("view = 'spelling'")))
+
+
 def q_cand_by_lu(spark: SparkSession, sf: str) -> DataFrame:
     """Per span, LU -> frames, flattened to text."""
     b = match.by_lu(_cand_rows(spark, sf))

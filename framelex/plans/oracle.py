@@ -246,6 +246,16 @@ SELECT sent_id, start, "end", array_to_string(frames, '|') AS frames FROM cands"
     "cand_views": with_blocks(*CAND, recursive=True) + """
 SELECT pass, view, count(*) AS n_rows, CAST(sum(start) AS BIGINT) AS sum_start, CAST(sum("end") AS BIGINT) AS sum_end
 FROM cand_rows GROUP BY pass, view""",
+    "cand_spelling": with_blocks(SENTS, TOKS, ANN) + """,
+w AS (SELECT DISTINCT text FROM toks WHERE pass = 1 AND regexp_full_match(text, '[a-z]{3,}')),
+pairs AS (SELECT a.text AS us, b.text AS gb FROM w a JOIN w b ON b.text = a.text || 'ing'),
+spell AS (SELECT gb AS variant, us AS root, TRUE AS to_us FROM pairs
+          UNION SELECT us, gb, FALSE FROM pairs WHERE gb IN (SELECT us FROM pairs)),
+lu_hits AS (SELECT DISTINCT a.sent_id, a.start, a."end", s.root AS lu FROM ann a JOIN spell s ON s.variant = CASE
+      WHEN EXISTS (SELECT 1 FROM spell x WHERE x.variant = a.text AND x.to_us = s.to_us) THEN a.text
+      WHEN EXISTS (SELECT 1 FROM spell x WHERE x.variant = a.lemma AND x.to_us = s.to_us) THEN a.lemma
+      ELSE a.stem END)
+""" + HIT_STATS + " GROUP BY lu",
     "cand_by_lu": with_blocks(*CAND, recursive=True) + """,
 per_lu AS (SELECT sent_id, start, "end", lu, list_sort(list_distinct(flatten(list(frames)))) AS frames
            FROM cand_rows GROUP BY sent_id, start, "end", lu)

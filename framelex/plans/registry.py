@@ -26,6 +26,7 @@ QUERIES = {
     "cand_wildcard": lq.q_cand_wildcard,
     "cand_numbers": lq.q_cand_numbers,
     "cand_views": lq.q_cand_views,
+    "cand_spelling": lq.q_cand_spelling,
     "cand_by_lu": lq.q_cand_by_lu,
     "cand_subsumed": lq.q_cand_subsumed,
     "choice_offsets": cq.q_choice_offsets,
