@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -27,12 +28,52 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
 
 
+_MEMORY: dict = {}
+
+
+def remembered(key, make):
+    """What a Python worker keeps over tasks for one operator. Workers are
+    reused by all stages of a job, so only the latest operator's is held."""
+    if key not in _MEMORY:
+        _MEMORY.clear()
+        gc.collect()
+        _MEMORY[key] = make()
+    return _MEMORY[key]
+
+
+def texts_of(column, rows: int = 512):
+    """The texts of an Arrow column as bytes (or None), few at a time."""
+    import pyarrow as pa
+
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).cast(pa.binary()).to_pylist()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends
     there, a lost executor costs a reread, and the work above runs once."""
     path = scratch_path(df.sparkSession, f"llm/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished stages: it does
+    so once the driver has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`cut` that nothing will read again."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    for t in tables[:1]:
+        release(t.sparkSession)
 
 
 def bucket_of(*cols: Column | str, n: int) -> Column:

@@ -18,7 +18,7 @@ import zlib
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import cut, importable
+from .common import cut, importable, remembered, texts_of
 
 #: Items of a leaf group, and groups that meet in a node of the tree.
 LEAF_ITEMS = 16_384
@@ -26,9 +26,7 @@ FAN_IN = 16
 #: Underfull bins that a group hands up at most.
 CARRY = 2_048
 #: Words and pre-tokens whose ids a Python worker remembers.
-CACHE_WORDS = 300_000
-
-_ENCODERS: dict = {}
+CACHE_WORDS = 200_000
 
 
 class WordEncoder(dict):
@@ -84,9 +82,7 @@ class WordEncoder(dict):
 
 def word_encoder(path: str) -> WordEncoder:
     """One encoder a worker process; its memory lasts over tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return remembered(("encoder", path), lambda: WordEncoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
@@ -109,8 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
         end, size = end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             row, number, start, length, crc, blobs = [], [], [], [], [], []
-            for i, t in enumerate(batch.column(1).cast(pa.binary())):
-                t = t.as_py()
+            for i, t in enumerate(texts_of(batch.column(1))):
                 blob = encoder.text(t) + end if t else end
                 for k, at in enumerate(range(0, len(blob), size)):
                     part = blob[at:at + size] if len(blob) > size else blob

@@ -28,7 +28,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import cut, importable
+from .common import cut, importable, remembered, texts_of
 from .components import components
 
 BITS = 64
@@ -50,10 +50,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
+        remembered("simhash", dict)  # drops what other operators keep
         for batch in batches:
             out = np.zeros(batch.num_rows, np.uint64)
-            for i, t in enumerate(batch.column(1).cast(pa.binary())):
-                words = (t.as_py() or b"").lower().split()
+            for i, t in enumerate(texts_of(batch.column(1))):
+                words = (t or b"").lower().split()
                 if not words:
                     continue
                 if len(words) <= shingle:

@@ -25,14 +25,12 @@ import math
 
 from pyspark.sql import DataFrame, types as T
 
-from .common import importable
+from .common import importable, remembered, texts_of
 
 MARK = "▁"
 #: Terminal counts that a Python worker remembers, and words that it takes
 #: into one trie.
-CACHE_WORDS, CHUNK_WORDS = 500_000, 1 << 19
-
-_COUNTERS: dict = {}
+CACHE_WORDS, CHUNK_WORDS = 300_000, 1 << 17
 
 
 def zipf_scores(pieces: list[str]) -> dict[str, float]:
@@ -92,9 +90,7 @@ class TrieCounter(dict):
 
 
 def counter(path: str) -> TrieCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = TrieCounter(zipf_scores(vocabulary(path)))
-    return _COUNTERS[path]
+    return remembered(("trie", path), lambda: TrieCounter(zipf_scores(vocabulary(path))))
 
 
 def _file(name: str) -> str:
@@ -124,8 +120,8 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", text: str
                 trie.insert({w for words in waiting for w in words})
                 n_tokens.extend(sum(map(trie.__getitem__, words)) for words in waiting)
 
-            for t in batch.column(at).cast(pa.binary()):
-                words = (t.as_py() or b"").split()
+            for t in texts_of(batch.column(at)):
+                words = (t or b"").split()
                 n_words.append(len(words))
                 waiting.append(words)
                 size += len(words)
