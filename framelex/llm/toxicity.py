@@ -25,15 +25,15 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import importable
+from .common import importable, remembered, texts_of
 
 FIT_ROWS, FIT_CHARS = 3_000, 50_000
 MAX_FEATURES = 5_000
 #: Weight decay against the mean log-likelihood of a document.
 L2 = 2e-5
-#: Documents of the sample that a feature must occur in.
+#: Documents of label 1 in the sample that a feature must occur in.
 MIN_DOCUMENTS = 4
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _SENTENCE = re.compile(r"[.!?\n]+")
 _STRIP = re.compile(r"^\W+|\W+$")
 
@@ -58,47 +58,66 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column | None = None, rows
         known = known.where(learn)
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label"))
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
-    rowset = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(F.length("_text") <= chars).join(known, "_id")
-    pairs = []
+    # the ids are chosen from the labels alone and their number is bounded, so
+    # they are broadcast and no text is shuffled
+    chosen = None
     for y in (0, 1):
-        chosen = rowset.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-        pairs += [(r["_text"], y) for r in chosen.select("_text").collect()]
+        t = known.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+        chosen = t if chosen is None else chosen.unionByName(t)
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(F.length("_text") <= chars)
+    found = texts.join(F.broadcast(chosen), "_id").select("_text", "_label").collect()
+    pairs = sorted(((r["_text"], r["_label"]) for r in found), key=lambda p: (p[1], p[0]))
     return pairs, counts
 
 
 def fit(pairs: list, counts: dict | None = None, steps: int = 200, l2: float = L2) -> tuple[float, dict]:
     """(bias, weights by feature) from the sample's (text, label) pairs."""
-    import numpy as np
+    from array import array
     from collections import Counter
 
+    import numpy as np
+
     y = np.array([p[1] for p in pairs], float)
     total = {v: float(max(1, (counts or {}).get(v) or (y == v).sum())) for v in (0, 1)}
     if not len(y) or y.min() == y.max():
         return _logit(float(y.mean()) if len(y) else 0.0), {}
-    bags = [[[f for w in set(s.split()) for f in features(w)] for s in _SENTENCE.split(t.lower())] for t, _ in pairs]
+    # features of label 1 first: those too rare there are never built for the
+    # rest, so only counters of the survivors are held
     seen = [Counter(), Counter()]
-    for bag, label in zip(bags, y):
-        seen[int(label)].update({f for s in bag for f in s})
+    for label in (1, 0):
+        for (t, v) in pairs:
+            if v == label:
+                found = {f for w in set(_SENTENCE.sub(" ", t.lower()).split()) for f in features(w)}
+                seen[label].update(found if label else found & seen[1].keys())
+        if label:
+            seen[1] = Counter({f: n for f, n in seen[1].items() if n >= MIN_DOCUMENTS})
     n1, n0 = y.sum(), (1 - y).sum()
 
-    def weight_of_evidence(f):
+    def evidence(f):
         a, b = seen[1][f], seen[0][f]
         p = (a + b) / (n1 + n0)
-        return abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-
-    often = [f for f in seen[0].keys() | seen[1].keys() if seen[0][f] + seen[1][f] >= MIN_DOCUMENTS]
-    chosen = sorted(sorted(often), key=weight_of_evidence, reverse=True)[:MAX_FEATURES]
-    index = {f: i for i, f in enumerate(f for f in chosen if weight_of_evidence(f) > 3)}
-    feat, sent, doc, n_sent = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for s in bag:
-            if s:
-                ids = [index[f] for f in s if f in index]
-                feat += ids
-                sent += [n_sent] * len(ids)
+        return (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+
+    chosen = sorted(sorted(seen[1]), key=lambda f: -abs(evidence(f)))[:MAX_FEATURES]
+    index = {f: i for i, f in enumerate(f for f in chosen if abs(evidence(f)) > 3)}
+    known: dict = {}  # of a word: the numbers of its features
+    feat, sent, doc, n_sent = array("l"), array("l"), array("l"), 0
+    for d, (t, _) in enumerate(pairs):
+        for s in _SENTENCE.split(t.lower()):
+            words = set(s.split())
+            if words:
+                for w in words:
+                    ids = known.get(w)
+                    if ids is None:
+                        if len(known) > CACHE_WORDS:
+                            known.clear()
+                        ids = known[w] = tuple(index[f] for f in features(w) if f in index)
+                    for i in ids:
+                        feat.append(i)
+                        sent.append(n_sent)
                 doc.append(d)
                 n_sent += 1
-    feat, sent, doc = np.array(feat, np.int64), np.array(sent, np.int64), np.array(doc, np.int64)
+    feat, sent, doc = (np.array(x, np.int64) for x in (feat, sent, doc))
     each = np.where(y == 1, total[1] / n1, total[0] / n0)
     each /= each.sum()
     theta = np.zeros(len(index) + 1)
@@ -166,12 +185,13 @@ def score(docs: DataFrame, model: tuple[float, dict], text: str = "text") -> Dat
 
         import pyarrow as pa
 
+        remembered("toxicity", dict)  # drops what other operators keep
         words = WordWeights(weights)
         prior = 1 / (1 + math.exp(-bias))
         for batch in batches:
             out = []
-            for t in batch.column(at):
-                t, none = t.as_py(), 0.0
+            for t in texts_of(batch.column(at)):
+                t, none = t.decode() if t else t, 0.0
                 if not weights and t and t.split():
                     none = math.log1p(-min(prior, 1 - 1e-16))  # no evidence: the share of label 1
                 elif t:
