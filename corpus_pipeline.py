@@ -30,10 +30,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of 20-word windows that start earlier
     elsewhere; n_chars follows the text where it changes."""
-    old = docs.withColumn("_old", F.col("text"))
-    new = substring_dedup.deduplicate(old, window=20)
-    n_chars = F.when(F.col("text").eqNullSafe(F.col("_old")), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
-    return new.withColumn("n_chars", n_chars).select(*docs.columns)
+    out = substring_dedup.remove(docs, window=20)
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text")),
+           "n_chars": F.when(changed, F.length("kept").cast("bigint")).otherwise(F.col("n_chars"))}
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
