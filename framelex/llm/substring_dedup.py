@@ -31,13 +31,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import cut, importable
+from .common import cut, discard, importable, release, remembered, texts_of
 
 #: Words of an anchor.
 ANCHOR = 8
 #: Words that a Python worker remembers the hash of, and words that it
 #: handles at a time.
-CACHE_WORDS, CHUNK_WORDS = 400_000, 1 << 20
+CACHE_WORDS, CHUNK_WORDS = 200_000, 1 << 18
 _POSITION = (1 << 24) - 1
 
 
@@ -53,9 +53,6 @@ class WordHashes(dict):
         return h
 
 
-_HASHES = WordHashes()
-
-
 def _mix(h):
     import numpy as np
 
@@ -101,6 +98,7 @@ def runs(texts, window: int):
     import numpy as np
 
     k = min(ANCHOR, window)
+    known = remembered("word hashes", WordHashes).__getitem__
     chunk, lengths, rows, total = [], [], [], 0
 
     def flush():
@@ -127,7 +125,7 @@ def runs(texts, window: int):
         words = t.split() if t else ()
         if len(words) < window:
             continue
-        chunk.append(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
+        chunk.append(np.fromiter(map(known, words), np.uint64, len(words)))
         lengths.append(len(words))
         rows.append(i)
         total += len(words)
@@ -143,15 +141,23 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _same(a: DataFrame, b: DataFrame):
-    return a["_d"].eqNullSafe(b["d"]) & (a["_t"] == b["t"])
+    return a["_d"].eqNullSafe(b["_ld"]) & (a["_t"] == b["_lt"])
 
 
 def repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Repeated stretches: (d, t, start, windows, source), where d and t are
     the document's id and text hash, ``windows`` windows from word ``start``
     on start earlier too, and source is the earliest place (d, t, start)."""
-    importable(docs.sparkSession)
-    keyed = _keyed(docs, doc_id, text)
+    return _repeats(docs, window, doc_id, text)[0]
+
+
+def _repeats(docs: DataFrame, window: int, doc_id: str, text: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The stretches, and the written tables that they are read from."""
+    spark = docs.sparkSession
+    importable(spark)
+    # the anchors name their document by a hash: two documents that share it
+    # only share their lists of anchors to look at
+    keyed = _keyed(docs, doc_id, text).withColumn("_doc", F.xxhash64(F.col("_t"), F.col(doc_id)))
     d = T.StructField("d", docs.schema[doc_id].dataType)
     t = T.StructField("t", T.LongType())
 
@@ -159,13 +165,14 @@ def repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str
         import pyarrow as pa
 
         for batch in batches:
-            for rows, anchor, _, doc, _, _, _, _ in runs(batch.column(2).cast(pa.binary()).to_pylist(), window):
-                of = pa.array(rows[doc])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(of), batch.column(1).take(of)], names=["h", "d", "t"])
+            for rows, anchor, _, doc, _, _, _, _ in runs(texts_of(batch.column(1)), window):
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(pa.array(rows[doc]))], names=["h", "doc"])
 
-    found = cut(keyed.select("_d", "_t", text).mapInArrow(scan, T.StructType([T.StructField("h", T.LongType()), d, t])), "substring-anchors")
+    found = cut(keyed.select("_doc", text).mapInArrow(scan, "h long, doc long"), "substring-anchors")
     again = cut(found.groupBy("h").count().where("count > 1").select("h"), "substring-repeated")
-    lists = cut(found.join(again, "h").groupBy("d", "t").agg(F.collect_set("h").alias("hs")), "substring-lists")
+    release(spark)
+    lists = cut(found.join(again, "h").groupBy("doc").agg(F.collect_set("h").alias("hs")), "substring-lists")
+    discard(found, again)
 
     fields = [T.StructField(c, T.LongType()) for c in ("h", "run")] + [d, t, T.StructField("start", T.IntegerType()),
                                                                       T.StructField("w", T.ArrayType(T.LongType()))]
@@ -176,7 +183,7 @@ def repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str
 
         for batch in batches:
             lists = batch.column(3)
-            for rows, anchor, whole, doc, place, count, hashes, first in runs(batch.column(2).cast(pa.binary()).to_pylist(), window):
+            for rows, anchor, whole, doc, place, count, hashes, first in runs(texts_of(batch.column(2)), window):
                 keep = np.zeros(len(anchor), bool)
                 edges = np.searchsorted(doc, np.arange(len(rows) + 1))
                 for i, row in enumerate(rows.tolist()):
@@ -189,12 +196,13 @@ def repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(whole[keep]), batch.column(0).take(of), batch.column(1).take(of),
                                                   pa.array(place[keep].astype(np.int32)), windows], names=[f.name for f in fields])
 
-    texts = keyed.select("_d", "_t", F.col(text).alias("_text"))
-    met = texts.join(lists, _same(texts, lists)).select("_d", "_t", "_text", "hs")
+    met = keyed.select("_d", "_t", "_doc", F.col(text).alias("_text")).join(lists, F.col("_doc") == F.col("doc")).select("_d", "_t", "_text", "hs")
     paths = cut(met.mapInArrow(take_apart, T.StructType(fields)), "substring-paths")
+    discard(lists)
 
     here = F.struct("d", "t", "start")
     firsts = cut(paths.groupBy("h", "run").agg(F.min(here).alias("source"), F.min_by("w", here).alias("w"), F.count(F.lit(1)).alias("n")), "substring-firsts")
+    release(spark)
     known = firsts.where("n > 1").select(F.col("h").alias("_h"), F.col("run").alias("_run"), "source")
     later = paths.select("h", "run", "d", "t", "start", F.size("w").alias("windows")).join(
         known, (F.col("h") == F.col("_h")) & (F.col("run") == F.col("_run")))
@@ -204,9 +212,10 @@ def repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str
         "h", "w", F.col("source.d").alias("d"), F.col("source.t").alias("t"), (F.col("source.start") + F.col("i")).alias("start"))
     shared = cut(edges.groupBy("h", "w").agg(F.min(here).alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1")
                  .select(F.col("h").alias("_h"), F.col("w").alias("_w"), "source"), "substring-edges")
+    release(spark)
     single = edges.join(shared, (F.col("h") == F.col("_h")) & (F.col("w") == F.col("_w")))
     single = single.where(~here.eqNullSafe(F.col("source"))).select("d", "t", "start", F.lit(1).alias("windows"), "source")
-    return later.unionByName(single)
+    return later.unionByName(single), [paths, firsts, shared]
 
 
 def spans(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,8 +237,10 @@ def spans(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str =
 def remove(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_removed and kept, the words that stay joined
     by one space. Every row and column stays; names added replace others."""
-    found = repeats(docs, window, doc_id, text)
-    lists = cut(found.groupBy("d", "t").agg(F.collect_set(F.struct("start", "windows")).alias("_covered")), "substring-covered")
+    found, tables = _repeats(docs, window, doc_id, text)
+    lists = cut(found.groupBy("d", "t").agg(F.collect_set(F.struct("start", "windows")).alias("_covered"))
+                .withColumnsRenamed({"d": "_ld", "t": "_lt"}), "substring-covered")
+    discard(*tables)
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     keyed = _keyed(docs.select(*columns), doc_id, text)
     met = keyed.join(lists, _same(keyed, lists), "left").select(*columns, "_covered")
@@ -244,7 +255,7 @@ def remove(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str
         for batch in batches:
             n_words, n_removed, kept = [], [], []
             covered = batch.column(len(columns))
-            for i, t in enumerate(batch.column(at).cast(pa.binary()).to_pylist()):
+            for i, t in enumerate(texts_of(batch.column(at))):
                 words = t.split() if t else []
                 n_words.append(len(words))
                 c = covered[i].values
