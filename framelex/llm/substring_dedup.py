@@ -206,7 +206,8 @@ def _repeats(docs: DataFrame, window: int, doc_id: str, text: str) -> tuple[Data
     known = firsts.where("n > 1").select(F.col("h").alias("_h"), F.col("run").alias("_run"), "source")
     later = paths.select("h", "run", "d", "t", "start", F.size("w").alias("windows")).join(
         known, (F.col("h") == F.col("_h")) & (F.col("run") == F.col("_run")))
-    later = later.where(~here.eqNullSafe(F.col("source"))).select("d", "t", "start", "windows", "source")
+    later = cut(later.where(~here.eqNullSafe(F.col("source"))).select("d", "t", "start", "windows", "source"), "substring-later")
+    discard(paths)  # the largest table goes before the windows move
 
     edges = firsts.select("h", "source", F.posexplode("w").alias("i", "w")).select(
         "h", "w", F.col("source.d").alias("d"), F.col("source.t").alias("t"), (F.col("source.start") + F.col("i")).alias("start"))
@@ -215,7 +216,7 @@ def _repeats(docs: DataFrame, window: int, doc_id: str, text: str) -> tuple[Data
     release(spark)
     single = edges.join(shared, (F.col("h") == F.col("_h")) & (F.col("w") == F.col("_w")))
     single = single.where(~here.eqNullSafe(F.col("source"))).select("d", "t", "start", F.lit(1).alias("windows"), "source")
-    return later.unionByName(single), [paths, firsts, shared]
+    return later.unionByName(single), [later, firsts, shared]
 
 
 def spans(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
