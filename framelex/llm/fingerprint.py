@@ -15,8 +15,8 @@ radius agrees on the key of one table; the distance is then verified.
 
 Defined cases: a null text is empty; a text of no words has fingerprint 0;
 null ids come before all others in the order of the documents, rows that
-repeat an id are ordered by text, and the only document follows itself; an
-empty table gives an empty result.
+repeat an id are ordered by text, each row that repeats id and text counts,
+and the only document follows itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -79,9 +79,13 @@ def likeness(a: str, b: str) -> Column:
     return (F.lit(1.0) - distance(a, b) / F.lit(float(BITS))).cast("double")
 
 
-def with_next(rows: DataFrame, order: list[str], columns: list[str], buckets: int | None = None) -> DataFrame:
+def with_next(rows: DataFrame, order: list[str], columns: list[str], buckets: int | None = None, place: str | None = None) -> DataFrame:
     """Adds next_<column>: the value in the row that follows in ``order`` (an
-    integer id first); the first row follows the last.
+    integer id first); the first row follows the last. ``place`` names a column
+    for the row's number in its bucket: rows of one id share a bucket, so the
+    id and the place tell all rows apart, and sort them as ``order`` does. The
+    numbers are the same in every run of the plan if rows that are equal in
+    ``order`` are equal in all columns.
 
     The ids' quantiles deal the rows to buckets, each sorted by itself; the
     first row of each bucket also goes to the end of the bucket before it, so
@@ -102,7 +106,8 @@ def with_next(rows: DataFrame, order: list[str], columns: list[str], buckets: in
     before = F.coalesce(F.lag("_bucket").over(every.orderBy("_bucket")), F.max("_bucket").over(every))
     guests = firsts.withColumn("_to", before).select(*[F.col("_row")[c].alias(c) for c in names], F.col("_to").alias("_bucket"), F.lit(1).alias("_guest"))
     w = Window.partitionBy("_bucket").orderBy("_guest", *[F.col(c).asc_nulls_first() for c in order])
-    out = t.unionByName(guests).select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    numbers = [F.row_number().over(w).alias(place)] if place else []
+    out = t.unionByName(guests).select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns], *numbers)
     return out.where("_guest = 0").drop("_bucket", "_guest")
 
 

@@ -42,12 +42,13 @@ def op8_sharding(spark, sf_dir):
 def op9_fingerprint(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("n_chars", F.length("text").cast("bigint"))
-    t = fingerprint.with_next(docs, ["doc_id", "text"], ["text"])
+    # equal rows are told apart by their place, which also keeps the order by text
+    t = fingerprint.with_next(docs, ["doc_id", "text"], ["text"], place="place")
     edited = F.concat(F.expr("substring(text, 1, int(n_chars) - int(n_chars div 2))"), F.expr("substring(next_text, 1, int(n_chars div 2))"))
-    t = t.withColumn("edited", edited).select("doc_id", "n_chars", "text", "edited", F.xxhash64("text").alias("h"), F.unhex(F.sha2("edited", 256)).alias("sha"))
-    keys = ["doc_id", "n_chars", "h", "sha"]
+    t = t.withColumn("edited", edited).select("doc_id", "place", "n_chars", "text", "edited", F.unhex(F.sha2("edited", 256)).alias("sha"))
+    keys = ["doc_id", "place", "n_chars", "sha"]
     prints = fingerprint.fingerprints(t, keys, {"fp": "text", "ed": "edited"})
-    prints = fingerprint.with_next(prints, ["doc_id", "h"], ["fp_0", "fp_1"])
+    prints = fingerprint.with_next(prints, ["doc_id", "place"], ["fp_0", "fp_1"])
     return prints.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
                          fingerprint.as_string("fp").alias("fingerprint"), fingerprint.as_string("ed").alias("edited_fingerprint"),
                          fingerprint.likeness("fp", "ed").alias("near_edited"), fingerprint.likeness("fp", "next_fp").alias("near_next"))

@@ -1,5 +1,6 @@
 """Operators on groups of rows, each against a brute-force version."""
 
+import hashlib
 import random
 import struct
 
@@ -8,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from framelex.llm import ann, components, fingerprint, mixing, simhash_dedup, substring_dedup, toxicity
+from framelex.llm import ann, components, fingerprint, mixing, registry, simhash_dedup, substring_dedup, toxicity
 
 DOCS = "doc_id long, text string, source string, n_chars long"
 
@@ -294,6 +295,24 @@ def test_with_next_wraps_around(spark):
     assert sorted((x.text, x.next_text) for x in fingerprint.with_next(nulls, ["doc_id", "text"], ["text"], buckets=3).collect()) == [("a", "b"), ("b", "c"), ("c", "a")]
 
 
+def test_op9_on_repeated_rows_and_null_ids(spark, tmp_path):
+    long = "x y " * 20_000
+    rows = [(i, f"text {i} of some words") for i in range(30)] + [(7, "b c d"), (7, "a"), (7, "a"), (7, "zz top")]
+    rows += [(12, "same row here again")] * 5 + [(13, long)] * 4 + [(None, None)] * 6 + [(None, "x")] * 3 + [(None, ""), (None, "null id text"), (29, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(x) for x in registry.op9_fingerprint(spark, str(tmp_path)).selectExpr("coalesce(doc_id, -1)", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect())
+    line = sorted((-1 if i is None else i, t or "") for i, t in rows)
+    fp = {t: brute_128(t) for _, t in line}
+    like = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 128
+    want = []
+    for (i, t), (_, after) in zip(line, line[1:] + line[:1]):
+        half = len(t) // 2
+        edited = t[:len(t) - half] + after[:half]
+        ed = brute_128(edited)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), fp[t], ed, like(fp[t], ed), like(fp[t], fp[after])))
+    assert len(got) == len(rows) and got == sorted(want)
+
+
 @pytest.mark.parametrize("radius,blocks", [(0, 4), (3, 6), (6, 10)])
 def test_find_near_finds_all(spark, radius, blocks):
     rng = random.Random(radius)
