@@ -42,8 +42,14 @@ BUCKET = 8_192
 
 def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+    return with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "fp", shingle, "_text", ["doc_id"])
+
+
+def with_fingerprint(docs: DataFrame, name: str, shingle: int, text: str, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs`` and the fingerprint of each row's text as ``name``."""
     importable(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType())])
+    schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField(name, T.LongType())])
+    at, kept = docs.columns.index(text), [docs.columns.index(c) for c in columns]
 
     def run(batches):
         import numpy as np
@@ -53,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text
         remembered("simhash", dict)  # drops what other operators keep
         for batch in batches:
             out = np.zeros(batch.num_rows, np.uint64)
-            for i, t in enumerate(texts_of(batch.column(1))):
+            for i, t in enumerate(texts_of(batch.column(at))):
                 words = (t or b"").lower().split()
                 if not words:
                     continue
@@ -66,9 +72,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text
                 stops = (ends[shingle - 1:] - 1).tolist()
                 h = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(stops))
                 out[i] = majority(h)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out.view(np.int64))], names=[*columns, name])
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def majority(h):
@@ -174,26 +180,49 @@ def _midpoint_links(fps: DataFrame, radius: int) -> DataFrame:
     return rows.select(F.col("fp").alias("a"), hub.alias("b")).where("b is not null and a != b").distinct()
 
 
-def cluster(docs: DataFrame, shingle: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text",
-            blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest id that links
-    reach, the document's own included."""
+def _clustered(docs: DataFrame, shingle: int, radius: int, doc_id: str, text: str, blocks: int = BLOCKS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and for each distinct fingerprint (_fp) the
+    root, which tells the components apart, and the component_id."""
     prints = cut(fingerprints(docs, shingle, doc_id, text), "simhash-fp")
     firsts = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = cut(components(links(firsts.select("fp"), radius, blocks, bucket)), "simhash-roots")
     # only fingerprints with links have a root; the others are their own
     linked = firsts.join(roots, firsts["fp"] == roots["node"]).select("fp", "first", "root")
     least = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
-    linked = cut(linked.join(least, "root").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_linked")), "simhash-linked")
+    linked = cut(linked.join(least, "root").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_linked")), "simhash-linked")
     known = cut(firsts.join(linked, firsts["fp"] == linked["_fp"], "left")
-                .select(F.col("fp").alias("_fp"), F.coalesce("_linked", "first").alias("component_id")), "simhash-components")
+                .select(F.col("fp").alias("_fp"), F.coalesce("_root", "fp").alias("root"), F.coalesce("_linked", "first").alias("component_id")), "simhash-components")
+    return prints, known
+
+
+def cluster(docs: DataFrame, shingle: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text",
+            blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest id that links
+    reach, the document's own included."""
+    prints, known = _clustered(docs, shingle, radius, doc_id, text, blocks, bucket)
+    known = known.select("_fp", "component_id")
     return prints.join(known, prints["fp"] == known["_fp"], "left").drop("_fp")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of
-    each group of near copies stays, with all its columns. Rows that repeat
-    an id with another text are compared by that id's component."""
-    groups = cluster(docs, shingle, radius, doc_id, text)
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    """One row of each group of near copies, with all its columns: the one of
+    least id, null ids last, then of least fingerprint, then of least text and
+    other columns. Rows are judged by id and fingerprint, so an id that loses
+    through one text keeps its others; of equal rows one stays."""
+    prints, known = _clustered(docs, shingle, radius, doc_id, text)
+    members = cut(prints.join(known, prints["fp"] == known["_fp"]).groupBy("root", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-members")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    groups = members.groupBy("root").agg(F.min(rank).alias("_first"), F.sum("n").alias("_rows")).where("_rows > 1")
+    marks = members.join(groups, "root").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), rank.eqNullSafe(F.col("_first")).alias("_stays"), "n")
+    # rows without a mark are the only ones of their group, or its first
+    marks = cut(marks.where("not _stays or n > 1").drop("n"), "simhash-marks")
+    rows = with_fingerprint(docs, "_print", shingle, text, docs.columns)
+    same = rows[doc_id].eqNullSafe(marks["_id"]) & (rows["_print"] == marks["_fp"])
+    out = rows.join(marks, same, "left_anti").select(*docs.columns)
+    repeated = marks.where("_stays")
+    if repeated.isEmpty():
+        return out
+    sortable = [f.name for f in docs.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    one = rows.join(repeated, same, "left_semi").groupBy(doc_id, "_print").agg(
+        F.min_by(F.struct(*docs.columns), F.struct(text, *[c for c in sortable if c != text])).alias("_row"))
+    return out.unionByName(one.select("_row.*"))

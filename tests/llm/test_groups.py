@@ -82,6 +82,17 @@ def test_simhash_dedup_keeps_one_of_each_group_and_all_columns(spark):
     assert simhash_dedup.cluster(df.where("false")).count() == 0
 
 
+def test_simhash_dedup_judges_rows_not_ids(spark):
+    a, b, c = "a b c d e f g h", "quite another text with more words in it", "third text that nobody else has here at all"
+    dup = lambda rows: sorted((-1 if x.doc_id is None else x.doc_id, x.text) for x in simhash_dedup.deduplicate(make(spark, [t for _, t in rows], [i for i, _ in rows])).collect())
+    # an id that loses through one text keeps its other text, and names it for both groups
+    assert dup([(3, a), (5, a), (5, b), (8, b), (9, c)]) == [(3, a), (5, b), (9, c)]
+    assert dup([(5, a), (5, b), (8, a), (8, b)]) == [(5, a), (5, b)]
+    # null ids come last, and one of them stays; of equal rows and of texts of one fingerprint one stays
+    assert dup([(None, a)] * 50 + [(None, b), (7, b), (None, c)]) == [(-1, a), (-1, c), (7, b)]
+    assert dup([(2, a)] * 4 + [(2, a.upper())] * 2 + [(4, a), (None, b), (None, b.upper())]) == [(-1, b.upper()), (2, a.upper())]
+
+
 def test_components_of_long_paths(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 200)] + [(500 + i, 500) for i in range(50)] + [(7, 7), (3, 2), (2, 3)]
