@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, fingerprint, mixing, packing, sharding, simhash_dedup, substring_dedup, token_counts, toxicity, url_filter
+from . import ann, ball_tree, exact_dedup, fingerprint, merkle, mixing, packing, sharding, simhash_dedup, substring_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 #: Rules of op1 (host, path, verdict).
@@ -84,6 +84,28 @@ def op5_simhash_dedup(spark, sf_dir):
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_exact_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = merkle.leaf(*fields, F.translate("text", _UPPER, _LOWER))
+    leaves = docs.select(F.col("doc_id").alias("id"), "source", merkle.leaf(*fields, F.col("text")).alias("leaf"),
+                         F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, tampered).alias("changed"))
+    return merkle.prove(leaves).withColumnRenamed("id", "doc_id")
+
+
+def op13_lexical_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ball_tree.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=20)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
@@ -95,9 +117,83 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_fingerprint": op9_fingerprint,
     "op10_packing": op10_packing,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_merkle": op12_merkle,
+    "op13_lexical_search": op13_lexical_search,
 }
 
+
+def _merkle_sql(levels: int = 5, top: int = 3) -> str:
+    """SQL of op12, unrolled for sources of up to 16**levels documents and up
+    to 16**top sources."""
+    def grow(name, steps):
+        # each step: nodes (t, i, n, h), climbing where more than one is left
+        out = []
+        for k in range(steps):
+            out.append(f"""{name}r{k} AS (SELECT t, i // 16 AS up, string_agg(h, '' ORDER BY i) AS run FROM {name}{k} WHERE n > 1 GROUP BY t, i // 16),
+        {name}{k + 1} AS (SELECT t, up AS i, count(*) OVER (PARTITION BY t) AS n, sha256(run) AS h FROM {name}r{k}
+              UNION ALL SELECT t, i, n, h FROM {name}{k} WHERE n = 1)""")
+        return ",\n        ".join(out)
+
+    def climb(name, steps, start):
+        # each step: siblings left and right of a document's node
+        out, last = [], start
+        for k in range(steps):
+            out.append(f"""{name}p{k} AS (SELECT p.* EXCLUDE (spot, proof, folded), CASE WHEN run IS NULL THEN spot ELSE spot // 16 END AS spot,
+                 proof || coalesce(run[:64 * (spot % 16)] || run[64 * (spot % 16) + 65:], '') AS proof,
+                 CASE WHEN run IS NULL THEN folded ELSE sha256(run[:64 * (spot % 16)] || folded || run[64 * (spot % 16) + 65:]) END AS folded
+              FROM {last} p LEFT JOIN {name}r{k} r ON r.t = p.t AND r.up = p.spot // 16)""")
+            last = f"{name}p{k}"
+        return ",\n        ".join(out), last
+
+    inner, reached = climb("s", levels, "d0")
+    outer, ended = climb("t", top, "d1")
+    field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    fields = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    return f"""
+        WITH poly AS (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, i:
+                        CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+        l AS (SELECT doc_id, source, sha256({fields} || {field.format('text')}) AS leaf,
+                     sha256({fields} || {field.format(lower)}) AS low,
+                     xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                         lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295) % 5 = 0 AS hit FROM documents, poly),
+        s0 AS (SELECT dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t, count(*) OVER (PARTITION BY source) AS n,
+                      row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, doc_id, low, hit FROM l),
+        {grow("s", levels)},
+        t0 AS (SELECT 0 AS t, t AS i, count(*) OVER () AS n, h FROM s{levels}),
+        {grow("t", top)},
+        d0 AS (SELECT doc_id, h AS leaf, t, i AS spot, '' AS proof, CASE WHEN hit THEN low ELSE h END AS folded FROM s0),
+        {inner},
+        d1 AS (SELECT p.* EXCLUDE (t, spot), s.h AS subroot, 0 AS t, p.t AS spot FROM {reached} p JOIN s{levels} s ON s.t = p.t),
+        {outer}
+        SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.h AS verified
+        FROM {ended} p, t{top} r"""
+
+
 SQL = {
+    "op11_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+               sha256(norm) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op12_merkle": _merkle_sql(),
+    "op13_lexical_search": r"""
+        WITH d AS (
+          SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+        n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+        a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM n),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, a GROUP BY term, docs),
+        m AS (SELECT doc_id, 75 + ((25 * n * docs) // len) AS m FROM n, a),
+        q AS (SELECT item_id, term, count(*) AS qtf FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+        s AS (SELECT item_id, doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+              FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
     "op2_mixing": r"""
         WITH d AS (
           SELECT doc_id, source, md5('0|' || coalesce(doc_id::VARCHAR, '')) AS spot,
