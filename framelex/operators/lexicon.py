@@ -1,6 +1,6 @@
 """Lexicon compile: LU names -> variants -> pattern table -> node table.
 
-The reference keeps a mutable trie; here the trie is two tables:
+The pattern tree is two tables:
 ``patterns(key, words, n, frames)`` (terminal paths) and
 ``nodes(key, depth, frames, has_children)`` (every prefix). The walk in
 ``match`` looks nodes up by key with hash joins.
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.text import lu_base, strip_ws
@@ -118,6 +118,9 @@ class Compiled:
     n_nodes: int
     lmax: int
     sizes: dict  # measured bytes of each table
+    spelled: tuple[int, int] = (0, 0)  # most roots of a variant in each direction
+    aliases: DataFrame | None = None  # (form, word); None: the fixed list
+    overrides: DataFrame | None = None  # (lemma, pos, lu, extra); None: the fixed list
 
     def __iter__(self):  # (variants, patterns, nodes) unpacking
         return iter((self.variants, self.patterns, self.nodes))
@@ -135,7 +138,8 @@ def _bytes(t: DataFrame, *cols: str) -> int:
 
 
 def compile_lexicon(lus: DataFrame, with_extras: bool = True, cache: bool = True,
-                    pairs: DataFrame | None = None) -> Compiled:
+                    pairs: DataFrame | None = None, aliases: DataFrame | None = None,
+                    overrides: DataFrame | None = None) -> Compiled:
     """Compile an LU index ``(name, frame)``.
 
     Pattern, node and spelling tables are read many times (one lookup per
@@ -153,7 +157,44 @@ def compile_lexicon(lus: DataFrame, with_extras: bool = True, cache: bool = True
     sizes = {"variants": _bytes(v, "variant", "frame", "lu"), "patterns": _bytes(p, "key", "frames"),
              "nodes": _bytes(n, "key"), "node_frames": _bytes(n, "key", "frames"),
              "spelling": _bytes(sp, "variant", "us_roots", "gb_roots")}
-    return Compiled(v, p, n, sp, int(st["c"] or 0), int(st["d"] or 1), sizes)
+    most = sp.agg(*[F.max(F.greatest(F.size(c), F.lit(0))) for c in ("us_roots", "gb_roots")]).first()
+    if aliases is not None:
+        # words that are no roots start no walk; a form has one word
+        roots = n.where("depth = 1").select(F.col("key").alias("word"))
+        aliases = aliases.join(roots, "word", "left_semi").groupBy("form").agg(F.min("word").alias("word"))
+        sizes["aliases"] = _bytes(aliases, "form", "word")
+    if overrides is not None:
+        overrides = overrides.groupBy("lemma", "pos").agg(F.min(F.struct("lu", "extra")).alias("o")).select("lemma", "pos", "o.lu", "o.extra")
+        sizes["overrides"] = _bytes(overrides, "lemma", "pos", "lu")
+    return Compiled(v, p, n, sp, int(st["c"] or 0), int(st["d"] or 1), sizes, tuple(int(x or 0) for x in most), aliases, overrides)
+
+
+def release(lex: Compiled) -> None:
+    """Drops the cached tables of a compiled lexicon."""
+    for t in (lex.patterns, lex.nodes, lex.spelling):
+        t.unpersist()
+
+
+def frequent_ngrams(toks: DataFrame, support: int = 5, nmax: int = 3) -> DataFrame:
+    """(gram, n): word n-grams that occur ``support`` times or more in the
+    token table, counted level by level: an n-gram is counted only where both
+    of its (n - 1)-grams are frequent, so few candidates reach the shuffle."""
+    w = Window.partitionBy("sent_id", "pass").orderBy("tok_idx")
+    word = F.col("text").rlike("^[a-z]+$")
+    t = toks.select("sent_id", "pass", "tok_idx", F.when(word, F.col("text")).alias("w"))
+    at = t.select("sent_id", "pass", "tok_idx", F.col("w").alias("g1"),
+                  *[F.when(F.forall(F.array(*[F.lead("w", i).over(w) for i in range(k)]), lambda x: x.isNotNull()),
+                           F.concat_ws(" ", *[F.lead("w", i).over(w) for i in range(k)])).alias(f"g{k}") for k in range(2, nmax + 1)])
+    out = prev = None
+    for n in range(1, nmax + 1):
+        g = at.where(F.col(f"g{n}").isNotNull()).select(F.col(f"g{n}").alias("gram"))
+        if prev is not None:
+            head, tail = F.regexp_replace("gram", " [^ ]*$", ""), F.regexp_replace("gram", "^[^ ]* ", "")
+            g = g.join(prev.select(F.col("gram").alias("_h")), head == F.col("_h"), "left_semi")
+            g = g.join(prev.select(F.col("gram").alias("_t")), tail == F.col("_t"), "left_semi")
+        prev = g.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= support).select("gram", F.lit(n).alias("n"))
+        out = prev if out is None else out.unionByName(prev)
+    return out
 
 
 def normalise_lu(name: Column) -> Column:

@@ -1,14 +1,13 @@
 """Candidate generation: every span that matches a lexicon pattern.
 
-The reference walks a trie token by token. Here the walk is a fixed number
-of hash-join levels (``Lmax`` = longest pattern): level 1 joins start words
+The walk through the pattern tree is a fixed number of hash-join levels (``Lmax`` = longest pattern): level 1 joins start words
 to root nodes, level k looks up ``path + ' ' + word`` (literal child) and
 ``path + ' <POS>'`` (wildcard child), literal preferred. Every node with
 frames that the walk passes is emitted, so the result for a start is all
 terminal prefixes of the walked path. The node table is broadcast only
 after a size check; otherwise the levels are shuffle joins.
 
-Views (reference order of lookups per token):
+Views (order of lookups per token):
   surface  start = text,                         walk = text
   lemma    start = lemma,                        walk = lemma
   stem     start = stem,                         walk = stem
@@ -43,31 +42,34 @@ def _with_leads(toks: DataFrame, lmax: int) -> DataFrame:
     return out.withColumns(cols).drop(*[f"_n{k}" for k in ks])
 
 
-def _starts(toks: DataFrame, spell_b: DataFrame) -> DataFrame:
+def _starts(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
     """One row per (token, view) whose start word is known; the override
     view (L20) is a start that does not walk and ends ``extra`` chars
     later (not on the first token of the first pass)."""
     # the alias and override tables are fixed lists of a few entries:
-    # CASE expressions, not joins
+    # CASE expressions, not joins; a user's tables are joined
     a_word = F.lit(None).cast("string")
-    for form, word in reversed(fixed.ALIASES):
-        a_word = F.when(F.col("text") == form, F.lit(word)).otherwise(a_word)
     o_lu, o_extra = F.lit(None).cast("string"), F.lit(None).cast("int")
     not_first = ~((F.col("pass") == 0) & (F.col("tok_idx") == 0))
-    for lem, pos, lu, extra in reversed(fixed.OVERRIDES):
-        hit = (F.col("lemma") == lem) & (F.col("pos") == pos) & not_first
-        o_lu = F.when(hit, F.lit(lu)).otherwise(o_lu)
-        o_extra = F.when(hit, F.lit(extra)).otherwise(o_extra)
-    t = toks.select("*", a_word.alias("a_word"), o_lu.alias("o_lu"), o_extra.alias("o_extra"))
-    for src in ("text", "lemma", "stem"):
-        s = spell_b.select(F.col("variant").alias("sv_" + src), F.col("us_roots").alias("su_" + src), F.col("gb_roots").alias("sg_" + src))
-        t = t.join(s, t[src] == s["sv_" + src], "left")
-    # in each direction the first of text, lemma and stem that has roots
-    to_us = F.coalesce("su_text", "su_lemma", "su_stem")
-    to_gb = F.coalesce("sg_text", "sg_lemma", "sg_stem")
-    no_root = F.array().cast("array<string>")
-    spelled = F.when(to_us.isNotNull() | to_gb.isNotNull(),
-                     F.array_union(F.coalesce(to_us, no_root), F.coalesce(to_gb, no_root)))
+    t = toks
+    if lex.aliases is None:
+        for form, word in reversed(fixed.ALIASES):
+            a_word = F.when(F.col("text") == form, F.lit(word)).otherwise(a_word)
+    else:
+        al = broadcast_measured(lex.aliases.select(F.col("form").alias("_al"), F.col("word").alias("_aw")), lex.sizes["aliases"])
+        t, a_word = t.join(al, t["text"] == al["_al"], "left"), F.col("_aw")
+    if lex.overrides is None:
+        for lem, pos, lu, extra in reversed(fixed.OVERRIDES):
+            hit = (F.col("lemma") == lem) & (F.col("pos") == pos) & not_first
+            o_lu = F.when(hit, F.lit(lu)).otherwise(o_lu)
+            o_extra = F.when(hit, F.lit(extra)).otherwise(o_extra)
+    else:
+        ov = broadcast_measured(lex.overrides.select(F.col("lemma").alias("_ol"), F.col("pos").alias("_op"), F.col("lu").alias("_ou"),
+                                                     F.col("extra").alias("_oe")), lex.sizes["overrides"])
+        t = t.join(ov, (t["lemma"] == ov["_ol"]) & (t["pos"] == ov["_op"]) & not_first, "left")
+        o_lu, o_extra = F.col("_ou"), F.col("_oe")
+    t = t.withColumns({"a_word": a_word, "o_lu": o_lu, "o_extra": o_extra})
+    t, spelled = _spelled(t, lex)
     none = F.lit(None).cast("array<string>")
     text, lemma, stem = F.col("text"), F.col("lemma"), F.col("stem")
     # A view that starts with the same word and walks the same words as an
@@ -91,29 +93,48 @@ def _starts(toks: DataFrame, spell_b: DataFrame) -> DataFrame:
         view(F.lit("stem"), F.when(~stem_is_surf & ~stem_is_lem, stem), F.col("nx_stem")),
         view(F.lit("alias"), F.col("a_word"), F.col("nx_text")),
         view(F.lit("override"), F.col("o_lu"), none, (F.col("end") + F.col("o_extra")).cast("int")),
-    )
-    # any number of spelled roots (no lambda, so the projection stays in codegen)
-    n = F.coalesce(F.size(spelled), F.lit(0))
-    views = F.concat(views, F.when(spelled.isNotNull(), F.arrays_zip(
-        F.array_repeat(F.lit("spelling"), n).alias("views"), spelled.alias("first"),
-        F.array_repeat(F.col("nx_stem"), n).alias("walk"), F.array_repeat(F.col("end"), n).alias("end")))
-        .otherwise(F.slice(views, 1, 0)))
+        *[view(F.lit("spelling"), root, F.col("nx_stem")) for root in spelled])
     return (t.select("sent_id", "pass", "start", "nx_pos", "nx_end", F.explode(views).alias("v"))
             .select("sent_id", "pass", "start", "nx_pos", "nx_end", "v.views", "v.first", "v.walk", "v.end")
             .where(F.col("first").isNotNull()))
 
 
-def walk(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
-    """Pattern walk over an annotated token table.
-
-    Each level carries only the node key reached (``n1..nL``); frames are
-    attached once at the end by joining the visited keys to the terminal
-    patterns. Returns ``(sent_id, pass, view, start, end, lu, frames)``,
-    one row per emitted node (before dedupe)."""
+def _spelled(t: DataFrame, lex: "lexicon.Compiled") -> tuple[DataFrame, list]:
+    """Tokens with the roots of their other spelling, and the columns that
+    hold them: as many for each direction as the compiled lexicon's longest
+    root list, so none (and no join) when it has no spelling pair."""
+    n_us, n_gb = lex.spelled
+    names = [f"u{i}" for i in range(n_us)] + [f"g{i}" for i in range(n_gb)]
+    if not names:
+        return t, []
+    lists = [F.try_element_at("us_roots", F.lit(i + 1)) for i in range(n_us)] + [F.try_element_at("gb_roots", F.lit(i + 1)) for i in range(n_gb)]
+    spell = broadcast_measured(lex.spelling, lex.sizes["spelling"])
+    for src in ("text", "lemma", "stem"):
+        s = spell.select(F.col("variant").alias(f"_v_{src}"), *[c.alias(f"_{n}_{src}") for n, c in zip(names, lists)])
+        t = t.join(s, t[src] == s[f"_v_{src}"], "left")
+
+    def roots(letter, n):
+        # the first of text, lemma and stem that has roots in this direction
+        known = {src: F.col(f"_{letter}0_{src}").isNotNull() for src in ("text", "lemma")}
+        return [F.when(known["text"], F.col(f"_{letter}{i}_text")).when(known["lemma"], F.col(f"_{letter}{i}_lemma"))
+                .otherwise(F.col(f"_{letter}{i}_stem")) for i in range(n)]
+
+    us, gb = roots("u", n_us), roots("g", n_gb)
+    # a root that both directions give is walked once
+    for i, g in enumerate(gb):
+        for u in us:
+            g = F.when(~F.coalesce(g == u, F.lit(False)), g)
+        gb[i] = g
+    return t, us + gb
+
+
+def hits(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
+    """Pattern walk over an annotated token table: ``(sent_id, pass, views,
+    start, end, lu)``, one row per node that a walk passes; ``views`` names
+    the views that walk there. Keys only: frames join later."""
     lmax = lex.lmax
     keys_b = broadcast_measured(lex.nodes.select("key", "has_children", "depth"), lex.sizes["nodes"])
-    spell_b = broadcast_measured(lex.spelling, lex.sizes["spelling"])
-    s = _starts(_with_leads(toks, lmax), spell_b)
+    s = _starts(_with_leads(toks, lmax), lex)
     # overrides carry no walk words, so they never go past level 1
     # a walk starts at a one-word root; only an override names a whole LU
     root = keys_b.select(F.col("key").alias("n1"), F.col("has_children").alias("c"), F.col("depth").alias("_depth"))
@@ -136,66 +157,93 @@ def walk(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
     visited = F.array(F.struct(F.col("end").alias("end"), F.col("n1").alias("lu")),
                       *[F.struct(F.element_at("nx_end", k).alias("end"), F.col(f"n{k + 1}").alias("lu"))
                         for k in range(1, lmax)])
-    hits = (cur.select("sent_id", "pass", "views", "start", F.explode(visited).alias("v"))
-            .where(F.col("v.lu").isNotNull())
-            .select("sent_id", "pass", "views", "start", F.col("v.end").alias("end"), F.col("v.lu").alias("lu")))
+    out = (cur.select("sent_id", "pass", "views", "start", F.explode(visited).alias("v"))
+           .where(F.col("v.lu").isNotNull())
+           .select("sent_id", "pass", "views", "start", F.col("v.end").alias("end"), F.col("v.lu").alias("lu")))
+    if "head_idx" in toks.columns:
+        out = out.unionByName(dependency_hits(toks, lex))
+    return out.where(F.col("end") > F.col("start"))
+
+
+def with_frames(rows: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
+    """Rows of a terminal pattern ``lu``, with its frames."""
     term = broadcast_measured(lex.patterns.select(F.col("key").alias("t_key"), F.col("frames")), lex.sizes["patterns"])
-    return (hits.join(term, hits["lu"] == term["t_key"], "inner")
-            .select("sent_id", "pass", F.explode(F.split("views", ",")).alias("view"), "start", "end", "lu", "frames"))
-
-
-def dependency_pairs(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
-    """Lemma is a root with children and a transitive ancestor's or a
-    direct child's lemma is its second word. Needs ``head_idx`` (supplied
-    by a user's parser); one group per (sentence, pass)."""
-    per = (toks.where(F.col("head_idx").isNotNull() | F.col("tok_idx").isNotNull())
-           .groupBy("sent_id", "pass")
-           .agg(F.sort_array(F.collect_list(F.struct("tok_idx", "head_idx", "lemma", "start", "end"))).alias("t")))
-    n = F.size("t")
-
-    def head_of(i):
-        return F.element_at("t", i + 1)["head_idx"]
-
-    def ancestors(i):
-        init = F.struct(i.alias("cur"), F.array().cast("array<int>").alias("acc"))
-
-        def step(st, _):
-            h = head_of(st["cur"])
-            stop = h.isNull() | (h == st["cur"]) | F.array_contains(st["acc"], h)
-            return F.when(stop, st).otherwise(F.struct(h.alias("cur"), F.concat(st["acc"], F.array(h)).alias("acc")))
-
-        return F.aggregate(F.sequence(F.lit(1), n), init, step)["acc"]
-
-    pairs = per.select("sent_id", "pass", "t", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    pairs = pairs.select(
-        "sent_id", "pass", "t", "i",
-        F.array_union(ancestors(F.col("i")),
-                      F.filter(F.sequence(F.lit(0), n - 1), lambda j: head_of(j) == F.col("i")) .cast("array<int>")
-                      ).alias("others"))
-    pairs = pairs.select("sent_id", "pass", F.element_at("t", F.col("i") + 1).alias("me"),
-                         F.explode(F.transform("others", lambda j: F.element_at(F.col("t"), j + 1))).alias("ot"))
-    pairs = pairs.where(F.col("me.tok_idx") != F.col("ot.tok_idx"))
-    key = F.concat_ws(" ", "me.lemma", "ot.lemma")
-    nk = broadcast_measured(lex.nodes.select(F.col("key").alias("n_key"), F.col("frames").alias("n_f"), "depth"),
-                            lex.sizes["node_frames"])
-    roots = nk.where("depth = 1").select(F.col("n_key").alias("r_key"))
-    pairs = pairs.join(roots, pairs["me.lemma"] == roots["r_key"], "left_semi")
-    j = pairs.withColumn("_k", key).join(nk, F.col("_k") == nk["n_key"], "inner")
-    me_first = F.col("me.start") < F.col("ot.start")
-    return (j.where(F.col("me.start") != F.col("ot.start"))
-            .select("sent_id", "pass", F.lit("dependency").alias("view"),
-                    F.when(me_first, F.col("me.start")).otherwise(F.col("ot.start")).alias("start"),
-                    F.when(me_first, F.col("ot.end")).otherwise(F.col("me.end")).alias("end"),
-                    F.col("n_key").alias("lu"), F.col("n_f").alias("frames")))
+    return rows.join(term, rows["lu"] == term["t_key"], "inner").drop("t_key")
+
+
+def walk(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
+    """``(sent_id, pass, view, start, end, lu, frames)``, one row per view
+    and pattern met."""
+    return with_frames(hits(toks, lex), lex).select(
+        "sent_id", "pass", F.explode(F.split("views", ",")).alias("view"), "start", "end", "lu", "frames")
+
+
+def ancestors(rows: DataFrame, toks: DataFrame) -> DataFrame:
+    """(sent_id, pass, tok_idx, at): every transitive head ``at`` of the
+    tokens ``rows``, by pointer doubling: after k rounds the pairs reach heads
+    up to 2**k - 1 steps away and the pointers leap 2**k steps, so the rounds
+    grow with the logarithm of a tree's depth. Rows, not sentences, are what
+    the joins group; each round's tables are checkpointed."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(toks.sparkSession)
+    key = ["sent_id", "pass"]
+    # a token that is its own head is a root
+    leap = (toks.where("head_idx is not null and head_idx != tok_idx")
+            .join(rows.select(*key).distinct(), key, "left_semi")
+            .select(*key, F.col("tok_idx").alias("at"), F.col("head_idx").cast("int").alias("to"))).checkpoint(eager=True)
+    pairs = rows.select(*key, "tok_idx", F.col("tok_idx").alias("at"))
+    longest = toks.agg(F.max("tok_idx")).first()[0] or 0
+    step = 1
+    # in a (malformed) cycle the pointers never end; no path is longer than
+    # the longest sentence
+    while step <= longest and not leap.isEmpty():
+        further = pairs.join(leap, [*key, "at"]).select(*key, "tok_idx", F.col("to").alias("at"))
+        pairs = pairs.unionByName(further).distinct().checkpoint(eager=True)
+        ahead = leap.select(*key, F.col("at").alias("to"), F.col("to").alias("beyond"))
+        leap = leap.join(ahead, [*key, "to"]).select(*key, "at", F.col("beyond").alias("to")).checkpoint(eager=True)
+        step *= 2
+    return pairs.where("at != tok_idx")
+
+
+def dependency_hits(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
+    """A token's lemma is a root with children and the lemma of a
+    transitive head or a direct dependent is its second word; the span goes
+    from the first of the two to the end of the later one. Needs ``head_idx``
+    (supplied by a user's parser). All joins are on token keys."""
+    key = ["sent_id", "pass"]
+    t = toks.select(*key, "tok_idx", "head_idx", "lemma", "start", "end")
+    roots = broadcast_measured(lex.nodes.where("depth = 1 and has_children").select(F.col("key").alias("lemma")), lex.sizes["nodes"])
+    first = t.join(roots, "lemma", "left_semi")
+    below = (first.select(*key, "tok_idx").join(t.where("head_idx != tok_idx").select(*key, F.col("head_idx").alias("tok_idx"), F.col("tok_idx").alias("at")),
+                                                [*key, "tok_idx"]))
+    near = ancestors(first, t).unionByName(below).distinct()
+    other = t.select(*key, F.col("tok_idx").alias("at"), F.col("lemma").alias("o_lemma"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
+    pairs = near.join(first.drop("head_idx"), [*key, "tok_idx"]).join(other, [*key, "at"])
+    pairs = pairs.withColumn("lu", F.concat_ws(" ", "lemma", "o_lemma")).where("start != o_start")
+    two = broadcast_measured(lex.patterns.where("n = 2").select(F.col("key").alias("lu")), lex.sizes["patterns"])
+    before = F.col("start") < F.col("o_start")
+    return pairs.join(two, "lu", "left_semi").select(
+        *key, F.lit("dependency").alias("views"), F.least("start", "o_start").alias("start"),
+        F.when(before, F.col("o_end")).otherwise(F.col("end")).alias("end"), "lu")
 
 
 def candidate_rows(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
     """All candidate rows of every view (overrides included), ``end >
     start`` only (L24)."""
-    out = walk(toks, lex)
-    if "head_idx" in toks.columns:
-        out = out.unionByName(dependency_pairs(toks, lex))
-    return out.where(F.col("end") > F.col("start"))
+    return walk(toks, lex)
+
+
+def lu_hits(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
+    """Distinct (sent_id, start, end, lu) of all views and passes."""
+    term = broadcast_measured(lex.patterns.select(F.col("key").alias("lu")), lex.sizes["patterns"])
+    return hits(toks, lex).select("sent_id", "start", "end", "lu").join(term, "lu", "left_semi").select("sent_id", "start", "end", "lu").distinct()
+
+
+def candidates(toks: DataFrame, lex: "lexicon.Compiled") -> DataFrame:
+    """One row per (sentence, span) with its sorted frames. Keys
+    are made distinct first, so a pattern's frames join once per span."""
+    keys = hits(toks, lex).select("sent_id", "start", "end", "lu").distinct()
+    return dedupe(with_frames(keys, lex))
 
 
 def dedupe(rows: DataFrame) -> DataFrame:
@@ -218,33 +266,25 @@ def explode_frames(spans: DataFrame) -> DataFrame:
 
 
 def subsumed(spans: DataFrame) -> DataFrame:
-    """Per sentence, the
-    greedy sweep over spans sorted by (start, end) that keeps a span when
-    it starts after the last kept end; a longer span with the same start
-    replaces it — so per start only the longest span competes.
-
-    The sweep is sequential, so it runs in ``mapInPandas`` over spans
-    clustered by sentence and sorted by start inside each partition; the
-    state (current sentence, last kept end) carries across Arrow batches.
-    No group is materialised."""
-    import pandas as pd
-
-    longest = spans.groupBy("sent_id", "start").agg(F.max("end").alias("end"))
-    ordered = longest.repartition("sent_id").sortWithinPartitions("sent_id", "start")
-
-    def sweep(batches):
-        cur, last_end = None, -1
-        for pdf in batches:
-            ks, kst, ken = [], [], []
-            for a, st, en in zip(pdf["sent_id"].tolist(), pdf["start"].tolist(), pdf["end"].tolist()):
-                if a != cur:
-                    cur, last_end = a, -1
-                if st > last_end:
-                    ks.append(a)
-                    kst.append(st)
-                    ken.append(en)
-                    last_end = en
-            yield pd.DataFrame({"sent_id": pd.Series(ks, dtype="object"), "start": pd.Series(kst, dtype="int32"),
-                                "end": pd.Series(ken, dtype="int32")})
-
-    return ordered.mapInPandas(sweep, "sent_id string, start int, end int")
+    """Per sentence, the greedy sweep over spans sorted by (start, end)
+    that keeps a span when it starts after the last kept end; a longer span
+    with the same start replaces it, so per start only the longest competes.
+    The kept spans carry their frames.
+
+    A span that starts after every earlier end is always kept, and what
+    follows it does not depend on what came before. So windows cut a sentence
+    at such spans, and the sweep folds over each stretch of overlapping spans
+    alone: small groups however long the sentence is, and no Python."""
+    top = spans.groupBy("sent_id", "start").agg(F.max(F.struct("end", "frames")).alias("top"))
+    top = top.select("sent_id", "start", "top.end", "top.frames")
+    order = Window.partitionBy("sent_id").orderBy("start")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = top.withColumn("_new", F.when(F.coalesce(F.col("start") > reach, F.lit(True)), 1).otherwise(0))
+    cut = cut.withColumn("_part", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    row = F.struct("start", "end", "frames")
+    parts = cut.groupBy("sent_id", "_part").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    kept = F.aggregate(
+        "rows", F.struct(F.lit(-1).alias("last"), F.slice("rows", 1, 0).alias("kept")),
+        lambda acc, r: F.when(r["start"] > acc["last"], F.struct(r["end"].alias("last"), F.concat(acc["kept"], F.array(r)).alias("kept")))
+        .otherwise(acc))["kept"]
+    return parts.select("sent_id", F.explode(kept).alias("k")).select("sent_id", "k.start", "k.end", "k.frames")

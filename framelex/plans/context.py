@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import corpus, lexicon
 
@@ -51,6 +51,20 @@ def corpus_lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
     return _LEXICONS[key]
 
 
+def mined_lexicon(spark: SparkSession, sf_dir: str, support: int = 5, nmax: int = 3) -> Lexicon:
+    """Lexicon of the corpus's own frequent n-grams (n from 2 on), so that it
+    grows with the data; compiled once like :func:`corpus_lexicon`."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), support, nmax)
+    if key not in _LEXICONS:
+        toks = corpus_tokens(spark, sf_dir, annotated=False).where("pass = 1")
+        grams = lexicon.frequent_ngrams(toks, support, nmax).where("n > 1")
+        lus = grams.select(F.concat("gram", F.lit(".n")).alias("name"),
+                           F.concat(F.lit("Gram_"), F.substring_index("gram", " ", 1)).alias("frame"))
+        none = spark.createDataFrame([], "us STRING, gb STRING")
+        _LEXICONS[key] = Lexicon(lus, lexicon.compile_lexicon(lus, with_extras=False, pairs=none))
+    return _LEXICONS[key]
+
+
 def corpus_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.sentences(table(spark, sf_dir, "documents"))
 

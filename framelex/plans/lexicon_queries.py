@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import lu_base, lu_no_pos, lu_pos
 from ..operators import lexicon, match
-from .context import corpus_distinct, corpus_lexicon, corpus_sentences, corpus_tokens, table
+from .context import corpus_distinct, corpus_lexicon, corpus_tokens, mined_lexicon
 
 
 def q_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,15 +82,19 @@ def _cand_rows(spark: SparkSession, sf: str) -> DataFrame:
     return match.candidate_rows(toks, lx.compiled)
 
 
+def corpus_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans with their frames over all distinct sentences."""
+    return match.candidates(corpus_tokens(spark, sf), corpus_lexicon(spark, sf).compiled)
+
+
 def q_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Every matching span of every distinct sentence with its
     frame set (flagship)."""
-    d = match.dedupe(_cand_rows(spark, sf))
-    return d.select("sent_id", "start", "end", F.array_join("frames", "|").alias("frames"))
+    return corpus_candidates(spark, sf).select("sent_id", "start", "end", F.array_join("frames", "|").alias("frames"))
 
 
-def _lu_hits(rows: DataFrame) -> DataFrame:
-    return rows.select("sent_id", "start", "end", "lu").distinct()
+def _lu_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return match.lu_hits(corpus_tokens(spark, sf), corpus_lexicon(spark, sf).compiled)
 
 
 def _hit_stats(rows: DataFrame) -> DataFrame:
@@ -100,27 +104,26 @@ def _hit_stats(rows: DataFrame) -> DataFrame:
 
 def q_cand_unigram(spark: SparkSession, sf: str) -> DataFrame:
     """Single-word LU hits per LU."""
-    h = _lu_hits(_cand_rows(spark, sf))
+    h = _lu_hits(spark, sf)
     return _hit_stats(h.where(~F.col("lu").contains(" ")))
 
 
 def q_cand_multiword(spark: SparkSession, sf: str) -> DataFrame:
     """Multi-word LU hits per LU (every terminal prefix counted)."""
-    h = _lu_hits(_cand_rows(spark, sf))
+    h = _lu_hits(spark, sf)
     return _hit_stats(h.where(F.col("lu").contains(" ")))
 
 
 def q_cand_wildcard(spark: SparkSession, sf: str) -> DataFrame:
     """Hits of patterns with a POS slot."""
-    h = _lu_hits(_cand_rows(spark, sf))
+    h = _lu_hits(spark, sf)
     return _hit_stats(h.where(F.col("lu").contains("<")))
 
 
 def q_cand_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Hits that start on a number token (number words)."""
-    rows = _cand_rows(spark, sf)
     d = corpus_distinct(spark, sf)
-    h = _lu_hits(rows).join(d.select("sent_id", "sentence"), "sent_id")
+    h = _lu_hits(spark, sf).join(d.select("sent_id", "sentence"), "sent_id")
     h = h.where(F.substring("sentence", F.col("start") + 1, 1).rlike("[0-9]")).drop("sentence")
     return _hit_stats(h)
 
@@ -143,18 +146,72 @@ def q_cand_spelling(spark: SparkSession, sf: str) -> DataFrame:
     pairs = words.join(longer, F.concat("text", F.lit("ing")) == F.col("gb")).select(F.col("text").alias("us"), "gb")
     lus = pairs.select(F.concat("us", F.lit(".n")).alias("name"), F.concat(F.lit("Word_"), F.col("us")).alias("frame"))
     lex = lexicon.compile_lexicon(lus, with_extras=False, pairs=pairs)
-    return _hit_stats(_lu_hits(match.candidate_rows(toks, lex).where("view = 'spelling'")))
+    return _hit_stats(_view_hits(toks, lex, "spelling"))
+
+
+def _view_hits(toks: DataFrame, lex: lexicon.Compiled, view: str) -> DataFrame:
+    rows = match.hits(toks, lex).where(F.array_contains(F.split("views", ","), view))
+    term = lex.patterns.select(F.col("key").alias("lu"))
+    return rows.join(term, "lu", "left_semi").select("sent_id", "start", "end", "lu").distinct()
+
+
+def _plural_lexicon(spark: SparkSession, sf: str) -> tuple[DataFrame, lexicon.Compiled]:
+    """Tokens, and a lexicon with alias and override tables, all derived from
+    the corpus: where a word and the word with ``s`` both occur, the shorter
+    one is an LU, the longer one its alias and, but for the first token of a
+    sentence, an override that ends two characters later."""
+    toks = corpus_tokens(spark, sf)
+    words = toks.where((F.col("pass") == 1) & F.col("text").rlike("^[a-z]{3,}$")).select("text").distinct()
+    longer = words.select(F.col("text").alias("form"))
+    pairs = words.join(longer, F.concat("text", F.lit("s")) == F.col("form")).select(F.col("text").alias("word"), "form")
+    lus = pairs.select(F.concat("word", F.lit(".n")).alias("name"), F.concat(F.lit("Word_"), F.col("word")).alias("frame"))
+    over = pairs.select(F.col("form").alias("lemma"), F.lit("X").alias("pos"), F.col("word").alias("lu"), F.lit(2).alias("extra"))
+    none = spark.createDataFrame([], "us STRING, gb STRING")
+    return toks, lexicon.compile_lexicon(lus, with_extras=False, pairs=none, aliases=pairs, overrides=over)
+
+
+def q_cand_alias(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits through an alias table derived from the corpus."""
+    return _hit_stats(_view_hits(*_plural_lexicon(spark, sf), "alias"))
+
+
+def q_cand_override(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits through an override table derived from the corpus."""
+    return _hit_stats(_view_hits(*_plural_lexicon(spark, sf), "override"))
+
+
+def q_mined_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of the lexicon mined from frequent n-grams, by depth."""
+    n = mined_lexicon(spark, sf).nodes
+    return n.groupBy(F.col("depth").cast("int").alias("depth")).agg(
+        F.count(F.lit(1)).alias("n_nodes"), F.count_if("has_children").alias("n_inner"), F.count_if(F.size("frames") > 0).alias("n_terminal"))
+
+
+def q_cand_mined(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits of the mined lexicon, which grows with the corpus."""
+    return _hit_stats(match.lu_hits(corpus_tokens(spark, sf), mined_lexicon(spark, sf).compiled))
+
+
+def q_cand_dependency(spark: SparkSession, sf: str) -> DataFrame:
+    """head/dependent pairs of the mined lexicon, on heads by rule: an
+    odd token hangs on the one before, an even one on that of half its index."""
+    i = F.col("tok_idx")
+    head = F.when(i == 0, F.lit(None)).when(i % 2 == 1, i - 1).otherwise(F.expr("tok_idx div 2")).cast("int")
+    toks = corpus_tokens(spark, sf).withColumn("head_idx", head)
+    rows = match.dependency_hits(toks, mined_lexicon(spark, sf).compiled).where(F.col("end") > F.col("start"))
+    return _hit_stats(rows.select("sent_id", "start", "end", "lu").distinct())
 
 
 def q_cand_by_lu(spark: SparkSession, sf: str) -> DataFrame:
     """Per span, LU -> frames, flattened to text."""
-    b = match.by_lu(_cand_rows(spark, sf))
+    lx = corpus_lexicon(spark, sf)
+    b = match.by_lu(match.with_frames(_lu_hits(spark, sf), lx.compiled))
     txt = F.array_join(F.transform(F.map_entries("lu_frames"),
                                    lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|"))), ";")
     return b.select("sent_id", "start", "end", txt.alias("lu_frames"))
 
 
 def q_cand_subsumed(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy non-overlapping spans per sentence."""
-    d = match.dedupe(_cand_rows(spark, sf))
-    return match.subsumed(d)
+    """Greedy non-overlapping spans per sentence, with their frames."""
+    k = match.subsumed(corpus_candidates(spark, sf))
+    return k.select("sent_id", "start", "end", F.array_join("frames", "|").alias("frames"))

@@ -597,4 +597,67 @@ sweep AS (
   SELECT o.sent_id, o.rn, CASE WHEN o.start > s.last_end THEN o."end" ELSE s.last_end END,
          CASE WHEN o.start > s.last_end THEN o.start END, CASE WHEN o.start > s.last_end THEN o."end" END
   FROM sweep s JOIN ord o ON o.sent_id = s.sent_id AND o.rn = s.rn + 1)
-SELECT sent_id, k_start AS start, k_end AS "end" FROM sweep WHERE k_start IS NOT NULL"""
+SELECT k.sent_id, k_start AS start, k_end AS "end", array_to_string(frames, '|') AS frames
+FROM sweep k JOIN cands c ON c.sent_id = k.sent_id AND c.start = k_start AND c."end" = k_end"""
+
+
+def _word_nodes(lus: str) -> str:
+    """Lexicon blocks over ``lus`` (key, frame): plain words, no variants."""
+    return f"""
+{lus},
+pats AS (SELECT key, string_split(key, ' ') AS words, len(string_split(key, ' ')) AS n, [frame] AS frames FROM plain),
+pre AS (SELECT array_to_string(words[1:k], ' ') AS key, k AS depth, k < n AS child
+        FROM (SELECT words, n, unnest(range(1, n + 1)) AS k FROM pats)),
+nodes AS (SELECT p.key, max(p.depth) AS depth, bool_or(p.child) AS has_children, coalesce(any_value(t.frames), []::VARCHAR[]) AS frames
+          FROM pre p LEFT JOIN pats t ON p.key = t.key GROUP BY p.key),
+spell AS (SELECT '' AS variant, '' AS root, TRUE AS to_us WHERE FALSE)"""
+
+
+MINED = _word_nodes("""
+gw AS (SELECT sent_id, tok_idx, text AS w1, lead(text) OVER w AS w2, lead(text, 2) OVER w AS w3 FROM toks WHERE pass = 1
+       WINDOW w AS (PARTITION BY sent_id ORDER BY tok_idx)),
+grams AS (SELECT w1 || ' ' || w2 AS key, w1 FROM gw WHERE regexp_full_match(w1, '[a-z]+') AND regexp_full_match(w2, '[a-z]+')
+          UNION ALL SELECT w1 || ' ' || w2 || ' ' || w3, w1 FROM gw
+          WHERE regexp_full_match(w1, '[a-z]+') AND regexp_full_match(w2, '[a-z]+') AND regexp_full_match(w3, '[a-z]+')),
+plain AS (SELECT key, 'Gram_' || any_value(w1) AS frame FROM grams GROUP BY key HAVING count(*) >= 5)""")
+
+PLURAL = _word_nodes("""
+w AS (SELECT DISTINCT text FROM toks WHERE pass = 1 AND regexp_full_match(text, '[a-z]{3,}')),
+plurals AS (SELECT a.text AS word, b.text AS form FROM w a JOIN w b ON b.text = a.text || 's'),
+plain AS (SELECT word AS key, 'Word_' || word AS frame FROM plurals)""")
+#: The walk with the derived alias and override tables in place of the lists.
+PLURAL_WALK = WALK.replace(f"al AS (SELECT * FROM {values(fixed.ALIASES, 'a_form, a_word')})",
+                           "al AS (SELECT form AS a_form, word AS a_word FROM plurals)").replace(
+    f"ovr AS (SELECT * FROM {values(fixed.OVERRIDES, 'o_lemma, o_pos, o_lu, extra')})",
+    "ovr AS (SELECT form AS o_lemma, 'X' AS o_pos, word AS o_lu, 2 AS extra FROM plurals)")
+
+
+def _view_sql(view: str) -> str:
+    return with_blocks(SENTS, TOKS, ANN, PLURAL, PLURAL_WALK, recursive=True) + f""",
+vh AS (SELECT DISTINCT sent_id, start, "end", lu FROM cand_rows WHERE view = '{view}')
+""" + HIT_STATS.replace("lu_hits", "vh") + " GROUP BY lu"
+
+
+SQL.update({
+    "cand_alias": _view_sql("alias"),
+    "cand_override": _view_sql("override"),
+    "mined_nodes": with_blocks(SENTS, TOKS, MINED) + """
+SELECT CAST(depth AS INTEGER) AS depth, count(*) AS n_nodes, count_if(has_children) AS n_inner, count_if(len(frames) > 0) AS n_terminal
+FROM nodes GROUP BY depth""",
+    "cand_mined": with_blocks(SENTS, TOKS, ANN, MINED, WALK, recursive=True) + HIT_STATS + " GROUP BY lu",
+    "cand_dependency": with_blocks(SENTS, TOKS, ANN, MINED, recursive=True) + """,
+hd AS (SELECT *, CASE WHEN tok_idx = 0 THEN NULL WHEN tok_idx % 2 = 1 THEN tok_idx - 1 ELSE tok_idx // 2 END AS head FROM ann),
+anc AS (
+  SELECT sent_id, pass, tok_idx, head AS at FROM hd WHERE head IS NOT NULL AND lemma IN (SELECT key FROM nodes WHERE depth = 1 AND has_children)
+  UNION ALL
+  SELECT a.sent_id, a.pass, a.tok_idx, h.head FROM anc a JOIN hd h ON h.sent_id = a.sent_id AND h.pass = a.pass AND h.tok_idx = a.at
+  WHERE h.head IS NOT NULL),
+near AS (SELECT * FROM anc UNION SELECT sent_id, pass, head, tok_idx FROM hd WHERE head IS NOT NULL),
+lu_hits AS (
+  SELECT DISTINCT m.sent_id, least(m.start, o.start) AS start, CASE WHEN m.start < o.start THEN o."end" ELSE m."end" END AS "end", p.key AS lu
+  FROM near n JOIN hd m ON m.sent_id = n.sent_id AND m.pass = n.pass AND m.tok_idx = n.tok_idx
+  JOIN hd o ON o.sent_id = n.sent_id AND o.pass = n.pass AND o.tok_idx = n.at
+  JOIN pats p ON p.n = 2 AND p.key = m.lemma || ' ' || o.lemma
+  WHERE m.start <> o.start)
+""" + HIT_STATS + """ WHERE "end" > start GROUP BY lu""",
+})

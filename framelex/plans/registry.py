@@ -27,6 +27,11 @@ QUERIES = {
     "cand_numbers": lq.q_cand_numbers,
     "cand_views": lq.q_cand_views,
     "cand_spelling": lq.q_cand_spelling,
+    "cand_alias": lq.q_cand_alias,
+    "cand_override": lq.q_cand_override,
+    "mined_nodes": lq.q_mined_nodes,
+    "cand_mined": lq.q_cand_mined,
+    "cand_dependency": lq.q_cand_dependency,
     "cand_by_lu": lq.q_cand_by_lu,
     "cand_subsumed": lq.q_cand_subsumed,
     "choice_offsets": cq.q_choice_offsets,

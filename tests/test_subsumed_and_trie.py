@@ -26,8 +26,10 @@ def fold(spans):
 
 def test_subsumed_matches_fold(spark):
     spans = [(0, 3), (0, 7), (2, 5), (8, 9), (8, 12), (10, 11), (13, 14)]
-    df = spark.createDataFrame([("s", a, b) for a, b in spans], "sent_id STRING, start INT, end INT")
-    got = {(r.start, r.end) for r in match.subsumed(df).collect()}
+    df = spark.createDataFrame([("s", a, b, [f"f{b}"]) for a, b in spans], "sent_id STRING, start INT, end INT, frames ARRAY<STRING>")
+    rows = match.subsumed(df).collect()
+    got = {(r.start, r.end) for r in rows}
+    assert all(r.frames == [f"f{r.end}"] for r in rows)
     assert got == fold(spans)
 
 
