@@ -8,10 +8,14 @@ label = ``l_orderkey % n_choice``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import ranking
 from ..plans.rownum import global_index, rank_in_group
+from ..session import scratch_path
+from ..sources import files
 from .context import table
 
 EVAL_BATCH = 8          # default evaluation batch size
@@ -76,6 +80,32 @@ def q_sink_pred_lines(spark, sf):
         "example_id", F.concat_ws("\t", F.col("pred").cast("string"), "probs").alias("line"))
 
 
+def _written_lines(spark, df, order, column):
+    path = scratch_path(spark, f"lines/{uuid.uuid4().hex}")
+    files.write_lines(df, order, column, path)
+    lines = files.read_lines(spark, path)
+    return lines.select("line_no", F.col("value").alias("line"))
+
+
+def q_pred_files(spark, sf):
+    """Predicted labels, one a line in id order, written to text files
+    and read back file by file with their line numbers."""
+    pred = ranking.argmax(lineitem_logits(spark, sf)).withColumn("line", F.col("pred").cast("string"))
+    return _written_lines(spark, pred, ["example_id"], "line")
+
+
+def q_prob_files(spark, sf):
+    """The same for the comma-joined probabilities."""
+    lines = q_sink_pred_lines(spark, sf).select("example_id", F.substring_index("line", "\t", -1).alias("line"))
+    return _written_lines(spark, lines, ["example_id"], "line")
+
+
+def q_report_file(spark, sf):
+    """The report's sorted lines, written and read back."""
+    from .label_queries import q_metrics_report
+    return _written_lines(spark, q_metrics_report(spark, sf), ["key"], "line")
+
+
 def q_train_batches(spark, sf, batch_size: int = 36, seed: int = 0, epoch: int = 0):
     """Seeded shuffle of labelled documents into batches."""
     lab = table(spark, sf, "labels")

@@ -185,3 +185,44 @@ def q_choice_nested(spark, sf):
     n = choices.nest(_features(spark, sf))
     return n.select("example_id", F.size("choices").alias("n"),
                     F.array_join(F.transform("n_real_per_choice", lambda x: x.cast("string")), ",").alias("n_real"))
+
+
+def _digest(arr):
+    """md5 of a matrix of integers, row by row."""
+    return F.md5(F.array_join(F.transform(arr, lambda r: F.array_join(r.cast("array<string>"), ",")), ";"))
+
+
+def _dense(spark, sf, **kw):
+    d = choices.dense(_features(spark, sf), MAX_LENGTH, **kw)
+    return d.select("example_id", F.col("n_choice").cast("int").alias("n_choice"), F.col("n_kept").cast("int").alias("n_kept"),
+                    F.col("position").cast("int").alias("position"), "label", F.size("input_ids").alias("n_rows"),
+                    *[_digest(F.col(c)).alias(f"{c}_md5") for c in ("input_ids", "attention_mask", "segment_ids")])
+
+
+def q_choice_dense(spark, sf):
+    """Padded model input, choices cropped to 4."""
+    return _dense(spark, sf, max_choice=4)
+
+
+def q_choice_dense_left(spark, sf):
+    """Padded on the left, rows of zeros up to 8 choices."""
+    return _dense(spark, sf, max_choice=8, pad_left=True)
+
+
+def q_choice_questions(spark, sf):
+    """P20: the question variant: LU definition and ending of each choice."""
+    c = choices.explode_choices(choice_rows(spark, sf), choices.task("ludef_fndef_q")["encode_type"])
+    return c.select("example_id", F.col("choice_idx").cast("int").alias("choice_idx"), "question", F.md5("text_b").alias("text_md5"))
+
+
+def q_choice_splits(spark, sf):
+    """All three splits of the partitioned CSV table; the test split
+    carries no label."""
+    from ..sources import files
+    st = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "dev")
+                                            .when(F.col("o_orderstatus") == "P", "test").otherwise("train").alias("split"))
+    path = scratch_path(spark, f"choice_splits/{uuid.uuid4().hex}")
+    files.write_choice_splits(choice_rows(spark, sf).join(st, "id"), path)
+    parts = [files.read_choice_csv(spark, path, CHOICE_SCHEMA, s) for s in files.SPLITS]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return both.select("id", "split", F.size(choices.split_choices(F.col("frame_defs"))).alias("n_choice"), "label")

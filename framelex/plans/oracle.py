@@ -554,7 +554,7 @@ WITH per AS (SELECT item_id, CAST(len(regexp_extract_all(text, '{TOKEN_PATTERN}'
              WHERE len(regexp_extract_all(text, '{TOKEN_PATTERN}')) > 0)
 SELECT item_id, n_real, (SELECT max(n_real) FROM per) AS n_total, (SELECT max(n_real) FROM per) - n_real AS n_pad FROM per""",
     "stage_roundtrip": with_blocks(SENTS, TOKS) + """
-SELECT sent_id, start, "end" FROM toks WHERE pass = 0 AND regexp_matches(text, '^[A-Z]')""",
+SELECT sent_id, start, "end" FROM toks WHERE pass = 0""",
     "feature_cache": with_blocks(SENTS, TOKS) + """
 SELECT sent_id, count(*) AS n_tokens, TRUE AS reused FROM toks WHERE pass = 0 GROUP BY sent_id""",
 })
@@ -661,3 +661,105 @@ lu_hits AS (
   WHERE m.start <> o.start)
 """ + HIT_STATS + """ WHERE "end" > start GROUP BY lu""",
 })
+
+
+def _token_id(w: str) -> str:
+    return (f"CASE WHEN {w} = '[CLS]' THEN 1 WHEN {w} = '[SEP]' THEN 2 "
+            f"ELSE 3 + CAST('0x' || substr(md5({w}), 1, 8) AS BIGINT) % 29997 END")
+
+
+def _dense_sql(max_choice: int, left: bool) -> str:
+    def pad(values: str) -> str:
+        filler = f"list_transform(range(0, 64 - len(inp)), lambda x: 0)"
+        return f"{filler} || {values}" if left else f"{values} || {filler}"
+
+    def matrix(name: str) -> str:
+        zero = ",".join(["0"] * 64)
+        lines = f"list({name} ORDER BY choice_idx) FILTER (WHERE choice_idx < {max_choice})"
+        return (f"md5(array_to_string(list_transform({lines}, lambda r: array_to_string(r, ',')) || "
+                f"list_transform(range(0, greatest(0, {max_choice} - count(*))), lambda x: '{zero}'), ';')) AS {name}_md5")
+
+    return with_blocks(_choice_rows_sql()) + f""",
+rowsd AS (
+  SELECT c.example_id, c.choice_idx, c.n_choice, x.label,
+         {pad(f"list_transform(inp, lambda w: {_token_id('w')})")} AS input_ids,
+         {pad("list_transform(inp, lambda w: 1)")} AS attention_mask,
+         {pad("list_transform(range(1, len(inp) + 1), lambda i: CASE WHEN i > len(inp) - len(b_kept) - 1 THEN 1 ELSE 0 END)")} AS segment_ids,
+         CASE WHEN cropped THEN 0 ELSE coalesce(list_position(inp, pw), 0) - 1 END AS choice_position
+  FROM (SELECT *, inp[(list_position(inp, '[SEP]') + 1):(len(inp) - 1)] AS b_kept FROM cf2) c JOIN cx x USING (example_id, choice_idx))
+SELECT example_id, CAST(any_value(n_choice) AS INTEGER) AS n_choice, CAST(least(any_value(n_choice), {max_choice}) AS INTEGER) AS n_kept,
+       CAST(CASE WHEN min(choice_position) = max(choice_position) THEN min(choice_position) ELSE 0 END AS INTEGER) AS position,
+       max(label) AS label, {max_choice} AS n_rows, {matrix('input_ids')}, {matrix('attention_mask')}, {matrix('segment_ids')}
+FROM rowsd GROUP BY example_id"""
+
+
+FILTER = """
+slab AS (SELECT a.sent_id, a.first, a.last, max(l.label) AS label
+         FROM lab l JOIN aligned a ON l.sent_id = a.sent_id AND l.start = a.start AND l."end" = a."end"
+         WHERE a.first IS NOT NULL GROUP BY a.sent_id, a.first, a.last),
+hold AS (SELECT sent_id, max(CASE WHEN source IN ({held}) THEN 1 ELSE 0 END) AS held
+         FROM sents JOIN documents USING (doc_id) GROUP BY sent_id),
+fs AS (SELECT s.*, h.held, s.last - s.first + 1 AS width, coalesce(f.text, '') AS first_tok, coalesce(g.text, '') AS last_tok
+       FROM slab s JOIN hold h USING (sent_id)
+       LEFT JOIN toks f ON f.sent_id = s.sent_id AND f.pass = 0 AND f.tok_idx = s.first
+       LEFT JOIN toks g ON g.sent_id = s.sent_id AND g.pass = 0 AND g.tok_idx = s.last),
+fb AS (SELECT *, {buckets} FROM fs),
+tot AS (SELECT sum(label) AS pos, count(*) - sum(label) AS neg FROM fb WHERE held = 0),
+{models},
+sm AS (SELECT unnest([1.0::DOUBLE, 0.1::DOUBLE]) AS alpha),
+sco AS (SELECT fb.*, alpha, ln((pos + alpha) / (neg + alpha)) + {terms} AS logit
+        FROM fb, tot, sm {joins} WHERE held = 1),
+pr AS (SELECT *, CASE WHEN logit > 0 THEN 1 ELSE 0 END AS pred FROM sco),
+f1 AS (SELECT alpha, CASE WHEN 2 * count_if(pred = 1 AND label = 1) + count_if(pred <> label) = 0 THEN 0.0
+                          ELSE 2.0 * count_if(pred = 1 AND label = 1) / (2 * count_if(pred = 1 AND label = 1) + count_if(pred <> label)) END AS f1
+       FROM pr GROUP BY alpha),
+win AS (SELECT alpha FROM f1 ORDER BY f1 DESC, alpha DESC LIMIT 1)
+SELECT sent_id, first, last, CAST(label AS INTEGER) AS label, round(1 / (1 + exp(-logit)), 6) AS p1, pred
+FROM pr JOIN win USING (alpha)"""
+
+
+def _filter_sql() -> str:
+    names = ("width", "first_tok", "last_tok")
+    buckets = ", ".join(f"CAST('0x' || substr(md5('{c}=' || CAST({c} AS VARCHAR)), 1, 8) AS BIGINT) % 4096 AS b_{c}" for c in names)
+    models = ",\n".join(f"m_{c} AS (SELECT b_{c}, sum(label) AS p, count(*) - sum(label) AS n FROM fb WHERE held = 0 GROUP BY b_{c})" for c in names)
+    terms = " + ".join(f"(ln((coalesce(m_{c}.p, 0) + alpha) / (pos + alpha * 4096)) - ln((coalesce(m_{c}.n, 0) + alpha) / (neg + alpha * 4096)))"
+                       for c in names)
+    joins = " ".join(f"LEFT JOIN m_{c} ON m_{c}.b_{c} = fb.b_{c}" for c in names)
+    held = ", ".join(q(x) for x in fixed.DEV_SOURCES + fixed.TEST_SOURCES)
+    return with_blocks(*CAND, GOLD, FILTER.format(buckets=buckets, models=models, terms=terms, joins=joins, held=held).split("SELECT sent_id, first, last, CAST")[0].rstrip(),
+                       recursive=True) + "SELECT sent_id, first, last, CAST" + FILTER.split("SELECT sent_id, first, last, CAST")[1]
+
+
+def _lines_sql(source: str, order: str, line: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY {order}) - 1 AS line_no, {line} AS line FROM ({source})"
+
+
+SQL.update({
+    "choice_dense": _dense_sql(4, False),
+    "choice_dense_left": _dense_sql(8, True),
+    "choice_questions": with_blocks(_choice_rows_sql()) + """
+SELECT x.example_id, CAST(x.choice_idx AS INTEGER) AS choice_idx, string_split(r.lu_defs, '~$~')[x.choice_idx + 1] AS question,
+       md5(x.text_b) AS text_md5
+FROM cx x JOIN crows r ON r.id = x.example_id""",
+    "choice_splits": with_blocks(_choice_rows_sql()) + """
+SELECT c.id, CASE o.o_orderstatus WHEN 'O' THEN 'dev' WHEN 'P' THEN 'test' ELSE 'train' END AS split,
+       CAST(len(string_split(frame_defs, '~$~')) AS INTEGER) AS n_choice, CASE WHEN o.o_orderstatus = 'P' THEN NULL ELSE label END AS label
+FROM crows c JOIN orders o ON c.id = o.o_orderkey""",
+    "pad_rows": f"""
+WITH t AS (SELECT item_id, list_filter(regexp_extract_all(text, '{PIECE_PATTERN}'), lambda x: NOT regexp_matches(x, '^\\s')) AS w FROM benchmark),
+per AS (SELECT item_id, w, len(w) AS n_real, max(len(w)) OVER () AS n_total FROM t WHERE len(w) > 0)
+SELECT item_id, n_real, n_total,
+       md5(array_to_string(list_transform(w, lambda x: {_token_id('x')}) || list_transform(range(0, n_total - n_real), lambda i: 0), ',')) AS ids_md5,
+       md5(array_to_string(list_transform(w, lambda x: 1) || list_transform(range(0, n_total - n_real), lambda i: 0), ',')) AS mask_md5,
+       md5(array_to_string(list_transform(range(0, n_total), lambda i: 1), ',')) AS mask1_md5
+FROM per""",
+    "pred_files": _lines_sql(SQL["choice_argmax"], "example_id", "CAST(pred AS VARCHAR)"),
+    "prob_files": _lines_sql(SQL["sink_pred_lines"], "example_id", "split_part(line, chr(9), 2)"),
+    "report_file": _lines_sql(SQL["metrics_report"], "key", "line"),
+    "fulltext_rows": with_blocks(*ANN_BLOCKS) + """,
+nm AS (SELECT *, CAST('0x' || substr(ann_id, 1, 1) AS INTEGER) AS number FROM anns)
+SELECT ann_id, CASE WHEN number < 2 THEN 'test' WHEN number < 5 THEN 'dev' ELSE 'train' END AS split, frame_name,
+       CAST(len(target_spans) AS INTEGER) AS n_targets
+FROM nm WHERE number < 15""",
+    "filter_predictions": _filter_sql(),
+})

@@ -77,6 +77,16 @@ QUERIES = {
     "filter_predictions": bq.q_filter_predictions,
     "choice_split_read": fq.q_choice_split_read,
     "choice_nested": fq.q_choice_nested,
+    "choice_dense": fq.q_choice_dense,
+    "choice_dense_left": fq.q_choice_dense_left,
+    "choice_questions": fq.q_choice_questions,
+    "choice_splits": fq.q_choice_splits,
+    "pad_rows": sq.q_pad_rows,
+    "pred_files": cq.q_pred_files,
+    "prob_files": cq.q_prob_files,
+    "report_file": cq.q_report_file,
+    "fulltext_rows": xq.q_fulltext_rows,
+    "filter_predictions_ml": bq.q_filter_predictions_ml,
 }
 
 

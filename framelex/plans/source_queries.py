@@ -60,8 +60,8 @@ def q_src_lu_index(spark, sf):
     return xml.read_lu_index(spark, path)
 
 
-def q_src_fulltext_xml(spark, sf):
-    """Full-text annotations written as XML and read back."""
+def _fulltext_sentences(spark, sf):
+    """Annotated sentences in the shape of the full-text XML."""
     a = annotations(spark, sf).join(corpus_distinct(spark, sf).select("sent_id", "sentence"), "sent_id")
 
     def label(name, start, end):
@@ -76,7 +76,12 @@ def q_src_fulltext_xml(spark, sf):
                               layer("FE", "2", F.array(label("Other", F.lit(1), F.lit(1))))).alias("layer"))
     other = manual.withField("_status", F.lit("UNANN")).withField("_frameName", F.lit("Other"))
     sets = F.when(F.col("frame_name") == "Partitive", F.array(manual, other)).otherwise(F.array(manual))
-    rows = a.select(F.col("ann_id").alias("_ID"), F.concat(F.lit(" "), F.col("sentence")).alias("text"), sets.alias("annotationSet"))
+    return a.select(F.col("ann_id").alias("_ID"), F.concat(F.lit(" "), F.col("sentence")).alias("text"), sets.alias("annotationSet"))
+
+
+def q_src_fulltext_xml(spark, sf):
+    """Full-text annotations written as XML and read back."""
+    rows = _fulltext_sentences(spark, sf)
     path = scratch_path(spark, f"xml/fulltext/{uuid.uuid4().hex}")
     xml.write_xml(rows, path, "sentence", "fullTextAnnotation")
     f = xml.read_fulltext(spark, path)
@@ -85,3 +90,21 @@ def q_src_fulltext_xml(spark, sf):
                     txt(F.col("target_spans")).alias("targets"),
                     F.col("target_merged.start").alias("start"), F.col("target_merged.end").alias("end"),
                     F.size("fe_spans").alias("n_fes"))
+
+
+def q_fulltext_rows(spark, sf):
+    """Annotations of the listed files by split. The sentences are dealt
+    to 16 files by id; a table lists the files' splits, without the files of
+    number 15, which must not be read."""
+    rows = _fulltext_sentences(spark, sf)
+    number = F.conv(F.substring(F.col("_ID"), 1, 1), 16, 10).cast("int")
+    path = scratch_path(spark, f"xml/fulltext_files/{uuid.uuid4().hex}")
+    rows = rows.repartitionByRange(16, number)
+    xml.write_xml(rows, path, "sentence", "fullTextAnnotation")
+    # what a file holds is known from the file itself, as a corpus' file list is
+    listed = (spark.read.format("xml").option("rowTag", "sentence").schema("_ID STRING").load(path)
+              .select(F.col("_metadata.file_name").alias("file_name"), number.alias("number")).distinct())
+    split = F.when(F.col("number") < 2, "test").when(F.col("number") < 5, "dev").otherwise("train")
+    files = listed.groupBy("file_name").agg(F.max("number").alias("number")).where("number < 15").select("file_name", split.alias("split"))
+    f = xml.read_fulltext(spark, path, files)
+    return f.select(F.col("sent_key").alias("ann_id"), "split", "frame_name", F.size("target_spans").alias("n_targets"))

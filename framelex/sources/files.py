@@ -3,7 +3,11 @@ sinks (S11-S13)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..session import scratch_path
 
 SPLITS = ("train", "dev", "test")
 
@@ -38,3 +42,26 @@ def write_lines(df: DataFrame, order: list[str], line_col: str, path: str) -> No
 def write_predictions(df: DataFrame, path: str) -> None:
     """Scored rows as JSON lines."""
     df.write.mode("overwrite").json(path)
+
+
+def round_trip_predictions(df: DataFrame) -> DataFrame:
+    """Scored rows written as JSON lines to the stage folder, and what a
+    reader of these files gets."""
+    path = scratch_path(df.sparkSession, f"predictions/{uuid.uuid4().hex}")
+    write_predictions(df, path)
+    return df.sparkSession.read.schema(df.schema).json(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value): the lines of a folder of text files as a reader of
+    its files in name order sees them. A file is one row while its lines are
+    numbered; the sink's files are bounded by its partitions."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    body = F.regexp_replace("value", "\n$", "")
+    # an empty file holds no line
+    lines = whole.where("value != ''").select("file", F.posexplode(F.split(body, "\n")).alias("at", "value"))
+    sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per file
+    starts = sizes.select(F.col("file").alias("_f"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    return lines.join(starts, lines["file"] == starts["_f"]).select((F.col("_start") + F.col("at")).alias("line_no"), "value")

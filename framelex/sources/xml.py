@@ -48,15 +48,21 @@ def read_lu_index(spark: SparkSession, path: str) -> DataFrame:
             .select(F.col("_name").alias("name"), F.col("_frameName").alias("frame")))
 
 
-def read_fulltext(spark: SparkSession, path: str) -> DataFrame:
+def read_fulltext(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
     """One row per MANUAL annotation set: stripped sentence
     (spans moved by the stripped prefix), frame and LU ('' when missing),
     half-open target spans (null when none), merged target, FE spans of
-    the first rank-1 FE layer (null start/end kept; [] when empty)."""
+    the first rank-1 FE layer (null start/end kept; [] when empty).
+    ``files``: a table with the names of the files to read (``file_name``) and
+    any further columns, which the rows get (such as the split)."""
     raw = (spark.read.format("xml").option("rowTag", "sentence").option("ignoreSurroundingSpaces", False)
            .schema(SENTENCE_SCHEMA).load(path))
+    extra = []
+    if files is not None:
+        extra = [c for c in files.columns if c != "file_name"]
+        raw = raw.select("*", F.col("_metadata.file_name").alias("file_name")).join(files, "file_name")
     lead = F.length(F.regexp_extract("text", r"^\s*", 0))
-    s = raw.select("_ID", strip_ws(F.col("text")).alias("sentence"), lead.alias("shift"),
+    s = raw.select("_ID", *extra, strip_ws(F.col("text")).alias("sentence"), lead.alias("shift"),
                    F.explode("annotationSet").alias("a")).where(F.col("a._status") == "MANUAL")
     labels_of = lambda name: F.flatten(F.transform(F.filter(F.coalesce(F.col("a.layer"), F.array().cast(f"array<{LAYER}>")),
                                                             lambda l: l["_name"] == name), lambda l: l["label"]))
@@ -69,7 +75,7 @@ def read_fulltext(spark: SparkSession, path: str) -> DataFrame:
                       lambda x: F.struct((x["_start"] - F.col("shift")).alias("start"),
                                          (x["_end"] + 1 - F.col("shift")).alias("end"), x["_name"].alias("name")))
     t = F.when(F.size(spans) > 0, spans)
-    return s.select(F.col("_ID").alias("sent_key"), "sentence",
+    return s.select(F.col("_ID").alias("sent_key"), *extra, "sentence",
                     F.coalesce(F.col("a._frameName"), F.lit("")).alias("frame_name"),
                     F.coalesce(F.col("a._luName"), F.lit("")).alias("lu_name"),
                     fes.alias("fe_spans"), t.alias("target_spans"),
