@@ -1,21 +1,25 @@
 """Registered queries: annotation reshaping (the full-text and OS tables).
 
-Annotations are derived from the corpus by rule: every pass-0 token whose
-text is a single-word pattern is a target of that pattern's first frame;
+Annotations are derived from the corpus by rule: every pass-0 word sequence
+that is a pattern, of any length, is a target of that pattern's first frame;
 its LU is the lexicon LU that produced the pattern (smallest name). The
 previous token fills FE ``Agent`` (null start/end on the first token: a
 null instantiation), the next token FE ``Theme``. When the token two
-places on is the same word, the target is split over both.
+places behind the last word is the same word, the target is split over both.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed
 from ..operators import spans
 from ..plans.joins import broadcast_measured
-from .context import corpus_lexicon, corpus_tokens
+from ..session import scratch_path
+from .context import corpus_lexicon, corpus_tokens, pattern_grams
+from .frame_queries import frame_defs_table, frame_records, part_frame_lus
 
 OS_SCHEMA = ("text STRING, frame STRING, lu STRING, target STRUCT<start: INT, end: INT>, "
              "fe ARRAY<STRUCT<start: INT, end: INT, name: STRING>>, ann_id STRING")
@@ -26,26 +30,19 @@ FIXTURE_FES = [("Agent", "The one acting"), ("Theme", "The thing acted on")]
 
 def annotations(spark: SparkSession, sf: str) -> DataFrame:
     lx = corpus_lexicon(spark, sf)
-    toks = corpus_tokens(spark, sf, annotated=False).where("pass = 0")
-    w = Window.partitionBy("sent_id", "pass").orderBy("tok_idx")
-    t = toks.select("*", F.lag("start").over(w).alias("p_s"), F.lag("end").over(w).alias("p_e"),
-                    F.lead("start").over(w).alias("n_s"), F.lead("end").over(w).alias("n_e"),
-                    F.lead("text", 2).over(w).alias("n2_t"), F.lead("start", 2).over(w).alias("n2_s"),
-                    F.lead("end", 2).over(w).alias("n2_e"))
-    one = lx.patterns.where("n = 1").select(F.col("key").alias("g_key"), F.element_at("frames", 1).alias("g_frame"))
+    t = pattern_grams(spark, sf).withColumn("g_frame", F.element_at("frames", 1))
     lus = (lx.variants.groupBy(F.col("variant").alias("v_key"), F.col("frame").alias("v_frame"))
            .agg(F.min("lu").alias("v_lu")))
-    sizes = lx.compiled.sizes
-    one, lus = broadcast_measured(one, sizes["patterns"]), broadcast_measured(lus, sizes["variants"])
-    t = t.join(one, t["text"] == one["g_key"])
-    t = t.join(lus, (t["text"] == lus["v_key"]) & (t["g_frame"] == lus["v_frame"]), "left")
+    lus = broadcast_measured(lus, lx.compiled.sizes["variants"])
+    t = t.join(lus, (t["gram"] == lus["v_key"]) & (t["g_frame"] == lus["v_frame"]), "left")
+    near, far = F.try_element_at("after", F.lit(1)), F.try_element_at("after", F.lit(2))
     first = F.struct(F.col("start").alias("start"), F.col("end").alias("end"))
-    second = F.struct(F.col("n2_s").alias("start"), F.col("n2_e").alias("end"))
-    target = F.when(F.lower("n2_t") == F.lower("text"), F.array(first, second)).otherwise(F.array(first))
-    agent = F.struct(F.col("p_s").cast("int").alias("start"), F.col("p_e").cast("int").alias("end"), F.lit("Agent").alias("name"))
-    theme = F.struct(F.col("n_s").cast("int").alias("start"), F.col("n_e").cast("int").alias("end"), F.lit("Theme").alias("name"))
-    fes = F.when(F.col("n_s").isNotNull(), F.array(agent, theme)).otherwise(F.array(agent))
-    return t.select(F.md5(F.concat_ws(":", "sent_id", F.col("tok_idx").cast("string"))).alias("ann_id"),
+    second = F.struct(far["start"].alias("start"), far["end"].alias("end"))
+    target = F.when(F.lower(far["text"]) == F.lower("text"), F.array(first, second)).otherwise(F.array(first))
+    agent = F.struct(F.col("p_start").cast("int").alias("start"), F.col("p_end").cast("int").alias("end"), F.lit("Agent").alias("name"))
+    theme = F.struct(near["start"].cast("int").alias("start"), near["end"].cast("int").alias("end"), F.lit("Theme").alias("name"))
+    fes = F.when(near.isNotNull(), F.array(agent, theme)).otherwise(F.array(agent))
+    return t.select(F.md5(F.concat_ws(":", "sent_id", F.col("tok_idx").cast("string"), F.col("n").cast("string"))).alias("ann_id"),
                     "sent_id", F.col("g_frame").alias("frame_name"), F.col("v_lu").alias("lu_name"),
                     target.alias("target_spans"), spans.target_merged(target).alias("target_merged"),
                     fes.alias("fe_spans"))
@@ -95,34 +92,60 @@ def q_fe_rows(spark, sf):
                     F.col("t_last").cast("int").alias("t_last"))
 
 
-def q_os_prepare(spark, sf):
-    """The OS table: rename, drop ``Time_vector``, left join
-    frames, LU definition lookup (null when missing: counted, not raised),
-    FE names of the frame."""
+def frame_table(spark, sf) -> DataFrame:
+    """One record per frame, of the given parts and of the fixture:
+    name, FE map (name -> definition) and LU map (name -> definition)."""
+    part = frame_records(spark, sf).select("name", "fes")
+    lus = (frame_defs_table(spark, sf).groupBy("frame_name")
+           .agg(F.map_from_entries(F.collect_list(F.struct("lu", "lu_def"))).alias("lu_defs")))
+    part = part.join(lus, part["name"] == lus["frame_name"], "left").select("name", "fes", "lu_defs")
+    own = spark.createDataFrame(fixed.FIXTURE_LUS, "lu STRING, name STRING")
+    own = own.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct(F.col("lu"), F.concat(F.lit("Definition of "), F.col("lu"))))).alias("lu_defs"))
+    fe_map = F.create_map(*[x for kv in FIXTURE_FES for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    return part.unionByName(own.select("name", fe_map.alias("fes"), "lu_defs"))
+
+
+def os_annotations(spark, sf) -> DataFrame:
+    """The OS input table (text, frame, lu, target, fe, ann_id): the derived
+    annotations, and the name of every part LU, annotated with its frame."""
     a = annotations(spark, sf)
-    os_in = a.select(F.col("sent_id").alias("text"), F.col("frame_name").alias("frame"), F.col("lu_name").alias("lu"),
-                     F.col("target_merged").alias("target"), F.col("fe_spans").alias("fe"), "ann_id")
-    # The OS table is a Parquet stage, read
-    # back with an explicit schema
-    import uuid
-    from ..session import scratch_path
-    path = scratch_path(spark, f"os/{uuid.uuid4().hex}")
-    os_in.write.mode("overwrite").parquet(path)
-    os_in = spark.read.schema(OS_SCHEMA).parquet(path)
+    corpus_rows = a.select(F.col("sent_id").alias("text"), F.col("frame_name").alias("frame"), F.col("lu_name").alias("lu"),
+                           F.col("target_merged").alias("target"), F.col("fe_spans").alias("fe"), "ann_id")
+    p = part_frame_lus(spark, sf).select("frame_name", "lu").distinct()
+    span = F.struct(F.lit(0).alias("start"), F.length("lu").alias("end"))
+    none = F.array().cast("array<struct<start: int, end: int, name: string>>")
+    part_rows = p.select(F.md5("lu").alias("text"), F.col("frame_name").alias("frame"), "lu", span.alias("target"), none.alias("fe"),
+                         F.md5(F.concat_ws(":", F.lit("part"), "frame_name", "lu")).alias("ann_id"))
+    return corpus_rows.unionByName(part_rows)
+
+
+def os_prepared(os_in: DataFrame, frames: DataFrame) -> DataFrame:
+    """Rename, drop ``Time_vector``, left join the frame table
+    (Spark picks the join from its size), look the LU definition up in the
+    frame's LU map (null when missing: counted, not raised)."""
     os_t = (os_in.where(F.col("frame") != "Time_vector")
             .withColumnsRenamed({"text": "sentence", "frame": "frame_name", "lu": "lu_name",
                                  "target": "target_span", "fe": "fe_spans"}))
-    frames = spark.createDataFrame([(f,) for f in sorted({f for _, f in fixed.FIXTURE_LUS})], "f_name STRING")
-    fe_map = F.create_map(*[x for kv in FIXTURE_FES for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    frames = frames.select("f_name", F.concat(F.lit("Frame "), F.col("f_name")).alias("definition"), fe_map.alias("fes"))
-    defs = spark.createDataFrame([(n, f, f"Definition of {n}") for n, f in fixed.FIXTURE_LUS],
-                                 "d_lu STRING, d_frame STRING, lu_definition STRING")
-    j = os_t.join(F.broadcast(frames), os_t["frame_name"] == frames["f_name"], "left")
-    j = j.join(F.broadcast(defs), (j["frame_name"] == defs["d_frame"]) & (j["lu_name"] == defs["d_lu"]), "left")
+    j = os_t.join(frames, os_t["frame_name"] == frames["name"], "left")
+    return j.withColumn("lu_definition", F.try_element_at("lu_defs", F.col("lu_name")))
+
+
+def q_os_prepare(spark, sf):
+    """The OS table joined to the frame table."""
+    j = os_prepared(os_annotations(spark, sf), frame_table(spark, sf))
     return j.select("ann_id", "frame_name", "lu_name", "lu_definition",
                     F.array_join(F.sort_array(F.map_keys("fes")), "|").alias("frame_fes"))
 
 
+def q_os_stage(spark, sf):
+    """The OS table as a Parquet stage, read back with an explicit
+    schema; annotations and filled FEs per frame."""
+    path = scratch_path(spark, f"os/{uuid.uuid4().hex}")
+    os_annotations(spark, sf).write.parquet(path)
+    back = spark.read.schema(OS_SCHEMA).parquet(path)
+    return back.groupBy(F.col("frame").alias("frame_name")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("fe")).cast("bigint").alias("n_fes"))
+
+
 def q_os_lookup_misses(spark, sf):
     """LU definition lookups that miss, counted."""
     o = q_os_prepare(spark, sf)

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import corpus, lexicon
+from .joins import broadcast_measured
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +74,28 @@ def corpus_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.distinct_sentences(corpus_sentences(spark, sf_dir))
 
 
-def corpus_tokens(spark: SparkSession, sf_dir: str, annotated: bool = True) -> DataFrame:
+def corpus_tokens(spark: SparkSession, sf_dir: str, annotated: bool = True, annotator=corpus.annotate) -> DataFrame:
+    """Token table of the distinct sentences; ``annotator`` maps tokens to
+    tokens with lemma, stem and pos (and head_idx, where a parser is used)."""
     t = corpus.tokens(corpus_distinct(spark, sf_dir))
-    return corpus.annotate(t) if annotated else t
+    return annotator(t) if annotated else t
+
+
+def pattern_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pass-0 word sequences that are a pattern of the corpus lexicon, of any
+    length: (sent_id, tok_idx, n, start, end, p_start, p_end, after, text,
+    gram, frames), ``after`` being the two tokens behind the sequence."""
+    lx = corpus_lexicon(spark, sf_dir)
+    most = lx.compiled.lmax
+    toks = corpus_tokens(spark, sf_dir, annotated=False).where("pass = 0")
+    w = Window.partitionBy("sent_id", "pass").orderBy("tok_idx")
+    tok = F.struct("text", "start", "end")
+    t = toks.select("sent_id", "tok_idx", "start", F.lag("start").over(w).alias("p_start"), F.lag("end").over(w).alias("p_end"),
+                    F.array(tok, *[F.lead(tok, k).over(w) for k in range(1, most + 2)]).alias("s"))
+    g = t.select("*", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n")).where(F.element_at("s", F.col("n")).isNotNull())
+    last = F.element_at("s", F.col("n"))
+    g = g.select("sent_id", "tok_idx", "n", "start", last["end"].alias("end"), "p_start", "p_end",
+                 F.slice("s", F.col("n") + 1, 2).alias("after"), last["text"].alias("text"),
+                 F.array_join(F.slice(F.col("s")["text"], 1, F.col("n")), " ").alias("gram"))
+    pats = broadcast_measured(lx.patterns.select("key", "frames"), lx.compiled.sizes["patterns"])
+    return g.join(pats, g["gram"] == pats["key"]).drop("key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import lu_base, lu_no_pos, lu_pos
-from ..operators import lexicon, match
+from ..operators import corpus, lexicon, match
 from .context import corpus_distinct, corpus_lexicon, corpus_tokens, mined_lexicon
 
 
@@ -26,8 +26,10 @@ def q_distinct_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return d.agg(F.sum("n_occ").alias("n_sentences"), F.count(F.lit(1)).alias("n_distinct"))
 
 
-def q_ngrams(spark: SparkSession, sf: str, nmax: int = 4) -> DataFrame:
-    """N-gram counts (pass 0 surface words) for n = 1..4."""
+def q_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    """N-gram counts (pass 0 surface words) for n from 1 to the
+    longest pattern of the lexicon."""
+    nmax = corpus_lexicon(spark, sf).compiled.lmax
     t = corpus_tokens(spark, sf, annotated=False).where("pass = 0")
     w = Window.partitionBy("sent_id", "pass").orderBy("tok_idx")
     arr = F.array(F.col("text"), *[F.lead("text", k).over(w) for k in range(1, nmax)])
@@ -82,9 +84,9 @@ def _cand_rows(spark: SparkSession, sf: str) -> DataFrame:
     return match.candidate_rows(toks, lx.compiled)
 
 
-def corpus_candidates(spark: SparkSession, sf: str) -> DataFrame:
+def corpus_candidates(spark: SparkSession, sf: str, annotator=corpus.annotate) -> DataFrame:
     """Spans with their frames over all distinct sentences."""
-    return match.candidates(corpus_tokens(spark, sf), corpus_lexicon(spark, sf).compiled)
+    return match.candidates(corpus_tokens(spark, sf, annotator=annotator), corpus_lexicon(spark, sf).compiled)
 
 
 def q_candidates(spark: SparkSession, sf: str) -> DataFrame:

@@ -211,11 +211,11 @@ SELECT sent_id, pass, count(*) AS n_tokens, CAST(sum(start) AS BIGINT) AS sum_st
 FROM toks GROUP BY sent_id, pass""",
     "distinct_sentences": with_blocks(SENTS) + """
 SELECT CAST(sum(n_occ) AS BIGINT) AS n_sentences, count(*) AS n_distinct FROM dsent""",
-    "ngrams": with_blocks(*CORPUS) + """,
+    "ngrams": with_blocks(*CORPUS, LEX) + """,
 g AS (SELECT n, g FROM (
   SELECT list(text) OVER w AS a FROM toks WHERE pass = 0
-  WINDOW w AS (PARTITION BY sent_id, pass ORDER BY tok_idx ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
-  (SELECT unnest(range(1, 5)) AS n) r, LATERAL (SELECT array_to_string(a[1:n], ' ') AS g) WHERE len(a) >= n)
+  WINDOW w AS (PARTITION BY sent_id, pass ORDER BY tok_idx ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)),
+  (SELECT unnest(range(1, max(n) + 1)) AS n FROM pats) r, LATERAL (SELECT array_to_string(a[1:n], ' ') AS g) WHERE len(a) >= n)
 SELECT CAST(n AS INTEGER) AS n, count(*) AS n_ngrams, count(DISTINCT g) AS n_distinct FROM g GROUP BY n""",
     "lu_names": with_blocks(LEX) + r"""
 SELECT name AS lu, split_part(name, '.', 1) AS lu_no_pos,
@@ -311,12 +311,26 @@ SELECT CAST(floor((step - 1) / 50) AS BIGINT) AS "window", count(*) AS n, round(
 FROM g GROUP BY 1""",
 })
 
-GOLD = """
-one AS (SELECT key AS g_key, frames[1] AS g_frame FROM pats WHERE n = 1),
+#: Pass-0 word sequences that are a pattern; ``nx`` are the tokens from the
+#: first one on.
+GRAMS = """
+an0 AS (
+  SELECT t.*, lag(start) OVER w AS p_s, lag("end") OVER w AS p_e,
+         list({'t': text, 's': start, 'e': "end"}) OVER (PARTITION BY sent_id, pass ORDER BY tok_idx
+              ROWS BETWEEN CURRENT ROW AND 17 FOLLOWING) AS nx
+  FROM toks t WHERE pass = 0 WINDOW w AS (PARTITION BY sent_id, pass ORDER BY tok_idx)),
+ang AS MATERIALIZED (
+  SELECT a.sent_id, a.tok_idx, r.n, a.start, a.nx[r.n].e AS "end", p_s, p_e, a.nx[r.n].t AS last_t, p.key AS gram, p.frames[1] AS g_frame,
+         a.nx[r.n + 1].s AS n_s, a.nx[r.n + 1].e AS n_e, a.nx[r.n + 2].t AS n2_t, a.nx[r.n + 2].s AS n2_s, a.nx[r.n + 2].e AS n2_e
+  FROM an0 a JOIN (SELECT DISTINCT n FROM pats) r ON len(a.nx) >= r.n
+  JOIN pats p ON p.n = r.n AND p.key = array_to_string(list_transform(a.nx[1:r.n], lambda x: x.t), ' '))"""
+
+GOLD = GRAMS + """,
 gold AS (
-  SELECT sent_id, start, "end", CASE WHEN g_frame IS NOT NULL THEN g_frame
-                                     WHEN regexp_matches(text, '^[A-Z]') THEN 'Entity' END AS frame_name
-  FROM toks LEFT JOIN one ON toks.text = one.g_key WHERE pass = 0),
+  SELECT sent_id, start, "end", g_frame AS frame_name FROM ang
+  UNION ALL
+  SELECT sent_id, start, "end", 'Entity' FROM toks
+  WHERE pass = 0 AND regexp_matches(text, '^[A-Z]') AND text NOT IN (SELECT key FROM pats WHERE n = 1)),
 cex AS (SELECT DISTINCT sent_id, start, "end", unnest(frames) AS frame_name FROM cands),
 gx AS (SELECT DISTINCT * FROM gold WHERE frame_name IS NOT NULL),
 lab AS (
@@ -460,21 +474,15 @@ SELECT id AS example_id, string_split(lu_name, '.')[-1] AS lu_pos FROM crows WHE
     "choice_csv": with_blocks(_choice_rows_sql()) + "SELECT id, CAST(len(string_split(frame_defs, '~$~')) AS INTEGER) AS n_choice, label FROM crows",
 })
 
-ANNS = """
-an0 AS (
-  SELECT t.*, lag(start) OVER w AS p_s, lag("end") OVER w AS p_e, lead(start) OVER w AS n_s, lead("end") OVER w AS n_e,
-         lead(text, 2) OVER w AS n2_t, lead(start, 2) OVER w AS n2_s, lead("end", 2) OVER w AS n2_e
-  FROM toks t WHERE pass = 0 WINDOW w AS (PARTITION BY sent_id, pass ORDER BY tok_idx)),
-one1 AS (SELECT key AS g_key, frames[1] AS g_frame FROM pats WHERE n = 1),
+ANNS = GRAMS + """,
 vlu AS (SELECT variant AS v_key, frame AS v_frame, min(lu) AS v_lu FROM variants GROUP BY variant, frame),
 an1 AS (
-  SELECT md5(concat_ws(':', sent_id, CAST(tok_idx AS VARCHAR))) AS ann_id, sent_id, g_frame AS frame_name, v_lu AS lu_name,
-    CASE WHEN lower(n2_t) = lower(text) THEN [{'start': start, 'end': "end"}, {'start': n2_s, 'end': n2_e}]
+  SELECT md5(concat_ws(':', sent_id, CAST(tok_idx AS VARCHAR), CAST(n AS VARCHAR))) AS ann_id, sent_id, g_frame AS frame_name, v_lu AS lu_name,
+    CASE WHEN lower(n2_t) = lower(last_t) THEN [{'start': start, 'end': "end"}, {'start': n2_s, 'end': n2_e}]
          ELSE [{'start': start, 'end': "end"}] END AS target_spans,
     CASE WHEN n_s IS NOT NULL THEN [{'start': p_s, 'end': p_e, 'name': 'Agent'}, {'start': n_s, 'end': n_e, 'name': 'Theme'}]
          ELSE [{'start': p_s, 'end': p_e, 'name': 'Agent'}] END AS fe_spans
-  FROM an0 JOIN one1 ON an0.text = one1.g_key
-  LEFT JOIN vlu ON an0.text = vlu.v_key AND one1.g_frame = vlu.v_frame),
+  FROM ang LEFT JOIN vlu ON ang.gram = vlu.v_key AND ang.g_frame = vlu.v_frame),
 anns AS (
   SELECT *, list_min(list_transform(target_spans, lambda s: s.start)) AS t_start,
             list_max(list_transform(target_spans, lambda s: s."end")) AS t_end FROM an1),
@@ -509,16 +517,24 @@ al3 AS (SELECT r.*, {_align_sql('r.start', 'r."end"', 'r')} AS first,
                {_align_sql('r.t_start', '', 'r')} AS t_first,
                {_align_sql('r.t_end - 1', '', 'r')} AS t_last_ FROM fer r)
 SELECT ann_id, fe_name, start, "end", first, coalesce(last_, first) AS last, t_first, coalesce(t_last_, t_first) AS t_last FROM al3""",
-    "os_prepare": with_blocks(*ANN_BLOCKS) + f""",
-fr AS (SELECT * FROM {values([(f,) for f in FIX_FRAMES], 'f_name')}),
-dfs AS (SELECT d_lu, d_frame, 'Definition of ' || d_lu AS lu_definition FROM {values(fixed.FIXTURE_LUS, 'd_lu, d_frame')})
-SELECT ann_id, frame_name, lu_name, lu_definition, CASE WHEN f_name IS NOT NULL THEN 'Agent|Theme' END AS frame_fes
-FROM anns LEFT JOIN fr ON anns.frame_name = fr.f_name
-LEFT JOIN dfs ON anns.frame_name = dfs.d_frame AND anns.lu_name = dfs.d_lu""",
+    "os_prepare": with_blocks(*ANN_BLOCKS, PART_LUS) + f""",
+fr AS (SELECT name AS f_name, array_to_string(list_sort(list(DISTINCT fe)), '|') AS frame_fes
+       FROM (SELECT concat_ws('/', p_type, CAST(p_size AS VARCHAR)) AS name, 'FE_' || replace(p_brand, '#', '') AS fe FROM part) GROUP BY name
+       UNION ALL SELECT f_name, 'Agent|Theme' FROM {values([(f,) for f in FIX_FRAMES], 'f_name')}),
+dfs AS (SELECT d_lu, d_frame, 'Definition of ' || d_lu AS lu_definition FROM {values(fixed.FIXTURE_LUS, 'd_lu, d_frame')}
+        UNION ALL SELECT lu, frame_name, lu_def FROM fld),
+osr AS (SELECT ann_id, frame_name, lu_name, len(fe_spans) AS n_fes FROM anns
+        UNION ALL SELECT DISTINCT md5(concat_ws(':', 'part', frame_name, lu)), frame_name, lu, 0 FROM plu)
+SELECT ann_id, frame_name, lu_name, lu_definition, frame_fes
+FROM osr LEFT JOIN fr ON osr.frame_name = fr.f_name
+LEFT JOIN dfs ON osr.frame_name = dfs.d_frame AND osr.lu_name = dfs.d_lu
+WHERE osr.frame_name <> 'Time_vector'""",
 })
 SQL["os_lookup_misses"] = SQL["os_prepare"].replace(
-    "SELECT ann_id, frame_name, lu_name, lu_definition, CASE WHEN f_name IS NOT NULL THEN 'Agent|Theme' END AS frame_fes",
+    "SELECT ann_id, frame_name, lu_name, lu_definition, frame_fes",
     "SELECT count_if(lu_definition IS NULL) AS n_missing, count(*) AS n")
+SQL["os_stage"] = SQL["os_prepare"].split("SELECT ann_id, frame_name, lu_name, lu_definition, frame_fes")[0] + (
+    "SELECT frame_name, count(*) AS n, CAST(sum(n_fes) AS BIGINT) AS n_fes FROM osr GROUP BY frame_name")
 
 from ..functions.text import TOKEN_PATTERN  # noqa: E402
 

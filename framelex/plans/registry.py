@@ -64,6 +64,7 @@ QUERIES = {
     "fe_spans": aq.q_fe_spans,
     "fe_rows": aq.q_fe_rows,
     "os_prepare": aq.q_os_prepare,
+    "os_stage": aq.q_os_stage,
     "os_lookup_misses": aq.q_os_lookup_misses,
     "choice_tfidf": sq.q_choice_tfidf,
     "frame_identify": sq.q_frame_identify,
