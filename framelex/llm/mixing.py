@@ -23,7 +23,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, importable, prefix_sums
+from ..plans.joins import broadcast_measured
+from .common import WORD, cut, importable, prefix_sums
 
 #: Least words of a block; more where the mix would exceed MAX_BLOCKS.
 BLOCK_WORDS, MAX_BLOCKS = 64, 1 << 26
@@ -31,8 +32,9 @@ BLOCK_WORDS, MAX_BLOCKS = 64, 1 << 26
 LINE_BUCKETS_HEX = 3
 #: Shards that one task of the tree splits into.
 FAN_OUT = 64
-#: The table of sources is broadcast up to this size.
-BROADCAST_BYTES = 8 << 20
+#: Words of an output shard, and the least and most shards: a source's line
+#: carries one entry a shard, and rows of a shard may span several tasks.
+SHARD_WORDS, MIN_SHARDS, MAX_SHARDS = 1 << 20, 16, 4_096
 
 
 def words(text: Column) -> Column:
@@ -103,14 +105,19 @@ def shard_counts(blocks: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     return t.select("s", F.col("lo").alias("shard"), "n")
 
 
-def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int = 16, seed: int = 0,
+def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int | None = None, seed: int = 0,
          doc_id: str = "doc_id", source: str = "source", size: str = "size") -> DataFrame:
     """``docs`` (with a size in words) plus source_size, target and copies:
     for each round of the line that reaches the document a struct of copy,
-    shard, words taken and ``more`` (whether over half of it is taken)."""
+    shard, words taken and ``more`` (whether over half of it is taken).
+    ``shards``: by default one for each ``SHARD_WORDS`` words of the mix."""
     keep = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
     docs = docs.select(*keep)
-    lines = targets(docs, weights, share, cap, source, size).withColumn("_quota", F.round("target").cast("bigint"))
+    # one row per source, read several times below
+    lines = cut(targets(docs, weights, share, cap, source, size).withColumn("_quota", F.round("target").cast("bigint")), "mixing-targets")
+    known = lines.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length("source"), F.lit(0))), F.sum("_quota")).first()
+    if shards is None:
+        shards = min(MAX_SHARDS, max(MIN_SHARDS, -(-(known[2] or 0) // SHARD_WORDS)))
     every = Window.partitionBy(F.lit(1))
     lines = lines.withColumn("_block", F.greatest(F.lit(BLOCK_WORDS), F.ceil(F.sum("_quota").over(every) / F.lit(MAX_BLOCKS))).cast("bigint"))
     blocks = lines.select("s", F.ceil(F.col("_quota") / F.col("_block")).alias("blocks")).where("blocks > 0")
@@ -119,8 +126,7 @@ def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.
     ends = counts.withColumn("_end", F.sum("n").over(Window.partitionBy("s").orderBy("shard")))
     ends = ends.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("_end", "shard"))).alias("_ends"))
     lines = lines.join(ends, "s", "left").withColumnRenamed("source", "_source")
-    n_sources = docs.select(source).distinct().count()
-    side = F.broadcast(lines) if n_sources * (200 + 16 * shards) <= BROADCAST_BYTES else lines
+    side = broadcast_measured(lines, known[0] * (128 + 16 * shards) + (known[1] or 0))
     t = docs.join(side, docs[source].eqNullSafe(side["_source"]))
     spot = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
     t = t.withColumn("_spot", spot).withColumn("_bucket", F.substring("_spot", 1, LINE_BUCKETS_HEX))
@@ -147,7 +153,7 @@ def taken(copies: str = "copies") -> Column:
     return F.aggregate(copies, F.lit(0).cast("bigint"), lambda a, c: a + c["words"])
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int = 16, seed: int = 0,
+def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int | None = None, seed: int = 0,
         doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixed rows: every document as often as the mix takes it whole (the
     one at a line's end if over half of it is taken), with copy and shard,
@@ -156,4 +162,5 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
     t = plan(docs.select(*keep).withColumn("_words", words(F.col(text))), weights, share, cap, shards, seed, doc_id, source, "_words")
     t = t.select(*keep, F.explode(F.filter("copies", lambda c: c["more"])).alias("_c")).select(*keep, "_c.copy", "_c.shard")
     t = t.withColumn("_order", F.xxhash64(F.lit(seed), F.col(doc_id), F.col("copy"), F.col("shard")))
-    return t.repartition(shards, "shard").sortWithinPartitions("shard", "_order").drop("_order")
+    # by range: a shard may be spread over tasks, and no task is left empty
+    return t.repartitionByRange("shard", "_order").sortWithinPartitions("shard", "_order").drop("_order")

@@ -2,14 +2,20 @@
 
 Items are dealt to groups of bounded size; each group packs its items best-fit
 decreasing. Bins that are nearly full are final. The others go up a tree as
-items themselves (a bin's fill is its length): the underfull bins of
-``FAN_IN`` groups meet, are packed best-fit again, and so on to the root. A
-group hands up its emptiest ``CARRY`` bins at most, the rest stay as they are,
-so every task holds a bounded number of items at any input size.
+items themselves (a bin's fill is its length): all underfull bins are dealt to
+the nodes of the next level, a ``FAN_IN``-th as many but enough of them that a
+node holds about ``FAN_IN * CARRY`` bins at most, and are packed best-fit
+again. So every underfull bin takes part in every round, and every task holds
+a bounded number of items at any input size. The rounds end at the root, or,
+where the bins are too many for one node, when a round merges fewer than a
+tenth of them: what is left then are bins too full for each other. The moves of all rounds are composed before the
+items move once.
 
 Defined cases: a null text is empty and gives the end id alone; lengths of 0
 are placed too; items longer than the capacity are an error (``pieces`` cuts
 them); repeated rows are separate items; an empty table gives an empty result.
+Items travel in one struct, so their columns' names cannot clash with the
+operator's; columns named as its results are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from .common import cut, importable, remembered, texts_of
 #: Items of a leaf group, and groups that meet in a node of the tree.
 LEAF_ITEMS = 16_384
 FAN_IN = 16
-#: Underfull bins that a group hands up at most.
+#: Underfull bins of a node for each of the FAN_IN below it.
 CARRY = 2_048
 #: Words and pre-tokens whose ids a Python worker remembers.
 CACHE_WORDS = 200_000
@@ -173,7 +179,7 @@ def pack(items: DataFrame, capacity: int = 4096, length: str = "length", slack:
     keep = [c for c in items.columns if c not in ("sequence_id", "offset")]
     # written once: the dealing below then goes by row position, so equal
     # rows spread over all groups and a repeated task deals alike
-    items = cut(items.select(*keep), "pack-items")
+    items = cut(items.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(length).cast("bigint").alias("_length")), "pack-items")
     groups = max(1, -(-items.count() // leaf_items))
     dealt = items.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     schema = T.StructType(items.schema.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
@@ -184,7 +190,7 @@ def pack(items: DataFrame, capacity: int = 4096, length: str = "length", slack:
         import pyarrow as pa
 
         group = table.column("_group")[0].as_py()
-        bins, offsets, fills = best_fit(table.column(length).to_numpy(), capacity)
+        bins, offsets, fills = best_fit(table.column("_length").to_numpy(), capacity)
         # the first item of a bin carries its fill
         fill = np.where(offsets == 0, fills[bins], 0)
         first = np.zeros(len(bins), bool)
@@ -196,41 +202,37 @@ def pack(items: DataFrame, capacity: int = 4096, length: str = "length", slack:
         return out
 
     packed = cut(dealt.groupBy("_group").applyInArrow(leaf, schema), "pack-leaves")
-    bins = packed.where("_fill >= 0").select(F.col("sequence_id").alias("bin"), F.col("_fill").alias("fill"), F.col("_group").alias("node"))
-    node_schema = "bin long, parent long, shift long, fill long, node long"
+    bins = packed.where("_fill >= 0").select(F.col("sequence_id").alias("bin"), F.col("_fill").alias("fill"))
 
     def merge(table):
         import numpy as np
         import pyarrow as pa
 
-        node, bin_id, fill = table.column("_up")[0].as_py(), table.column("bin").to_numpy(), table.column("fill").to_numpy()
-        order = np.lexsort((bin_id, fill))[:carry * fan_in]
+        bin_id, fill = table.column("bin").to_numpy(), table.column("fill").to_numpy()
+        order = np.lexsort((bin_id, fill))
         bin_id, fill = bin_id[order], fill[order]
         to, shift, fills = best_fit(fill, capacity)
         parent = np.zeros(len(fills), np.int64)
         parent[to[shift == 0]] = bin_id[shift == 0]
-        return pa.table({"bin": bin_id, "parent": parent[to], "shift": shift, "fill": np.where(shift == 0, fills[to], -1),
-                         "node": np.full(len(to), node, np.int64)})
+        return pa.table({"bin": bin_id, "parent": parent[to], "shift": shift, "fill": np.where(shift == 0, fills[to], -1)})
 
-    out, nodes, level = packed.drop("_fill", "_group"), groups, 0
+    moved = bins.select("bin", F.col("bin").alias("parent"), F.lit(0).cast("bigint").alias("shift"))
+    nodes, level = groups, 0
     while nodes > 1:
-        nodes, level = -(-nodes // fan_in), level + 1
-        emptiest = bins.where(F.col("fill") < capacity - slack)
-        emptiest = _emptiest(emptiest, carry)
-        up = emptiest.withColumn("_up", F.floor(F.col("node") / fan_in)).groupBy("_up").applyInArrow(merge, node_schema)
-        up = cut(up, f"pack-level{level}")
-        moves = up.select(F.col("bin").alias("sequence_id"), "parent", "shift").where("parent != bin or shift != 0")
-        out = (out.join(moves, "sequence_id", "left")
-               .select(*keep, F.coalesce("parent", "sequence_id").alias("sequence_id"),
-                       (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")))
-        bins = up.where("fill >= 0").select(F.col("parent").alias("bin"), "fill", "node")
-    return out
-
-
-def _emptiest(bins: DataFrame, most: int) -> DataFrame:
-    """The ``most`` bins of each node with the lowest fill (a leaf has a
-    bounded number of bins, so the window's groups are bounded)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("node").orderBy("fill", "bin")
-    return bins.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+        under = cut(bins.where(F.col("fill") < capacity - slack).select("bin", "fill"), "pack-underfull")
+        n = under.count()
+        before, level = nodes, level + 1
+        nodes = max(-(-nodes // fan_in), -(-n // (carry * fan_in)))
+        dealt = under.withColumn("_up", F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(nodes)))
+        up = cut(dealt.groupBy("_up").applyInArrow(merge, "bin long, parent long, shift long, fill long"), f"pack-level{level}")
+        step = up.where("parent != bin or shift != 0").select(F.col("bin").alias("_bin"), F.col("parent").alias("_parent"), F.col("shift").alias("_shift"))
+        moved = (moved.join(step, moved["parent"] == step["_bin"], "left")
+                 .select("bin", F.coalesce("_parent", "parent").alias("parent"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift")))
+        bins = up.where("fill >= 0").select(F.col("parent").alias("bin"), "fill")
+        if nodes >= before and step.count() * 10 < n:
+            break
+    moves = moved.where("parent != bin or shift != 0").select(F.col("bin").alias("_bin"), "parent", "shift")
+    placed = packed.select("_row", "sequence_id", "offset")
+    return (placed.join(moves, placed["sequence_id"] == moves["_bin"], "left")
+            .select("_row.*", F.coalesce("parent", "sequence_id").alias("sequence_id"),
+                    (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")))

@@ -65,7 +65,8 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column | None = None, rows
         t = known.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows)
         chosen = t if chosen is None else chosen.unionByName(t)
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(F.length("_text") <= chars)
-    found = texts.join(F.broadcast(chosen), "_id").select("_text", "_label").collect()
+    # one text an id, the least, however often an id occurs
+    found = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).collect()
     pairs = sorted(((r["_text"], r["_label"]) for r in found), key=lambda p: (p[1], p[0]))
     return pairs, counts
 

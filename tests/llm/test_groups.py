@@ -101,6 +101,12 @@ def test_components_of_long_paths(spark):
     assert got == {**{i: 0 for i in range(201)}, **{i: 500 for i in range(500, 550)}}
 
 
+def test_component_state_of_many_edges(spark):
+    edges = spark.range(30_000_000).select(F.col("id").alias("a"), (F.col("id") * 7919).alias("b"))
+    assert components._state(edges) == components._state(edges.repartition(5))
+    assert components._state(edges) != components._state(edges.withColumn("a", F.when(F.col("a") == 5, -5).otherwise(F.col("a"))))
+
+
 # --- Substring dedup ---------------------------------------------------------
 
 def brute_kept(rows, window):
@@ -210,6 +216,15 @@ def test_shard_tree_is_exact(spark):
         assert set(by_shard) <= set(range(shards)) and max(by_shard.values()) - min(by_shard.values()) <= 1
 
 
+def test_mix_makes_more_shards_of_more_words(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 500)
+    df = spark.createDataFrame([(i, "w " * (10 * (i % 9 + 1)), "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert max(x.shard for x in got) == -(-sum(len(x[1].split()) for x in df.collect()) * 15 // 5000) - 1
+    per = [sum(len(x.text.split()) for x in got if x.shard == k) for k in range(60)]
+    assert min(per) > 0
+
+
 def test_mix_rows_and_empty_tables(spark):
     df = make(spark, ["a b c", None, "", "d e", "f"], [1, 2, 3, 4, 4]).withColumn("copy", F.lit("clash"))
     out = mixing.mix(df, weights=(1,), share=2.0, shards=3)
@@ -260,6 +275,12 @@ def test_toxicity_learns_sentences_from_document_labels(spark):
     assert words["nothing"] == 0.0
 
 
+def test_toxicity_takes_one_text_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i:03d}") for i in range(300)] + [(2, "x"), (2, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.sample(docs, known)[0] == [("x", 0), ("text 000", 1)]
+
+
 def test_toxicity_without_both_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
