@@ -76,6 +76,24 @@ def discard(*tables: DataFrame) -> None:
         release(t.sparkSession)
 
 
+def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under column names that no operator uses, and the new name of
+    each column, in order: whatever a caller's columns are called, they meet
+    none of an operator's own."""
+    names = {c: f"__in{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def shown(df: DataFrame, names: dict[str, str], *added: Column | str) -> DataFrame:
+    """The caller's columns under their own names, then the results ``added``
+    (names or aliased columns); results replace columns of the same name."""
+    results = df.select(*added).columns
+    taken = {c.lower() for c in results}
+    kept = [c for c in names if c.lower() not in taken]
+    # renamed after the results are computed, so that those see no caller's name
+    return df.select(*[names[c] for c in kept], *added).toDF(*kept, *results)
+
+
 def bucket_of(*cols: Column | str, n: int) -> Column:
     """Bucket 0..n-1 from the columns' content (nulls allowed)."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")

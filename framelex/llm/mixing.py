@@ -16,7 +16,8 @@ times its own, and the excess is shared again by weight until none is above.
 
 Defined cases: a null text has no words; sources of no words get no target;
 a null source is a source; rows that repeat an id stand next to each other
-in the line and each counts; an empty table gives an empty result.
+in the line and each counts; an empty table gives an empty result. Extra
+columns stay, whatever their names; those named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.joins import broadcast_measured
-from .common import WORD, cut, importable, prefix_sums
+from .common import WORD, cut, hidden, importable, prefix_sums, shown
 
 #: Least words of a block; more where the mix would exceed MAX_BLOCKS.
 BLOCK_WORDS, MAX_BLOCKS = 64, 1 << 26
@@ -111,8 +112,8 @@ def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.
     for each round of the line that reaches the document a struct of copy,
     shard, words taken and ``more`` (whether over half of it is taken).
     ``shards``: by default one for each ``SHARD_WORDS`` words of the mix."""
-    keep = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
-    docs = docs.select(*keep)
+    docs, names = hidden(docs)
+    doc_id, source, size = names[doc_id], names[source], names[size]
     # one row per source, read several times below
     lines = cut(targets(docs, weights, share, cap, source, size).withColumn("_quota", F.round("target").cast("bigint")), "mixing-targets")
     known = lines.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length("source"), F.lit(0))), F.sum("_quota")).first()
@@ -145,7 +146,7 @@ def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.
     copies = F.transform(F.sequence(F.lit(0).cast("bigint"), rounds - 1), copy)
     copies = F.filter(copies, lambda c: c["shard"].isNotNull() & (c["words"] >= 0))
     none = F.array().cast("array<struct<copy:int,shard:int,words:bigint,more:boolean>>")
-    return t.select(*keep, "source_size", "target", F.when((F.col("source_size") > 0) & (F.col("_quota") > 0), copies).otherwise(none).alias("copies"))
+    return shown(t, names, "source_size", "target", F.when((F.col("source_size") > 0) & (F.col("_quota") > 0), copies).otherwise(none).alias("copies"))
 
 
 def taken(copies: str = "copies") -> Column:
@@ -158,9 +159,10 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
     """The mixed rows: every document as often as the mix takes it whole (the
     one at a line's end if over half of it is taken), with copy and shard,
     shard by shard in shuffled order."""
-    keep = [c for c in docs.columns if c not in ("copy", "shard")]
-    t = plan(docs.select(*keep).withColumn("_words", words(F.col(text))), weights, share, cap, shards, seed, doc_id, source, "_words")
-    t = t.select(*keep, F.explode(F.filter("copies", lambda c: c["more"])).alias("_c")).select(*keep, "_c.copy", "_c.shard")
-    t = t.withColumn("_order", F.xxhash64(F.lit(seed), F.col(doc_id), F.col("copy"), F.col("shard")))
+    docs, names = hidden(docs)
+    t = plan(docs.withColumn("_words", words(F.col(names[text]))), weights, share, cap, shards, seed, names[doc_id], names[source], "_words")
+    t = t.select(*names.values(), F.explode(F.filter("copies", lambda c: c["more"])).alias("_c")).select(*names.values(), "_c.copy", "_c.shard")
+    t = t.withColumn("_order", F.xxhash64(F.lit(seed), F.col(names[doc_id]), F.col("copy"), F.col("shard")))
     # by range: a shard may be spread over tasks, and no task is left empty
-    return t.repartitionByRange("shard", "_order").sortWithinPartitions("shard", "_order").drop("_order")
+    t = t.repartitionByRange("shard", "_order").sortWithinPartitions("shard", "_order")
+    return shown(t, names, "copy", "shard")

@@ -7,15 +7,14 @@ shard n, so only about 1/(n + 1) of the rows move.
 
 Defined cases: a null key has its own fixed hash; rows with equal keys share a
 shard; a null text counts as empty; an empty table gives an empty result.
-Extra input columns are kept; names the operator adds replace columns of the
-same name.
+Extra columns stay, whatever their names; those named as a result are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bucket_of, prefix_sums
+from .common import bucket_of, hidden, prefix_sums, shown
 
 #: Multiplier of the generator of the published algorithm (a fixed value).
 _MULTIPLIER = 2862933555777941757
@@ -84,5 +83,7 @@ def shard(docs: DataFrame, key: str = "doc_id", shards: int = 16, grown: int | N
 def slots(rows: DataFrame, order: list[str], shard_col: str = "shard") -> DataFrame:
     """Adds ``slot``: the place in the shard, gapless from 0, in the order of a
     hash of ``order`` and then ``order`` itself (equal rows in any order)."""
-    t = rows.withColumn("_bucket", bucket_of(*order, n=_SLOT_BUCKETS))
-    return prefix_sums(t, [shard_col], "_bucket", [F.col(c) for c in order], F.lit(1), "slot").drop("_bucket")
+    t, names = hidden(rows)
+    order = [names[c] for c in order]
+    t = t.withColumn("_bucket", bucket_of(*order, n=_SLOT_BUCKETS))
+    return shown(prefix_sums(t, [names[shard_col]], "_bucket", [F.col(c) for c in order], F.lit(1), "slot"), names, "slot")

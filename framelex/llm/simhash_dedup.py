@@ -19,7 +19,8 @@ Defined cases: a text of no words (or null) has fingerprint 0 and is linked
 like any other; fewer words than a shingle give one shingle, the whole
 sequence; repeated rows share their component; a null id never names a
 component unless the component has no other id; an empty table gives an empty
-result.
+result. Extra columns of the rows that ``deduplicate`` keeps stay, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import cut, importable, remembered, texts_of
+from .common import bucket_of, cut, hidden, importable, remembered, shown, texts_of
 from .components import components
 
 BITS = 64
@@ -38,6 +39,8 @@ SEED = 42
 BLOCKS = 7
 #: Largest bucket that one task compares.
 BUCKET = 8_192
+#: Parts of a component, so that a component of any size is no single task.
+PARTS = 64
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,13 +191,25 @@ def _clustered(docs: DataFrame, shingle: int, radius: int, doc_id: str, text: st
     roots = cut(components(links(firsts.select("fp"), radius, blocks, bucket)), "simhash-roots")
     # only fingerprints with links have a root; the others are their own
     linked = firsts.join(roots, firsts["fp"] == roots["node"]).select("fp", "first", "root")
-    least = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
-    linked = cut(linked.join(least, "root").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_linked")), "simhash-linked")
+    linked = _with_group(linked, "fp", component_id=(F.min, F.col("first")))
+    linked = cut(linked.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_linked")), "simhash-linked")
     known = cut(firsts.join(linked, firsts["fp"] == linked["_fp"], "left")
                 .select(F.col("fp").alias("_fp"), F.coalesce("_root", "fp").alias("root"), F.coalesce("_linked", "first").alias("component_id")), "simhash-components")
     return prints, known
 
 
+def _with_group(rows: DataFrame, part: str, **totals) -> DataFrame:
+    """``rows`` with totals of their root, each (function, Column), where the
+    function may be applied to its own results. The rows of a root are dealt to
+    parts by ``part``; the totals of the parts, then of the root, go back to the
+    parts, so no task has more than a part of a root's rows."""
+    rows = rows.withColumn("_part", bucket_of(part, n=PARTS))
+    parts = rows.groupBy("root", "_part").agg(*[f(c).alias(name) for name, (f, c) in totals.items()])
+    roots = parts.groupBy("root").agg(*[f(F.col(name)).alias(name) for name, (f, _) in totals.items()])
+    known = parts.select("root", "_part").join(roots, "root")
+    return rows.join(known, ["root", "_part"]).drop("_part")
+
+
 def cluster(docs: DataFrame, shingle: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text",
             blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id that links
@@ -209,11 +224,13 @@ def deduplicate(docs: DataFrame, shingle: int = 4, radius: int = 4, doc_id: str
     least id, null ids last, then of least fingerprint, then of least text and
     other columns. Rows are judged by id and fingerprint, so an id that loses
     through one text keeps its others; of equal rows one stays."""
+    docs, names = hidden(docs)
+    doc_id, text = names[doc_id], names[text]
     prints, known = _clustered(docs, shingle, radius, doc_id, text)
     members = cut(prints.join(known, prints["fp"] == known["_fp"]).groupBy("root", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-members")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
-    groups = members.groupBy("root").agg(F.min(rank).alias("_first"), F.sum("n").alias("_rows")).where("_rows > 1")
-    marks = members.join(groups, "root").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), rank.eqNullSafe(F.col("_first")).alias("_stays"), "n")
+    grouped = _with_group(members, "fp", _first=(F.min, rank), _rows=(F.sum, F.col("n"))).where("_rows > 1")
+    marks = grouped.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), rank.eqNullSafe(F.col("_first")).alias("_stays"), "n")
     # rows without a mark are the only ones of their group, or its first
     marks = cut(marks.where("not _stays or n > 1").drop("n"), "simhash-marks")
     rows = with_fingerprint(docs, "_print", shingle, text, docs.columns)
@@ -221,8 +238,8 @@ def deduplicate(docs: DataFrame, shingle: int = 4, radius: int = 4, doc_id: str
     out = rows.join(marks, same, "left_anti").select(*docs.columns)
     repeated = marks.where("_stays")
     if repeated.isEmpty():
-        return out
+        return shown(out, names)
     sortable = [f.name for f in docs.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
     one = rows.join(repeated, same, "left_semi").groupBy(doc_id, "_print").agg(
         F.min_by(F.struct(*docs.columns), F.struct(text, *[c for c in sortable if c != text])).alias("_row"))
-    return out.unionByName(one.select("_row.*"))
+    return shown(out.unionByName(one.select("_row.*")), names)

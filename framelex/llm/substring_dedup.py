@@ -24,14 +24,15 @@ the same distance from one source merge to spans.
 Defined cases: a null text has no words; rows that repeat an id and a text
 count once and get the same result; other texts under one id are documents in
 the order of their hashes; a null id comes before all others; texts shorter
-than a window stay whole; an empty table gives an empty result.
+than a window stay whole; an empty table gives an empty result. Extra columns
+stay, whatever their names; those named as a result are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import cut, discard, importable, release, remembered, texts_of
+from .common import cut, discard, hidden, importable, release, remembered, shown, texts_of
 
 #: Words of an anchor.
 ANCHOR = 8
@@ -148,7 +149,8 @@ def repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str
     """Repeated stretches: (d, t, start, windows, source), where d and t are
     the document's id and text hash, ``windows`` windows from word ``start``
     on start earlier too, and source is the earliest place (d, t, start)."""
-    return _repeats(docs, window, doc_id, text)[0]
+    docs, names = hidden(docs.select(doc_id, text))
+    return _repeats(docs, window, names[doc_id], names[text])[0]
 
 
 def _repeats(docs: DataFrame, window: int, doc_id: str, text: str) -> tuple[DataFrame, list[DataFrame]]:
@@ -237,13 +239,15 @@ def spans(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str =
 
 def remove(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_removed and kept, the words that stay joined
-    by one space. Every row and column stays; names added replace others."""
+    by one space. Every row and column stays."""
+    docs, names = hidden(docs)
+    doc_id, text = names[doc_id], names[text]
     found, tables = _repeats(docs, window, doc_id, text)
     lists = cut(found.groupBy("d", "t").agg(F.collect_set(F.struct("start", "windows")).alias("_covered"))
                 .withColumnsRenamed({"d": "_ld", "t": "_lt"}), "substring-covered")
     discard(*tables)
-    columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    keyed = _keyed(docs.select(*columns), doc_id, text)
+    columns = docs.columns
+    keyed = _keyed(docs, doc_id, text)
     met = keyed.join(lists, _same(keyed, lists), "left").select(*columns, "_covered")
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                                                                T.StructField("kept", T.StringType())])
@@ -272,12 +276,12 @@ def remove(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays(batch.columns[:len(columns)] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                                              pa.array(kept, pa.binary()).cast(pa.string())], names=[f.name for f in schema])
 
-    return met.mapInArrow(apply, schema)
+    return shown(met.mapInArrow(apply, schema), names, "n_words", "n_removed", "kept")
 
 
 def deduplicate(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the repeated words: a text that loses words becomes
     its other words joined by one space, any other text stays as it is."""
-    out = remove(docs, window, doc_id, text)
-    new = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text))
-    return out.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
+    docs, names = hidden(docs)
+    out = remove(docs, window, names[doc_id], names[text])
+    return shown(out.withColumn(names[text], F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(names[text]))), names)

@@ -25,7 +25,7 @@ import math
 
 from pyspark.sql import DataFrame, types as T
 
-from .common import importable, remembered, texts_of
+from .common import hidden, importable, remembered, shown, texts_of
 
 MARK = "▁"
 #: Terminal counts that a Python worker remembers, and words that it takes
@@ -105,9 +105,9 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", text: str
     """``docs`` with n_words and n_tokens. ``model`` names a sentencepiece file
     that every executor can open, or a public_tokenizers file name."""
     importable(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("n_words", "n_tokens")]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    at = keep.index(text)
+    docs, names = hidden(docs)
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    at = docs.columns.index(names[text])
 
     def run(batches):
         import pyarrow as pa
@@ -131,4 +131,4 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", text: str
             flush()
             yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=[f.name for f in schema])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return shown(docs.mapInArrow(run, schema), names, "n_words", "n_tokens")

@@ -25,7 +25,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import importable, remembered, texts_of
+from .common import hidden, importable, remembered, shown, texts_of
 
 FIT_ROWS, FIT_CHARS = 3_000, 50_000
 MAX_FEATURES = 5_000
@@ -177,9 +177,9 @@ def score(docs: DataFrame, model: tuple[float, dict], text: str = "text") -> Dat
     """``docs`` with ``score``, the noisy-or over all sentences of the text."""
     importable(docs.sparkSession)
     bias, weights = model
-    keep = [c for c in docs.columns if c != "score"]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
-    at = keep.index(text)
+    docs, names = hidden(docs)
+    at = docs.columns.index(names[text])
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches):
         import math
@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: tuple[float, dict], text: str = "text") -> Dat
                 out.append(-math.expm1(none))
             yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(out, pa.float64())], names=[f.name for f in schema])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return shown(docs.mapInArrow(run, schema), names, "score")
 
 
 def offending(docs: DataFrame, model: tuple[float, dict], threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,24 +8,26 @@ short hash prefixes, and a hit counts only when the full digests agree. Among
 the rules that fit, the longest (host plus path, in characters) wins, then the
 one with the longer host; equal rules with both verdicts block.
 
-Path prefixes are cut at the lengths that occur among the rules' paths, so a
-URL of any length expands to (labels of its host) x (lengths) expressions.
+Hosts are cut at the label counts and paths at the lengths that occur together
+in a rule, so a URL of any length expands to at most as many expressions as the
+rules have such pairs.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path
 and fits no rule; it is allowed. Rules with a null host, path or verdict are
-left out, repeated rules count once, and an empty rule table allows all.
+left out, repeated rules count once, and an empty rule table allows all. Extra
+columns stay, whatever their names; those named as a result are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.joins import broadcast_measured
+from .common import hidden, shown
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of the hash prefix that the join compares (32 bits).
 PREFIX_DIGITS = 8
-#: Rules are broadcast up to this many bytes (digests, hosts and paths as
-#: measured); a larger table meets the expressions in a shuffle join.
-BROADCAST_BYTES = 8 << 20
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -43,43 +45,41 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
-def compile_rules(rules: DataFrame) -> tuple[DataFrame, list[int], int]:
-    """(rule table with digests, path lengths that occur, bytes). Only the
-    distinct lengths (at most one per character of the longest path) and one
-    size come to the driver."""
+def labels(host: Column | str) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def compile_rules(rules: DataFrame) -> tuple[DataFrame, list[tuple[int, int]], int]:
+    """(rule table with digests, the pairs of host labels and path length that
+    occur, bytes). Only the distinct pairs and one size come to the driver."""
     t = (rules.select(F.translate("host", _UPPER, _LOWER).alias("r_host"), F.col("path").alias("r_path"),
                       F.col("verdict").alias("r_verdict"))
          .dropna().groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict")))  # block > allow
     t = t.withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path")))
     t = t.withColumn("r_prefix", F.substring("r_digest", 1, PREFIX_DIGITS))
-    lengths, size = [], 0
-    for r in t.groupBy(F.length("r_path").alias("n")).agg(F.sum(F.length("r_host") + F.length("r_path") + 120).alias("b")).collect():
-        lengths.append(r["n"])
-        size += r["b"]
-    return t, sorted(lengths), size
+    found = t.groupBy(labels(F.col("r_host")).alias("k"), F.length("r_path").alias("n")).agg(
+        F.sum(F.octet_length("r_host") + F.octet_length("r_path") + 120).alias("b")).collect()
+    return t, sorted((r["k"], r["n"]) for r in found), sum(r["b"] for r in found)
 
 
 def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``urls`` with host, path, rule (host + path of the rule that decides,
     else null) and verdict (``allow`` or ``block``)."""
-    compiled, lengths, size = compile_rules(rules)
-    host, path = host_path(F.col(url))
-    t = urls.withColumns({"host": host, "path": path})
+    compiled, cuts, size = compile_rules(rules)
+    rows, names = hidden(urls)
+    host, path = host_path(F.col(names[url]))
+    t = rows.withColumns({"host": host, "path": path})
     distinct = t.select(F.col("host").alias("u_host"), F.col("path").alias("u_path")).where("u_host != ''").distinct()
-    # host suffixes at label borders; path prefixes at the rules' lengths
-    labels = F.split("u_host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("u_path"))
-    e = distinct.withColumn("e_host", F.explode(suffixes)).withColumn("_n", F.explode(fitting))
-    e = e.withColumn("e_digest", _digest(F.col("e_host"), F.expr("substring(u_path, 1, _n)")))
+    # host suffixes and path prefixes, cut as in the rules
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in cuts]).cast("array<struct<k:int,n:int>>")
+    e = distinct.withColumns({"_labels": labels(F.col("u_host")), "_length": F.length("u_path")})
+    e = e.withColumn("_cut", F.explode(F.filter(wanted, lambda c: (c["k"] <= F.col("_labels")) & (c["n"] <= F.col("_length")))))
+    e = e.withColumn("e_digest", _digest(F.expr("substring_index(u_host, '.', -_cut.k)"), F.expr("substring(u_path, 1, _cut.n)")))
     e = e.withColumn("e_prefix", F.substring("e_digest", 1, PREFIX_DIGITS))
-    side = F.broadcast(compiled) if size <= BROADCAST_BYTES else compiled
-    hits = e.join(side, F.col("e_prefix") == F.col("r_prefix")).where("e_digest = r_digest")
+    hits = e.join(broadcast_measured(compiled, size), F.col("e_prefix") == F.col("r_prefix")).where("e_digest = r_digest")
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), "r_host", "r_path")
     best = hits.groupBy("u_host", "u_path").agg(
         F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("_best"))
     out = t.join(best, (t["host"] == best["u_host"]) & (t["path"] == best["u_path"]), "left")
-    keep = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    return out.select(*keep, "host", "path", F.col("_best.rule").alias("rule"),
-                      F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"))
+    return shown(out, names, "host", "path", F.col("_best.rule").alias("rule"),
+                 F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"))

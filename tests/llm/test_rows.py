@@ -30,13 +30,24 @@ def test_url_rules_longest_wins(spark):
                    (12, "org/", "allow"), (13, None, "allow"), (14, "org/", "allow")}
 
 
-def test_url_ties_block_and_shuffle_join(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+def test_url_ties_block_and_shuffle_join(spark):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
     r = rules(spark, [("a.com", "/x", "allow"), ("a.com", "/x", "block"), ("com", "/x/yz", "allow"), ("b.com", "/xx", "block"), ("com", "/xx", "allow")])
     df = spark.createDataFrame([(1, "http://a.com/x/yz"), (2, "http://a.com/x/"), (3, "http://b.com/xxx")], "page_id long, url string")
     got = {x.page_id: (x.rule, x.verdict) for x in url_filter.judge(df, r).collect()}
     # equal length: the longer host decides; the same rule twice blocks
     assert got == {1: ("a.com/x" if len("a.com/x") > len("com/x/yz") else "com/x/yz", "allow"), 2: ("a.com/x", "block"), 3: ("b.com/xx", "block")}
+    spark.conf.set(threshold, before)
+
+
+def test_url_hosts_of_many_labels(spark):
+    deep = "http://" + "a.b." * 8_000
+    urls = [(1, deep + "example.org/en/1"), (2, deep + "com./fr/"), (3, "http://./x"), (4, "http://x..com/fr/"), (5, "http://com./x"), (6, "http:///x")]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    r = rules(spark, [("example.org", "/en/1", "block"), ("com", "/fr/", "block"), ("", "/x", "block"), ("b.com", "/", "block")])
+    assert {x.page_id: x.rule for x in url_filter.judge(df, r).collect()} == {1: "example.org/en/1", 2: None, 3: "/x", 4: "com/fr/", 5: "/x", 6: None}
 
 
 def test_url_no_rules_and_no_rows(spark):
