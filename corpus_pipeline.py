@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``. ``run`` writes each stage's rows to
 the shared folder before the next one reads them.
+
+Defined cases, for every stage: a null or empty text scores as a text without
+evidence, has fingerprint 0 (all such rows are one group), loses no words, adds
+no words to the mix and packs as the end id alone. Null ids and sources are
+values like any other, equal rows are separate rows until the near-copies
+stage, which keeps one. Texts are taken whole at any length, an empty table
+gives an empty result, and extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framelex.llm import mixing, packing, simhash_dedup, substring_dedup, toxicity
-from framelex.llm.common import cut, table
+from framelex.llm.common import cut, hidden, shown, table
 from framelex.llm.registry import TOKENIZER
 
 
@@ -19,7 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held-out rows."""
     labels = table(spark, sf_dir, "labels")
     model = toxicity.fit(*toxicity.sample(docs, labels, learn=~toxicity.held_out(F.col("doc_id"))))
-    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+    rows, names = hidden(docs)
+    return shown(toxicity.score(rows, model, names["text"]).where("score < 0.5"), names)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,16 +38,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of 20-word windows that start earlier
     elsewhere; n_chars follows the text where it changes."""
-    out = substring_dedup.remove(docs, window=20)
+    rows, names = hidden(docs)
+    text, n_chars = names["text"], names["n_chars"]
+    out = substring_dedup.remove(rows, 20, names["doc_id"], text)
     changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text")),
-           "n_chars": F.when(changed, F.length("kept").cast("bigint")).otherwise(F.col("n_chars"))}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    out = out.withColumns({text: F.when(changed, F.col("kept")).otherwise(F.col(text)),
+                           n_chars: F.when(changed, F.length("kept").cast("bigint")).otherwise(F.col(n_chars))})
+    return shown(out, names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights take them, shard by shard."""
-    return mixing.mix(docs, weights=(5, 2, 1), share=1.5, cap=2.0).select(*docs.columns)
+    rows, names = hidden(docs)
+    out = mixing.mix(rows, weights=(5, 2, 1), share=1.5, cap=2.0, doc_id=names["doc_id"], text=names["text"], source=names["source"])
+    return shown(out, names)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
