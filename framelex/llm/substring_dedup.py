@@ -19,7 +19,10 @@ and are never built:
    run: in any other, its run, and so the window, would start earlier.
 
 Each repeated stretch carries the coordinates of its source, and stretches at
-the same distance from one source merge to spans.
+the same distance from one source merge to spans. The spans are then verified by
+those coordinates: cut at a grid of the source's words, each piece is read again
+at both places and the words compared by a digest of their own. A span with a
+piece that differs is verified window by window, and windows that differ go.
 
 Defined cases: a null text has no words; rows that repeat an id and a text
 count once and get the same result; other texts under one id are documents in
@@ -32,13 +35,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import cut, discard, hidden, importable, release, remembered, shown, texts_of
+from .common import bucket_of, cut, discard, hidden, importable, release, remembered, shown, texts_of
 
 #: Words of an anchor.
 ANCHOR = 8
 #: Words that a Python worker remembers the hash of, and words that it
 #: handles at a time.
 CACHE_WORDS, CHUNK_WORDS = 200_000, 1 << 18
+#: Words of a piece that is verified as one, words of a document whose pieces
+#: one row lists, and parts of the pieces that have one source.
+PIECE, LISTED, PARTS = 256, 8_192, 64
 _POSITION = (1 << 24) - 1
 
 
@@ -221,20 +227,112 @@ def _repeats(docs: DataFrame, window: int, doc_id: str, text: str) -> tuple[Data
     return later.unionByName(single), [later, firsts, shared]
 
 
-def spans(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Maximal repeated spans: (d, t, start, stop, source_d, source_start) in
-    words, stop exclusive; neighbours at one distance from a source merged."""
+def _merged(found: DataFrame, window: int) -> DataFrame:
+    """Stretches at one distance from a source as maximal spans: (d, t, start,
+    stop, source_d, source_t, source_start) in words, stop exclusive."""
     from pyspark.sql import Window
 
-    r = repeats(docs, window, doc_id, text).select(
+    r = found.select(
         "d", "t", "start", (F.col("start") + F.col("windows")).alias("_end"), F.col("source.d").alias("source_d"),
-        F.col("source.t").alias("_st"), (F.col("source.start") - F.col("start")).alias("_shift")).distinct()
-    keys = ["d", "t", "source_d", "_st", "_shift"]
+        F.col("source.t").alias("source_t"), (F.col("source.start") - F.col("start")).alias("_shift")).distinct()
+    keys = ["d", "t", "source_d", "source_t", "_shift"]
     w = Window.partitionBy(*keys).orderBy("start")
     r = r.withColumn("_new", (F.col("start") > F.coalesce(F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
     r = r.withColumn("_run", F.sum("_new").over(w))
     return r.groupBy(*keys, "_run").agg(F.min("start").alias("start"), (F.max("_end") + window - 1).alias("stop")).select(
-        "d", "t", "start", "stop", "source_d", (F.col("start") + F.col("_shift")).alias("source_start"))
+        "d", "t", "start", "stop", "source_d", "source_t", (F.col("start") + F.col("_shift")).alias("source_start"))
+
+
+def _digests(docs: DataFrame, places: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(place, digest) of the words at each place (struct of d, t, start, stop)."""
+    importable(docs.sparkSession)
+    lists = places.select("place.*").groupBy("d", "t", F.expr(f"start div {LISTED}").alias("_part")).agg(
+        F.collect_set(F.struct("start", "stop")).alias("_spans")).select(F.col("d").alias("_ld"), F.col("t").alias("_lt"), "_spans")
+    keyed = _keyed(docs, doc_id, text).select("_d", "_t", F.col(text).alias("_text"))
+    schema = T.StructType([T.StructField("d", docs.schema[doc_id].dataType), T.StructField("t", T.LongType()), T.StructField("start", T.IntegerType()),
+                           T.StructField("stop", T.IntegerType()), T.StructField("digest", T.BinaryType())])
+
+    def run(batches):
+        from hashlib import blake2b
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            row, start, stop, digest = [], [], [], []
+            spans = batch.column(3)
+            for i, t in enumerate(texts_of(batch.column(2))):
+                words, here = t.split(), spans[i].values
+                for a, b in zip(here.field("start").to_pylist(), here.field("stop").to_pylist()):
+                    row.append(i)
+                    start.append(a)
+                    stop.append(b)
+                    digest.append(blake2b(b" ".join(words[a:b]), digest_size=16).digest())
+            at = pa.array(np.array(row, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(stop, pa.int32()),
+                                              pa.array(digest, pa.binary())], names=[f.name for f in schema])
+
+    found = keyed.join(lists, _same(keyed, lists)).select("_d", "_t", "_text", "_spans").mapInArrow(run, schema)
+    # rows that repeat an id and a text digest alike
+    return found.groupBy(F.struct("d", "t", "start", "stop").alias("place")).agg(F.min("digest").alias("digest"))
+
+
+def _checked(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``spans`` with ``same``: whether the words at both places are the same.
+
+    Pieces end at a grid of the source's words, so those of copies of one source
+    are mostly the same pieces of the source; a source's digest goes to at most
+    PARTS parts of the pieces that wait for it, however many they are."""
+    columns = spans.columns
+    length = F.col("stop") - F.col("start")
+    grid = F.sequence(F.expr(f"source_start div {PIECE}"), ((F.col("source_start") + length - 1) / PIECE).cast("bigint"))
+    p = spans.withColumn("_grid", F.explode(grid))
+    p = p.withColumns({"_a": F.greatest(F.col("source_start"), F.col("_grid") * PIECE).cast("int"),
+                       "_b": F.least(F.col("source_start") + length, (F.col("_grid") + 1) * PIECE).cast("int")})
+    back = F.col("source_start") - F.col("start")
+    p = cut(p.select(*columns,
+                     F.struct("d", "t", (F.col("_a") - back).cast("int").alias("start"), (F.col("_b") - back).cast("int").alias("stop")).alias("later"),
+                     F.struct(F.col("source_d").alias("d"), F.col("source_t").alias("t"), F.col("_a").alias("start"), F.col("_b").alias("stop")).alias("source"),
+                     bucket_of("d", "t", n=PARTS).alias("_part")), "substring-pieces")
+    asked = p.select("source", "_part").distinct()
+    places = p.select(F.col("later").alias("place")).unionByName(asked.select(F.col("source").alias("place"))).distinct()
+    digests = cut(_digests(docs, places, doc_id, text), "substring-digests")
+    sources = asked.join(digests, asked["source"] == digests["place"]).select(
+        F.col("source").alias("_source"), F.col("_part").alias("_of"), F.col("digest").alias("_wanted"))
+    met = p.join(digests, p["later"] == digests["place"]).join(sources, (F.col("source") == F.col("_source")) & (F.col("_part") == F.col("_of")))
+    out = cut(met.groupBy(*columns).agg(F.bool_and(F.col("digest") == F.col("_wanted")).alias("same")), "substring-checked")
+    discard(p, digests)
+    return out
+
+
+def verified(docs: DataFrame, spans: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The spans (columns of :func:`spans` and source_t) whose words are the
+    same at both places; of any other span, its windows of which that holds."""
+    checked = _checked(docs, spans, doc_id, text)
+    good, bad = checked.where("same").drop("same"), checked.where("not same").drop("same")
+    if bad.isEmpty():
+        return good
+    step = F.explode(F.sequence(F.lit(0), F.col("stop") - F.col("start") - window))
+    single = bad.withColumn("_i", step).select(
+        "d", "t", (F.col("start") + F.col("_i")).alias("start"), (F.col("start") + F.col("_i") + window).alias("stop"),
+        "source_d", "source_t", (F.col("source_start") + F.col("_i")).alias("source_start"))
+    return good.unionByName(_checked(docs, single, doc_id, text).where("same").drop("same"))
+
+
+def _spans(docs: DataFrame, window: int, doc_id: str, text: str) -> DataFrame:
+    found, tables = _repeats(docs, window, doc_id, text)
+    merged = cut(_merged(found, window), "substring-spans")
+    discard(*tables)
+    out = verified(docs, merged, window, doc_id, text)
+    discard(merged)
+    return out
+
+
+def spans(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Maximal repeated spans, verified: (d, t, start, stop, source_d,
+    source_start) in words, stop exclusive."""
+    docs, names = hidden(docs.select(doc_id, text))
+    return _spans(docs, window, names[doc_id], names[text]).drop("source_t")
 
 
 def remove(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,10 +340,8 @@ def remove(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str
     by one space. Every row and column stays."""
     docs, names = hidden(docs)
     doc_id, text = names[doc_id], names[text]
-    found, tables = _repeats(docs, window, doc_id, text)
-    lists = cut(found.groupBy("d", "t").agg(F.collect_set(F.struct("start", "windows")).alias("_covered"))
+    lists = cut(_spans(docs, window, doc_id, text).groupBy("d", "t").agg(F.collect_set(F.struct("start", "stop")).alias("_covered"))
                 .withColumnsRenamed({"d": "_ld", "t": "_lt"}), "substring-covered")
-    discard(*tables)
     columns = docs.columns
     keyed = _keyed(docs, doc_id, text)
     met = keyed.join(lists, _same(keyed, lists), "left").select(*columns, "_covered")
@@ -266,9 +362,8 @@ def remove(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str
                 c = covered[i].values
                 if c is not None and len(c):
                     change = np.zeros(len(words) + 1, np.int64)
-                    start = c.field("start").to_numpy()
-                    np.add.at(change, start, 1)
-                    np.add.at(change, start + c.field("windows").to_numpy() + window - 1, -1)
+                    np.add.at(change, c.field("start").to_numpy(), 1)
+                    np.add.at(change, c.field("stop").to_numpy(), -1)
                     stay = np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()
                     words = [words[j] for j in stay]
                 n_removed.append(n_words[-1] - len(words))

@@ -159,6 +159,24 @@ def test_substring_null_and_repeated_ids(spark):
     assert sorted(x.text for x in same.collect()) == [a, b, b]  # a row and its repetition are one document
 
 
+def test_spans_are_verified_by_their_sources(spark, monkeypatch):
+    w = [f"w{i}" for i in range(700)]
+    other = w[:300] + ["x"] + w[301:]
+    df = make(spark, [" ".join(w), " ".join(["a", "b"] + w), "\t".join(other), " ".join(w[:25])], [None, 4, 5, 5])
+    ids = {(r.doc_id, len(r.text.split())): r.t for r in df.withColumn("t", F.xxhash64("text")).collect()}
+    first, second, third, short = ids[None, 700], ids[4, 702], ids[5, 700], ids[5, 25]
+    claims = [(4, second, 2, 702, None, first, 0), (4, second, 2, 40, None, first, 1), (5, third, 0, 700, None, first, 0), (5, third, 300, 321, None, first, 300),
+              (5, short, 0, 25, 4, second, 2), (5, short, 0, 20, 4, second, 3)]
+    spans = spark.createDataFrame(claims, "d long, t long, start int, stop int, source_d long, source_t long, source_start int")
+    for piece in (256, 7):
+        monkeypatch.setattr(substring_dedup, "PIECE", piece)
+        got = {(x.d, x.t, x.start, x.stop, x.source_start) for x in substring_dedup.verified(df, spans, 20).collect()}
+        whole = {(4, second, 2, 702, 0), (5, short, 0, 25, 2)}
+        # of a span that differs in one word, the windows without that word; no window of the shifted ones
+        windows = {(5, third, i, i + 20, i) for i in range(681) if not i <= 300 < i + 20}
+        assert got == whole | windows
+
+
 # --- Mixing ------------------------------------------------------------------
 
 def brute_targets(sizes, weights, share, cap):
