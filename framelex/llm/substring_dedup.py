@@ -234,8 +234,12 @@ def _merged(found: DataFrame, window: int) -> DataFrame:
 
     r = found.select(
         "d", "t", "start", (F.col("start") + F.col("windows")).alias("_end"), F.col("source.d").alias("source_d"),
-        F.col("source.t").alias("source_t"), (F.col("source.start") - F.col("start")).alias("_shift")).distinct()
+        F.col("source.t").alias("source_t"), (F.col("source.start") - F.col("start")).alias("_shift"))
     keys = ["d", "t", "source_d", "source_t", "_shift"]
+    # sets combine before the shuffle, however often rows repeat a text, and
+    # hold one document's stretches; the window then needs no further shuffle
+    r = r.groupBy(*keys).agg(F.collect_set(F.struct("start", "_end")).alias("_all")).select(*keys, F.explode("_all").alias("_one"))
+    r = r.select(*keys, "_one.start", "_one._end")
     w = Window.partitionBy(*keys).orderBy("start")
     r = r.withColumn("_new", (F.col("start") > F.coalesce(F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
     r = r.withColumn("_run", F.sum("_new").over(w))
