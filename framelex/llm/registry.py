@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import ann, ball_tree, exact_dedup, fingerprint, merkle, mixing, packing, sharding, simhash_dedup, substring_dedup, token_counts, toxicity, url_filter
-from .common import table
+from .common import cut, table
 
 #: Rules of op1 (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -39,19 +39,27 @@ def op8_sharding(spark, sf_dir):
     return t.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+#: op9 counts, for ids divisible by 20, the other documents within so many of
+#: 128 bits; ten block tables find them.
+NEAR_RADIUS, NEAR_BLOCKS = 3, 5
+
+
 def op9_fingerprint(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("n_chars", F.length("text").cast("bigint"))
-    # equal rows are told apart by their place, which also keeps the order by text
+    # equal rows are told apart by their place, which also keeps the order
     t = fingerprint.with_next(docs, ["doc_id", "text"], ["text"], place="place")
     edited = F.concat(F.expr("substring(text, 1, int(n_chars) - int(n_chars div 2))"), F.expr("substring(next_text, 1, int(n_chars div 2))"))
     t = t.withColumn("edited", edited).select("doc_id", "place", "n_chars", "text", "edited", F.unhex(F.sha2("edited", 256)).alias("sha"))
-    keys = ["doc_id", "place", "n_chars", "sha"]
-    prints = fingerprint.fingerprints(t, keys, {"fp": "text", "ed": "edited"})
-    prints = fingerprint.with_next(prints, ["doc_id", "place"], ["fp_0", "fp_1"])
-    return prints.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
-                         fingerprint.as_string("fp").alias("fingerprint"), fingerprint.as_string("ed").alias("edited_fingerprint"),
-                         fingerprint.likeness("fp", "ed").alias("near_edited"), fingerprint.likeness("fp", "next_fp").alias("near_next"))
+    prints = cut(fingerprint.fingerprints(t, ["doc_id", "place", "n_chars", "sha"], {"fp": "text", "ed": "edited"}), "fingerprints")
+    asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    near = fingerprint.near_counts(prints, asked, radius=NEAR_RADIUS, blocks=NEAR_BLOCKS)
+    lined = fingerprint.with_next(prints, ["place"], ["fp_0", "fp_1"])
+    met = lined.where(asked).join(near, (F.col("fp_0") == F.col("q_0")) & (F.col("fp_1") == F.col("q_1")), "left").withColumn("near_count", F.col("near") - 1)
+    out = lined.where(~asked).withColumn("near_count", F.lit(None).cast("bigint")).unionByName(met.drop("q_0", "q_1", "near"))
+    return out.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
+                      fingerprint.as_string("fp").alias("fingerprint"), fingerprint.as_string("ed").alias("edited_fingerprint"),
+                      fingerprint.likeness("fp", "ed").alias("near_edited"), fingerprint.likeness("fp", "next_fp").alias("near_next"), "near_count")
 
 
 #: Tokenizer of op10, a file of the public_tokenizers package.

@@ -5,11 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framelex.llm import mixing, packing, registry, sharding, simhash_dedup, substring_dedup, toxicity, url_filter
+from framelex.llm import fingerprint, mixing, packing, registry, sharding, simhash_dedup, substring_dedup, toxicity, url_filter
 
 OWN = ["s", "_size", "_at", "_ends", "_source", "_c", "_quota", "_block", "_spot", "_bucket", "_words", "_order", "_start", "_run", "_total", "_d", "_t",
        "_ld", "_lt", "_covered", "_print", "_id", "_fp", "_stays", "_row", "root", "fp", "_part", "u_host", "u_path", "e_host", "_best", "_cut", "_n",
-       "r_host", "r_path", "_group", "_fill", "_length", "parent", "shift", "bin", "fill", "d", "t", "h", "w", "__in0", "__in1", "with space", "dot.ted"]
+       "r_host", "r_path", "_group", "_fill", "_length", "parent", "shift", "bin", "fill", "d", "t", "h", "w", "__in0", "__in1", "with space", "dot.ted",
+       "_guest", "_to", "_place", "_next0", "o0", "_o0"]
 RESULTS = ["host", "path", "rule", "verdict", "score", "kept", "n_words", "n_removed", "copy", "shard", "slot", "copies", "target", "source_size"]
 
 
@@ -36,6 +37,7 @@ STEPS = {
                                         d.sparkSession.createDataFrame([("com", "/doc", "block")], "host string, path string, verdict string")),
     "score": lambda d: toxicity.score(d, (0.0, {"w1": 1.0})),
     "pack": lambda d: packing.pack(d.withColumn("length", F.lit(3)), capacity=8),
+    "with_next": lambda d: fingerprint.with_next(d, ["doc_id", "text"], ["text"], buckets=3, place="place"),
     "stage_copies": lambda d: corpus_pipeline.drop_near_copies(d.sparkSession, d, ""),
     "stage_repeats": lambda d: corpus_pipeline.cut_repeats(d.sparkSession, d, ""),
     "stage_mixing": lambda d: corpus_pipeline.mix_sources(d.sparkSession, d, ""),

@@ -363,6 +363,32 @@ def test_op9_on_repeated_rows_and_null_ids(spark, tmp_path):
     assert len(got) == len(rows) and got == sorted(want)
 
 
+def test_op9_counts_near_documents(spark, tmp_path):
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(300)}" for _ in range(400)) for _ in range(6)]
+    texts = [rng.choice(base) + (f" tail{rng.randrange(3)}" if rng.random() < 0.5 else "") for _ in range(150)] + ["", None, "alone"] * 7
+    make(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    fps = [int(brute_128(t), 16) for t in texts]
+    got = {x.doc_id: x.near_count for x in registry.op9_fingerprint(spark, str(tmp_path)).collect()}
+    assert got == {i: sum((f ^ g).bit_count() <= registry.NEAR_RADIUS for g in fps) - 1 if i % 20 == 0 else None for i, f in enumerate(fps)}
+    assert max(v for v in got.values() if v is not None) > 10
+
+
+def test_rows_of_one_id_spread_over_buckets(spark):
+    rng = random.Random(5)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"t{rng.randrange(10 ** 6):06}") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = fingerprint.with_next(df, ["doc_id", "text"], ["text"], buckets=12, place="place").collect()
+    line = sorted((-1 if i is None else i, t) for i, t in rows)
+    assert [(-1 if x.doc_id is None else x.doc_id, x.text, x.next_text) for x in sorted(out, key=lambda x: x.place)] == [
+        (i, t, line[(k + 1) % len(line)][1]) for k, (i, t) in enumerate(line)]
+    sizes = {}
+    for x in out:
+        sizes[x.place >> 32] = sizes.get(x.place >> 32, 0) + 1
+    assert len(sizes) == 12 and max(sizes.values()) < 2.5 * 900 / 12
+    assert fingerprint.buckets_for(0) == 1 and fingerprint.buckets_for(10 ** 10) < 10 ** 5
+
+
 @pytest.mark.parametrize("radius,blocks", [(0, 4), (3, 6), (6, 10)])
 def test_find_near_finds_all(spark, radius, blocks):
     rng = random.Random(radius)
