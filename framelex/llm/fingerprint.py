@@ -36,7 +36,7 @@ _LANES = 0x0001000100010001
 SEGMENT = (1 << 15) - 1
 #: Rows of a bucket of ``with_next``, sampled rows that set each of its bounds,
 #: and the characters of a text in a bound.
-BUCKET_ROWS, BOUND_SAMPLE, BOUND_CHARS = 8_192, 32, 64
+BUCKET_ROWS, BOUND_SAMPLE, BOUND_CHARS = 2_048, 16, 64
 
 
 def terms(text: Column) -> Column:
@@ -92,8 +92,8 @@ def likeness(a: str, b: str) -> Column:
 def buckets_for(rows: int) -> int:
     """Buckets of ``with_next``: about BUCKET_ROWS rows each while the table is
     small; beyond, both the buckets and the rows of each grow with the root of
-    the rows, so neither the list of bounds nor a task grows with the table."""
-    return max(1, rows // max(BUCKET_ROWS, 8 * math.isqrt(rows)))
+    the rows, so neither the list of bounds nor a task grows in proportion to the table."""
+    return max(1, rows // max(BUCKET_ROWS, 2 * math.isqrt(rows)))
 
 
 def _bounds(t: DataFrame, order: list[str], n: int, total: int) -> list:
@@ -144,7 +144,11 @@ def with_next(rows: DataFrame, order: list[str], columns: list[str], buckets: in
     w = Window.partitionBy("_bucket").orderBy("_guest", *[F.col(c).asc_nulls_first() for c in order])
     added = [F.lead(names[c]).over(w).alias(f"_next{i}") for i, c in enumerate(columns)]
     added += [(F.shiftleft(F.col("_bucket").cast("bigint"), 32) + F.row_number().over(w)).alias("_place")] if place else []
-    out = t.unionByName(guests).select("*", *added).where("_guest = 0")
+    t = t.unionByName(guests)
+    # a task holds a few buckets, however low the session's number of partitions
+    if n > 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        t = t.repartition(-(-n // 4), "_bucket")
+    out = t.select("*", *added).where("_guest = 0")
     return shown(out, names, *[F.col(f"_next{i}").alias(f"next_{c}") for i, c in enumerate(columns)], *[F.col("_place").alias(c) for c in filter(None, [place])])
 
 

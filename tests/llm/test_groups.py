@@ -336,9 +336,9 @@ def test_with_next_wraps_around(spark):
     rng = random.Random(3)
     ids = rng.sample(range(10_000), 200) + [5] * 3
     df = make(spark, [f"t{k:04}" for k in range(len(ids))], ids)
-    for rows in (df, df.limit(1), df.where("doc_id = 5")):
+    for rows, buckets in ((df, 7), (df, 90), (df.limit(1), 7), (df.where("doc_id = 5"), 7)):
         want = sorted((x.doc_id, x.text) for x in rows.collect())
-        got = sorted((x.doc_id, x.text, x.next_text) for x in fingerprint.with_next(rows, ["doc_id", "text"], ["text"], buckets=7).collect())
+        got = sorted((x.doc_id, x.text, x.next_text) for x in fingerprint.with_next(rows, ["doc_id", "text"], ["text"], buckets=buckets).collect())
         assert got == [(i, t, want[(k + 1) % len(want)][1]) for k, (i, t) in enumerate(want)]
     assert fingerprint.with_next(df.where("false"), ["doc_id"], ["text"], buckets=3).count() == 0
     nulls = make(spark, ["a", "b", "c"], [None, None, 4])
