@@ -94,12 +94,15 @@ def q_src_fulltext_xml(spark, sf):
 
 def q_fulltext_rows(spark, sf):
     """Annotations of the listed files by split. The sentences are dealt
-    to 16 files by id; a table lists the files' splits, without the files of
-    number 15, which must not be read."""
+    to files of 16 numbers by id, to more files a number as the session has
+    more shuffle partitions; a table lists the files' splits, without the files
+    of number 15, which must not be read."""
     rows = _fulltext_sentences(spark, sf)
     number = F.conv(F.substring(F.col("_ID"), 1, 1), 16, 10).cast("int")
     path = scratch_path(spark, f"xml/fulltext_files/{uuid.uuid4().hex}")
-    rows = rows.repartitionByRange(16, number)
+    each = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    # a file holds sentences of one number only
+    rows = rows.repartitionById(16 * each, number * each + F.pmod(F.hash("_ID"), F.lit(each)))
     xml.write_xml(rows, path, "sentence", "fullTextAnnotation")
     # what a file holds is known from the file itself, as a corpus' file list is
     listed = (spark.read.format("xml").option("rowTag", "sentence").schema("_ID STRING").load(path)

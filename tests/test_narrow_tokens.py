@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from framelex.operators import choices, corpus, lexicon, match
-from framelex.plans import context, lexicon_queries
+from framelex.plans import context, lexicon_queries, source_queries
 
 from conftest import SF_SMALL
 
@@ -64,3 +64,23 @@ def test_model_input_takes_one_shuffle(spark):
     assert "Join" not in plan(d)
     r = d.first()
     assert r.attention_mask == [[1, 0, 0], [1, 1, 0], [0, 0, 0]] and (r.n_choice, r.n_kept, r.position, r.label) == (2, 2, 0, 1)
+
+
+def test_a_number_of_full_text_files_grows_with_the_partitions(spark, monkeypatch):
+    written = {}
+
+    def write(df, path, *tags, old=source_queries.xml.write_xml):
+        old(df, path, *tags)
+        written["rows"] = df.select(F.spark_partition_id().alias("p"), F.substring("_ID", 1, 1).alias("n")).distinct().collect()
+
+    monkeypatch.setattr(source_queries.xml, "write_xml", write)
+    before, results = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (8, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(sorted(map(tuple, E.queries()["fulltext_rows"](spark, SF_SMALL).collect())))
+            files = [r.p for r in written["rows"]]
+            assert len(files) == len(set(files)) and max(files) < 16 * -(-n // 16)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] != [] and len(files) > 16
