@@ -126,12 +126,15 @@ def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.
     # upper ends of the shards' stretches of blocks, one per shard
     ends = counts.withColumn("_end", F.sum("n").over(Window.partitionBy("s").orderBy("shard")))
     ends = ends.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("_end", "shard"))).alias("_ends"))
-    lines = lines.join(ends, "s", "left").withColumnRenamed("source", "_source")
-    side = broadcast_measured(lines, known[0] * (128 + 16 * shards) + (known[1] or 0))
+    lines = lines.withColumnRenamed("source", "_source")
+    side = broadcast_measured(lines, known[0] * 128 + (known[1] or 0))
     t = docs.join(side, docs[source].eqNullSafe(side["_source"]))
     spot = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
     t = t.withColumn("_spot", spot).withColumn("_bucket", F.substring("_spot", 1, LINE_BUCKETS_HEX))
     t = prefix_sums(t, ["s"], "_bucket", ["_spot", doc_id, size], F.col(size), "_at")
+    # the ends grow with the shards, so they meet the rows after the last
+    # shuffle: no row carries them through one
+    t = t.join(broadcast_measured(ends, known[0] * (64 + 16 * shards)), "s", "left")
 
     def copy(c):
         start = c * F.col("source_size") + F.col("_at")
