@@ -85,4 +85,5 @@ def read_fulltext(spark: SparkSession, path: str, files: DataFrame | None = None
 
 
 def write_xml(df: DataFrame, path: str, row_tag: str, root_tag: str) -> None:
-    df.write.mode("overwrite").format("xml").option("rowTag", row_tag).option("rootTag", root_tag).save(path)
+    """XML files, one a partition; packed, as tags are most of what they hold."""
+    df.write.mode("overwrite").format("xml").option("compression", "gzip").option("rowTag", row_tag).option("rootTag", root_tag).save(path)
